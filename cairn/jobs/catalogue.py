@@ -1,4 +1,326 @@
-"""Registered queries and their SQL."""
+"""Registered queries over whole tables, each beside the SQL that says the same."""
+
+from pyspark.sql import functions as F
+
+from cairn.functions import paths, versions
+from cairn.operators import report, trace
+from cairn.sources import bundle, lockfiles
+from cairn.sources.bundle import PROJECT, sql, table
+from cairn.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name: str, statement: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if statement:
+            SQL[name] = statement
+        return function
+
+    return register
+
+
+def quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def any_prefix(x: str, prefixes) -> str:
+    return "(" + " OR ".join(f"starts_with({x}, '{p}')" for p in prefixes) + ")"
+
+
+def s_file(x: str) -> str:
+    name = rf"regexp_extract({x}, '([^/]*?)(?:/+\.?)*\z', 1)"
+    return f"(CASE WHEN {name} IN ('.', '..') THEN '' ELSE {name} END)"
+
+
+def s_ext(x: str) -> str:
+    return rf"regexp_extract({s_file(x)}, '^.+\.([^.]*)\z', 1)"
+
+
+def s_relevant(x: str) -> str:
+    return f"({x} <> '' AND NOT {any_prefix(x, paths.NOISE)} AND (contains({s_file(x)}, '.so') OR {s_ext(x)} IN ({quoted(paths.RELEVANT)})))"
+
+
+def s_orchestrator(x: str) -> str:
+    base = rf"regexp_replace(regexp_replace({x}, '[0-9.]+\z', ''), '-+\z', '')"
+    return f"({x} IN ({quoted(paths.ORCHESTRATORS)}) OR {base} IN ({quoted(paths.ORCHESTRATORS)}))"
+
+
+def s_normal(raw: str, cwd: str) -> str:
+    full = f"(CASE WHEN starts_with({raw}, '/') THEN {raw} ELSE {cwd} || '/' || {raw} END)"
+    parts = f"list_transform(list_filter(string_split({full}, '/'), lambda x: x <> '' AND x <> '.'), lambda x: [x])"
+    fold = f"list_reduce({parts}, lambda a, x: CASE WHEN x[1] = '..' THEN a[:len(a) - 1] ELSE list_concat(a, x) END, CASE WHEN starts_with({full}, '/') THEN ['/'] ELSE []::VARCHAR[] END)"
+    return f"regexp_replace(array_to_string({fold}, '/'), '^/+', '/')"
+
+
+def s_base(x: str) -> str:
+    return f"regexp_replace(split_part({x}, '.so', 1), '^lib', '')"
+
+
+def s_soname(x: str) -> str:
+    return f"(CASE WHEN contains({x}, '.so') AND {s_base(x)} <> '' THEN {s_base(x)} END)"
+
+
+def s_soversion(x: str) -> str:
+    return rf"(CASE WHEN {s_soname(x)} IS NOT NULL THEN nullif(regexp_extract({x}, '^.*?\.so\.([0-9].*)\z', 1), '') END)"
+
+
+IN_SUB = "regexp_matches({0}, '(^|/)subprojects/[^/]+')"
+OPENED = f"SELECT o.seq, o.pid, o.raw_path, coalesce(p.comm, '') AS comm, coalesce(p.cwd, '{PROJECT}') AS cwd FROM {sql('open_event')} o LEFT JOIN {sql('process')} p USING (pid)"
+UNIQUE = f"SELECT DISTINCT {s_normal('raw_path', 'cwd')} AS path FROM ({OPENED}) WHERE {s_relevant('raw_path')} AND NOT {s_orchestrator('comm')}"
+CANONICAL = "CASE WHEN starts_with(path, '/lib/') THEN '/usr' || path ELSE path END"
+EXISTING = f"SELECT path, {CANONICAL} AS canonical, CASE WHEN length(path) % 5 <> 0 THEN 'sha256:' || sha256(path) END AS hash FROM ({UNIQUE}) WHERE length(path) % 7 <> 0"
+
+
+def opens(spark, sf_dir):
+    return table(spark, sf_dir, "open_event")
+
+
+def opened(spark, sf_dir):
+    return trace.with_process(opens(spark, sf_dir), table(spark, sf_dir, "process"), PROJECT)
+
+
+def unique_paths(spark, sf_dir):
+    return trace.relevant_paths(opens(spark, sf_dir), table(spark, sf_dir, "process"), PROJECT)
+
+
+def files(spark, sf_dir):
+    """Existing paths with canonical path and content hash, as the bundle's file table would give them."""
+    path = F.col("path")
+    hashed = F.when(F.length(path) % 5 != 0, F.concat(F.lit("sha256:"), F.sha2(path, 256)))
+    canonical = F.when(path.startswith("/lib/"), F.concat(F.lit("/usr"), path)).otherwise(path)
+    return unique_paths(spark, sf_dir).filter(F.length(path) % 7 != 0).select("path", canonical.alias("canonical"), hashed.alias("hash"))
+
+
+def predicate(name: str, column, statement: str):
+    @query(name, f"SELECT seq, raw_path FROM {sql('open_event')} WHERE {statement}")
+    def run(spark, sf_dir):
+        return opens(spark, sf_dir).filter(column(F.col("raw_path"))).select("seq", "raw_path")
+
+
+predicate("flt_relevant", paths.is_relevant, s_relevant("raw_path"))
+predicate("flt_system_path", paths.is_system, any_prefix("raw_path", paths.SYSTEM))
+predicate("flt_in_subproject", paths.in_subproject, IN_SUB.format("raw_path"))
+predicate("flt_empty_path", lambda x: x != "", "raw_path <> ''")
+predicate("flt_local_header", lambda x: ~paths.is_dropped_header(x), f"NOT (NOT {any_prefix('raw_path', paths.SYSTEM)} AND {s_ext('raw_path')} IN ({quoted(paths.HEADERS)}) AND NOT {IN_SUB.format('raw_path')})")
+
+
+def scalar(name: str, column, statement: str):
+    @query(name, f"SELECT seq, {statement} AS result FROM {sql('open_event')}")
+    def run(spark, sf_dir):
+        return opens(spark, sf_dir).select("seq", column(F.col("raw_path")).alias("result"))
+
+
+scalar("fn_normalize", lambda x: paths.normalized(x, F.lit(PROJECT)), s_normal("raw_path", f"'{PROJECT}'"))
+scalar("fn_soname_base", lambda x: paths.soname_base(paths.file_name(x)), s_base(s_file("raw_path")))
+scalar("fn_unknown_name", paths.file_name, s_file("raw_path"))
+scalar("fn_purl_local", lambda x: versions.local_purl(paths.file_name(x), F.concat(F.lit("sha256:"), F.sha2(x, 256))), f"'pkg:generic/' || {s_file('raw_path')} || '@sha256%3A' || sha256(raw_path)")
+scalar("src_file_hash", lambda x: F.concat(F.lit("sha256:"), F.sha2(x, 256)), "'sha256:' || sha256(raw_path)")
+
+
+@query("fn_soname_name_version", f"SELECT seq, {s_soname(s_file('raw_path'))} AS name, {s_soversion(s_file('raw_path'))} AS version FROM {sql('open_event')}")
+def fn_soname_name_version(spark, sf_dir):
+    name = paths.file_name(F.col("raw_path"))
+    return opens(spark, sf_dir).select("seq", paths.soname_name(name).alias("name"), paths.soname_version(name).alias("version"))
+
+
+@query("flt_orchestrator", f"SELECT pid, comm FROM {sql('process')} WHERE {s_orchestrator('comm')}")
+def flt_orchestrator(spark, sf_dir):
+    return table(spark, sf_dir, "process").filter(paths.is_orchestrator(F.col("comm"))).select("pid", "comm")
+
+
+@query("join_event_comm", f"SELECT seq, comm FROM ({OPENED})")
+def join_event_comm(spark, sf_dir):
+    return opened(spark, sf_dir).select("seq", "comm")
+
+
+@query("join_event_cwd", f"SELECT seq, cwd FROM ({OPENED})")
+def join_event_cwd(spark, sf_dir):
+    return opened(spark, sf_dir).select("seq", "cwd")
+
+
+QUERIES["agg_distinct_paths"], SQL["agg_distinct_paths"] = unique_paths, UNIQUE
+QUERIES["semi_exists"], SQL["semi_exists"] = files, EXISTING
+
+
+@query("agg_counts", f"SELECT pid, count(*) AS opens, count(DISTINCT raw_path) AS paths, count(*) FILTER ({s_relevant('raw_path')}) AS relevant FROM {sql('open_event')} GROUP BY pid")
+def agg_counts(spark, sf_dir):
+    raw = F.col("raw_path")
+    return opens(spark, sf_dir).groupBy("pid").agg(F.count("*").alias("opens"), F.countDistinct(raw).alias("paths"), F.count_if(paths.is_relevant(raw)).alias("relevant"))
+
+
+@query("agg_known_pids", f"SELECT pid, min(seq) AS first_seq FROM {sql('open_event')} GROUP BY pid")
+def agg_known_pids(spark, sf_dir):
+    return opens(spark, sf_dir).groupBy("pid").agg(F.min("seq").alias("first_seq"))
+
+
+@query("agg_any_comm", f"SELECT comm, count(*) > 0 AS seen FROM {sql('process')} WHERE comm IN ('cargo', 'node', 'go') GROUP BY comm")
+def agg_any_comm(spark, sf_dir):
+    return table(spark, sf_dir, "process").filter(F.col("comm").isin("cargo", "node", "go")).groupBy("comm").agg((F.count("*") > 0).alias("seen"))
+
+
+OWNERS = f"(SELECT path, arg_max(pkg_key, pos) AS pkg_key FROM {sql('pkg_file')} GROUP BY path)"
+META = f"(SELECT pkg_key, arg_max(struct_pack(v := version, s := src_name), pos) AS m FROM {sql('pkg_meta')} GROUP BY pkg_key)"
+PACKAGED = f"""SELECT f.path, f.canonical, f.hash, coalesce(a.pkg_key, b.pkg_key) AS pkg_key,
+    CASE WHEN coalesce(a.pkg_key, b.pkg_key) IS NOT NULL THEN coalesce(m.m.v, 'unknown') END AS version, m.m.s AS src_name
+    FROM ({EXISTING}) f LEFT JOIN {OWNERS} a ON a.path = f.path LEFT JOIN {OWNERS} b ON b.path = f.canonical LEFT JOIN {META} m ON m.pkg_key = coalesce(a.pkg_key, b.pkg_key)"""
+
+
+@query("agg_map_last_wins", f"SELECT path, pkg_key FROM {OWNERS}")
+def agg_map_last_wins(spark, sf_dir):
+    return trace.last_wins(table(spark, sf_dir, "pkg_file"), "path", "pkg_key")
+
+
+def packaged(spark, sf_dir):
+    return trace.with_package(files(spark, sf_dir), table(spark, sf_dir, "pkg_file"), table(spark, sf_dir, "pkg_meta"))
+
+
+@query("join_path_pkg_canonical", f"SELECT path, canonical, pkg_key FROM ({PACKAGED})")
+def join_path_pkg_canonical(spark, sf_dir):
+    return packaged(spark, sf_dir).select("path", "canonical", "pkg_key")
+
+
+@query("join_pkg_version", f"SELECT path, version, src_name FROM ({PACKAGED})")
+def join_pkg_version(spark, sf_dir):
+    return packaged(spark, sf_dir).select("path", "version", "src_name")
+
+
+DIRS = r"regexp_extract_all(regexp_replace(path, '(^|/)subprojects/([^/]+)', '\1<\2>', 'g'), '<([^>]+)>', 1)"
+SUBBED = f"""SELECT f.path, coalesce(s.name, regexp_replace(({DIRS})[1], '-[0-9][0-9.+]*\\z', '')) AS sub_name,
+    CASE WHEN s.name IS NOT NULL THEN s.version ELSE nullif(regexp_extract(({DIRS})[1], '^.*-([0-9][0-9.+]*)\\z', 1), '') END AS sub_version, s.url AS sub_url
+    FROM ({EXISTING}) f LEFT JOIN {sql('subproject')} s ON s.dirname = ({DIRS})[1]"""
+
+
+@query("join_subproject_fallback", SUBBED)
+def join_subproject_fallback(spark, sf_dir):
+    return trace.with_subproject(files(spark, sf_dir), table(spark, sf_dir, "subproject")).select("path", "sub_name", "sub_version", "sub_url")
+
+
+SYSTEM = any_prefix("p.path", paths.SYSTEM)
+NAME = s_file("p.canonical")
+STEM = rf"regexp_replace(regexp_replace({s_file('p.path')}, '(.)\.[^.]*\z', '\1'), '^lib', '')"
+COMPONENTS = f"""SELECT CASE type WHEN 'system_package' THEN split_part(pkg_key, ':', 1) WHEN 'local_file' THEN own ELSE file END AS name,
+        CASE type WHEN 'system_package' THEN version WHEN 'local_file' THEN local_version END AS version,
+        CASE WHEN type = 'system_package' AND contains(pkg_key, ':') THEN regexp_extract(pkg_key, '^[^:]*:(.*)', 1) END AS arch,
+        CASE WHEN type = 'system_package' THEN src_name END AS src_name, CASE WHEN type = 'local_file' THEN coalesce(hash, 'sha256:error') END AS hash,
+        NULL::VARCHAR AS purl, CASE WHEN type = 'local_file' THEN sub_url END AS vcs_url, path, type
+    FROM (SELECT p.*, u.sub_url, {s_file('p.path')} AS file, coalesce(u.sub_name, {s_soname(NAME)}, {STEM}) AS own,
+            CASE WHEN u.sub_name IS NOT NULL THEN u.sub_version ELSE {s_soversion(NAME)} END AS local_version,
+            CASE WHEN {SYSTEM} AND p.pkg_key IS NOT NULL THEN 'system_package' WHEN {SYSTEM} THEN 'system_unknown' ELSE 'local_file' END AS type
+        FROM ({PACKAGED}) p JOIN ({SUBBED}) u ON u.path = p.path
+        WHERE NOT (NOT {SYSTEM} AND {s_ext('p.path')} IN ({quoted(paths.HEADERS)}) AND NOT {IN_SUB.format('p.path')}))"""
+KEY = f"CASE type WHEN 'system_package' THEN name WHEN 'system_unknown' THEN {s_base('name')} ELSE CASE WHEN type = 'local_file' AND {IN_SUB.format('path')} THEN 'meson:' || name WHEN type = 'ecosystem_package' THEN 'eco:' || purl ELSE path END END"
+
+
+def first_sql(rows: str) -> str:
+    return f"SELECT * EXCLUDE (k, n) FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY type, path) AS n FROM (SELECT *, {KEY} AS k FROM ({rows}))) WHERE n = 1"
+
+
+def components(spark, sf_dir):
+    return trace.components(files(spark, sf_dir), *(table(spark, sf_dir, t) for t in ("pkg_file", "pkg_meta", "subproject")))
+
+
+QUERIES["fn_to_component"], SQL["fn_to_component"] = components, COMPONENTS
+
+
+@query("agg_component_dedup", first_sql(COMPONENTS))
+def agg_component_dedup(spark, sf_dir):
+    return trace.first_of_key(components(spark, sf_dir))
+
+
+REQUIREMENTS = r"""SELECT trim(split_part(pin, '==', 1)) AS name, trim(regexp_extract(pin, '^.*?==(.*)', 1)) AS version FROM (
+    SELECT trim(split_part(trim(line), ';', 1)) AS pin FROM {0} WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') AND NOT starts_with(trim(line), '-'))
+    WHERE contains(pin, '==') AND NOT contains(pin, '/')""".replace("{0}", sql("requirement_line"))
+PYPI = f"SELECT name, version, 'pypi' AS ecosystem, 'pkg:pypi/' || translate(name, '_.ABCDEFGHIJKLMNOPQRSTUVWXYZ', '--abcdefghijklmnopqrstuvwxyz') || '@' || replace(version, '+', '%2B') AS purl, false AS is_dev FROM ({REQUIREMENTS})"
+GO = f"SELECT part[1] AS name, part[2] AS version, 'golang' AS ecosystem, 'pkg:golang/' || part[1] || '@' || replace(part[2], '+', '%2B') AS purl, false AS is_dev FROM (SELECT string_split(trim(line), ' ') AS part FROM {sql('go_sum_line')} WHERE trim(line) <> '' AND NOT starts_with(trim(line), '//')) WHERE NOT ends_with(part[2], '/go.mod')"
+
+
+@query("src_requirements", PYPI)
+def src_requirements(spark, sf_dir):
+    return lockfiles.requirements(table(spark, sf_dir, "requirement_line"))
+
+
+@query("src_go_sum", GO)
+def src_go_sum(spark, sf_dir):
+    return lockfiles.go_sum(table(spark, sf_dir, "go_sum_line"))
+
+
+def ecosystems(spark, sf_dir):
+    return src_requirements(spark, sf_dir).unionByName(src_go_sum(spark, sf_dir))
+
+
+ECO = f"SELECT ecosystem, name, version, min(purl) AS purl, min(is_dev) AS is_dev FROM ({PYPI} UNION ALL {GO}) GROUP BY ecosystem, name, version"
+
+
+@query("agg_eco_dedup", ECO)
+def agg_eco_dedup(spark, sf_dir):
+    return lockfiles.once(ecosystems(spark, sf_dir))
+
+
+REPORT = f"{first_sql(COMPONENTS)} UNION ALL SELECT name, version, NULL, NULL, NULL, purl, NULL, 'ecosystem:' || ecosystem, 'ecosystem_package' FROM ({ECO})"
+
+
+@query("report_components", REPORT)
+def report_components(spark, sf_dir):
+    packages = lockfiles.as_components(agg_eco_dedup(spark, sf_dir))
+    return report.ordered(agg_component_dedup(spark, sf_dir).unionByName(packages))
+
+
+DISTRO = "ubuntu-24.04"
+SYSTEM_PURL = f"CASE WHEN type = 'system_package' AND version <> 'unknown' THEN 'pkg:deb/ubuntu/' || name || '@' || replace(replace(version, '+', '%2B'), ':', '%3A') || '?' || concat_ws('&', 'arch=' || arch, 'distro={DISTRO}', 'upstream=' || src_name)"
+CDX = f"""SELECT type, path, name, {SYSTEM_PURL}
+        WHEN type = 'local_file' THEN 'pkg:generic/' || name || '@' || replace(replace(coalesce(version, hash), '+', '%2B'), ':', '%3A') WHEN type = 'ecosystem_package' THEN purl END AS purl,
+    CASE WHEN type = 'local_file' THEN coalesce(version, hash) ELSE version END AS version,
+    CASE WHEN type = 'local_file' AND hash <> 'sha256:error' THEN substr(hash, 8) END AS sha256,
+    CASE WHEN type <> 'ecosystem_package' THEN path END AS occurrence FROM ({REPORT})"""
+
+
+@query("fn_cdx_component", CDX)
+def fn_cdx_component(spark, sf_dir):
+    return report.bom_rows(report_components(spark, sf_dir), F.lit(DISTRO))
+
+
+FORKED = f"(WITH RECURSIVE tree(pid, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT f.child_pid, depth + 1 FROM tree JOIN {sql('fork_edge')} f ON f.parent_pid = tree.pid AND f.child_pid <> f.parent_pid) SELECT DISTINCT pid, depth FROM tree)"
+
+
+def forks(spark, sf_dir):
+    return table(spark, sf_dir, "fork_edge").filter("child_pid <> parent_pid")
+
+
+@query("flt_pid_tracked", f"SELECT o.seq, o.pid FROM {sql('open_event')} o SEMI JOIN (SELECT pid FROM {FORKED}) t USING (pid)")
+def flt_pid_tracked(spark, sf_dir):
+    return opens(spark, sf_dir).join(trace.descendants(forks(spark, sf_dir), 1), "pid", "left_semi").select("seq", "pid")
+
+
+@query("rec_descendants", f"SELECT pid, depth FROM {FORKED}")
+def rec_descendants(spark, sf_dir):
+    return trace.descendants(forks(spark, sf_dir), 1)
+
+
+@query("st_lazy_pid", f"SELECT DISTINCT pid FROM {sql('open_event')}")
+def st_lazy_pid(spark, sf_dir):
+    return ingest.first_seen(spark, f"{sf_dir}/events.parquet")
+
+
+def dirname_scalar(name: str, column, statement: str):
+    """Version rules over directory-like names made from part sizes and keys."""
+    dirname = "concat(CASE WHEN p_size % 4 = 0 THEN 'v' ELSE '' END, CASE WHEN p_size % 3 = 0 THEN 'zlib-' WHEN p_size % 3 = 1 THEN 'a-1.2-' ELSE '' END, CAST(p_size AS STRING), '.', CAST(p_partkey % 10 AS STRING), CASE WHEN p_size % 7 = 0 THEN '-rc1' WHEN p_size % 7 = 1 THEN '.tar.gz' WHEN p_size % 7 = 2 THEN '+b:1' ELSE '' END)"
+
+    @query(name, f"SELECT p_partkey, x, {statement} AS result FROM (SELECT p_partkey, {dirname} AS x FROM part)")
+    def run(spark, sf_dir):
+        rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(dirname).alias("x"))
+        return rows.select("p_partkey", "x", column(F.col("x")).alias("result"))
+
+
+FROM_DIR = r"nullif(regexp_extract({0}, '^.*-([0-9][0-9.+]*)\z', 1), '')"
+dirname_scalar("fn_looks_like_version", versions.looks_like_version, r"regexp_matches(x, '^[0-9][0-9.+-]*\z')")
+dirname_scalar("fn_version_from_revision", versions.from_revision, r"nullif(regexp_extract(x, '^v*([0-9][0-9.+-]*)\z', 1), '')")
+dirname_scalar("fn_version_from_dirname", versions.from_dirname, FROM_DIR.format("x"))
+dirname_scalar("fn_version_from_archive", versions.from_archive, FROM_DIR.format(r"regexp_replace(x, '\.(tar\.gz|tar\.xz|tar\.bz2|tar\.zst|zip)\z', '')"))
+dirname_scalar("fn_name_from_dirname", versions.dirname_base, r"regexp_replace(x, '-[0-9][0-9.+]*\z', '')")
+dirname_scalar("fn_encode_version", versions.encoded, "replace(replace(x, '+', '%2B'), ':', '%3A')")
+dirname_scalar("fn_purl_cargo", lambda x: versions.purl("cargo", F.lit("c"), x), "'pkg:cargo/c@' || replace(replace(x, '+', '%2B'), ':', '%3A')")
+dirname_scalar("fn_purl_npm", lambda x: versions.purl("npm", F.concat(F.lit("@s/"), x), x), "'pkg:npm/%40s/' || x || '@' || replace(replace(x, '+', '%2B'), ':', '%3A')")
+dirname_scalar("fn_yarn_name", lambda x: versions.yarn_name(F.concat(F.lit("@s/"), x, F.lit("@^1"))), "'@s/' || x")
