@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import END, ChunkEncoder, text_blocks
+from .tokens import END, encoder, text_blocks
 
 WINDOW = 4096
 OPEN = 2048
@@ -132,12 +132,12 @@ def packer(tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names), sequence
 
     def run(batches):
-        encoder, levels = ChunkEncoder(tokenizer), Levels(window)
+        words, levels = encoder(tokenizer), Levels(window)
         sequence = TaskContext.get().partitionId() << 36
         for batch in batches:
             at = 0
             for texts in text_blocks(batch.column("text")):
-                ids, offsets = encoder.encode(texts, end)
+                ids, offsets = words.encode(texts, end)
                 for i, doc_id in enumerate(batch.column("doc_id").slice(at, len(texts)).to_pylist()):
                     levels.add(doc_id, ids[offsets[i] : offsets[i + 1]].astype(np.uint32))
                 at += len(texts)

@@ -5,17 +5,25 @@ chunks one after another, so each different chunk is encoded once a task and
 texts become array look-ups.
 """
 
+import re
+from itertools import chain
+
 import numpy as np
 
 END = 2
-CACHED_CHARS = 16_000_000
-CACHED_CHUNKS = 400_000
+#: A stop after a letter is a word of its own to the tokenizer, so it may stand apart.
+WORD_STOP = re.compile(r"([.,])(?=[ \n]|\Z)(?<=[^\W\d_].)")
+CACHED_CHARS = 32_000_000
+CACHED_CHUNKS = 600_000
 
 
 class ChunkEncoder:
-    """Encodes texts with a tokenizer that drops white space between words."""
+    """Encodes texts with a tokenizer that lower-cases and drops white space between words."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -25,20 +33,28 @@ class ChunkEncoder:
 
     def reset(self):
         self.index: dict = {}
+        self.parts: list = []
         self.chars = 0
         self.flat = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
     def learn(self, chunks: list[str]):
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        for c in chunks:
-            self.index[c] = len(self.index)
-            self.chars += len(c)
-        size = np.array([len(x) for x in found], np.int64)
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+        self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks))))
+        self.chars += sum(map(len, chunks))
+        for at in range(0, len(chunks), 4096):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+            self.parts.append((ids, size))
+
+    def gather(self):
+        """Arrays of what was learned, with the newest parts behind."""
+        size = np.concatenate([x[1] for x in self.parts])
+        self.flat = np.concatenate([self.flat, *(x[0] for x in self.parts)])
         self.size = np.concatenate((self.size, size))
-        self.flat = np.concatenate((self.flat, np.array([i for x in found for i in x], np.int64)))
+        self.start = np.cumsum(self.size) - self.size
+        self.parts = []
 
     def encode(self, texts: list[str], end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, ``end`` after each text, and the offsets of the texts."""
@@ -46,12 +62,15 @@ class ChunkEncoder:
             self.reset()
         chunks, sizes = [], []
         for t in texts:
-            own = t.replace("\n", " ").split(" ")
+            if "<|" not in t:  # could spell a special token
+                t = t.encode().lower().decode()  # A-Z only
+            own = WORD_STOP.sub(r" \1", t).replace("\n", " ").split(" ")
             chunks += own
             sizes.append(len(own))
         new = set(chunks).difference(self.index)
         if new:
             self.learn(sorted(new))
+            self.gather()
         at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
         size = self.size[at]
         first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
@@ -66,6 +85,16 @@ class ChunkEncoder:
         return out, offsets
 
 
+def encoder(path: str) -> ChunkEncoder:
+    """The worker process's encoder: what one task learned serves the next."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_chunk_encoders", {})
+    if path not in held:
+        held[path] = ChunkEncoder(path)
+    return held[path]
+
+
 def text_blocks(column, limit: int = 1 << 20):
     """Lists of texts (null: empty) of an Arrow column, about ``limit`` characters each."""
     out, size = [], 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import END, ChunkEncoder, text_blocks
+from .tokens import END, encoder, text_blocks
 
 MAGIC = b"CWM1"
 STEP = 512
@@ -134,11 +134,11 @@ def id_rows(tokenizer: str, bounds: np.ndarray, bits: int, end: int):
     kind = np.uint16 if bits <= 16 else np.uint32
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer)
+        words = encoder(tokenizer)
         for batch in batches:
             at = 0
             for texts in text_blocks(batch.column("text")):
-                ids, offsets = encoder.encode(texts, end)
+                ids, offsets = words.encode(texts, end)
                 own = batch.column("doc_id").slice(at, len(texts))
                 at += len(texts)
                 shard = np.searchsorted(bounds, own.fill_null(np.iinfo(np.int64).min).to_numpy(), "right").astype(np.int32)
