@@ -37,8 +37,8 @@ from .common import BLOCK_BYTES, SpanHash, as_long, numbered, parts_for, row_blo
 
 LENGTH = 200
 SEED = 32
-HOT = 512
 BUCKET = 20_000
+HOT = BUCKET
 POSITION = np.uint64((1 << 20) - 1)
 PIECE = BLOCK_BYTES - 4096
 
