@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ends = lambda e: e.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()
     left = stage(ends(edges))
-    labels = left.select(F.explode(F.array("high", "low")).alias("node")).distinct().withColumn("root", F.col("node"))
+    labels = left.select(F.col("high").alias("node")).union(left.select("low")).distinct().withColumn("root", F.col("node"))
     while not left.isEmpty():
         parents = left.groupBy("high").agg(F.min("low").alias("to"))
         parents = stage(pointed(pointed(parents, "to", parents), "to", parents))

@@ -7,7 +7,7 @@ average), and a set goes to the child of its own token there; after ``DEPTH``
 levels two sets of similarity 0.8 share a leaf with probability 0.64, so after
 8 runs all but 3 in 10,000 such pairs have met (sets with more: fewer still).
 
-Leaves are brute-forced on tokens, in order of a hash: the first set not yet
+Leaves are brute-forced on tokens, in one order of all sets: the first not yet
 taken is compared with all others and takes what looks similar enough. A leaf
 over ``LEAF`` sets is dealt over blocks first, and what stays untaken goes on
 to a further round (split on one more token while that is still too much), so
@@ -194,7 +194,7 @@ def candidate_links(sets: DataFrame) -> DataFrame:
         sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
         rows = leaves.select("leaf", "id").join(sizes, "leaf").join(sets, "id")
         blocks = F.ceil(F.col("n") / LEAF).cast("int")
-        rows = rows.withColumn("blocks", blocks).withColumn("turn", F.xxhash64("leaf", "id")).withColumn("block", F.pmod("turn", "blocks").cast("int"))
+        rows = rows.withColumn("blocks", blocks).withColumn("turn", F.xxhash64("id")).withColumn("block", F.pmod("turn", "blocks").cast("int"))
         met = stage(rows.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "turn").select("leaf", "block", "blocks", "id", "tokens").mapInArrow(brute_force, "a long, b long, leaf long"))
         found = met.filter("b is not null").select("a", "b")
         links = found if links is None else links.unionByName(found)
