@@ -11,7 +11,8 @@ Leaves are brute-forced on tokens, in one order of all sets: the first not yet
 taken is compared with all others and takes what looks similar enough. A leaf
 over ``LEAF`` sets is dealt over blocks first, and what stays untaken goes on
 to a further round (split on one more token while that is still too much), so
-no task sees an unbounded leaf and no pairs are listed. The links found only
+no task sees an unbounded leaf and no pairs are listed. Sets that the first
+``FIRST_RUNS`` runs connect aren't linked again by later ones. The links only
 tell which sets to bring together: inside their connected classes all sets
 are compared exactly, in pairs of blocks of bounded size, and classes and
 link counts come from those comparisons alone.
@@ -34,6 +35,7 @@ WORDS = 5
 ALIKE = (4, 5)
 COORDINATES = 128
 RUNS = 8
+FIRST_RUNS = 2
 DEPTH = 3
 LOOKS_ALIKE = 0.66
 LEAF = 1000
@@ -118,60 +120,64 @@ def token_table(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
 
-def leaf_rows(batches):
-    for batch in batches:
-        ids = batch.column("id").to_numpy()
-        tokens = token_table(batch.column("tokens"))
-        for run in range(RUNS):
-            node, row = np.full(len(ids), mix(np.array([run + 1], np.uint64))[0]), np.arange(len(ids))
-            for _ in range(DEPTH):
-                node, row = children(node, row, tokens)
-            yield pa.RecordBatch.from_arrays([as_long(node), pa.array(ids[row])], ["leaf", "id"])
+def leaf_rows(runs: range):
+    """Task: the leaves of each set in these runs."""
+
+    def run_all(batches):
+        for batch in batches:
+            ids, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
+            tokens = token_table(batch.column("tokens"))
+            for run in runs:
+                node, row = np.full(len(ids), mix(np.array([run + 1], np.uint64))[0]), np.arange(len(ids))
+                for _ in range(DEPTH):
+                    node, row = children(node, row, tokens)
+                yield pa.RecordBatch.from_arrays([as_long(node), pa.array(ids[row]), pa.array(label[row])], ["leaf", "id", "label"])
+
+    return run_all
 
 
 def split_again(batches):
     for batch in batches:
-        ids, tokens = batch.column("id").to_numpy(), token_table(batch.column("tokens"))
+        ids, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
         node = batch.column("leaf").to_numpy().view(np.uint64)
-        node, row = children(node, np.arange(len(ids)), tokens)
-        yield pa.RecordBatch.from_arrays([as_long(node), pa.array(ids[row]), batch.column("tokens").take(pa.array(row))], ["leaf", "id", "tokens"])
+        node, row = children(node, np.arange(len(ids)), token_table(batch.column("tokens")))
+        yield pa.RecordBatch.from_arrays([as_long(node), pa.array(ids[row]), pa.array(label[row])], ["leaf", "id", "label"])
 
 
-def taken(ids: np.ndarray, tokens: np.ndarray) -> tuple[list, list, list]:
-    """Links (a, b) of one block, and the places of sets that took others or stayed alone."""
-    free = np.ones(len(ids), bool)
+def taken(label: np.ndarray, tokens: np.ndarray) -> tuple[list, list, list]:
+    """Links (a, b) between different labels of one block, and the places of sets that took others or stayed alone."""
+    free = np.ones(len(label), bool)
     a, b, heads = [], [], []
-    for i in range(len(ids)):
+    for i in range(len(label)):
         if free[i]:
             free[i] = False
             heads.append(i)
-            like = np.flatnonzero((tokens == tokens[i]).mean(axis=1) >= LOOKS_ALIKE)
-            like = like[like != i]
+            like = (tokens == tokens[i]).mean(axis=1) >= LOOKS_ALIKE
             free[like] = False
-            a += [int(ids[i])] * len(like)
-            b += ids[like].tolist()
+            other = np.unique(label[like & (label != label[i])])
+            a += [int(label[i])] * len(other)
+            b += other.tolist()
     return a, b, heads
 
 
 def brute_force(batches):
-    """Rows sorted by leaf and block: links, and heads of leaves in several blocks (b is null)."""
+    """Rows sorted by leaf and block: links of labels, and heads of leaves in several blocks (b is null)."""
 
     def done(table: pa.Table):
         leaf, block = table.column("leaf").to_numpy(), table.column("block").to_numpy()
-        ids, several = table.column("id").to_numpy(), table.column("blocks").to_numpy() > 1
+        ids, label, several = table.column("id").to_numpy(), table.column("label").to_numpy(), table.column("blocks").to_numpy() > 1
         tokens = token_table(table.column("tokens").combine_chunks())
         cut = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(block) != 0)) + 1
-        out_a, out_b, out_leaf = [], [], []
+        out = [], [], [], []
         for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)]):
-            a, b, heads = taken(ids[s:e], tokens[s:e])
-            out_a += a
-            out_b += b
-            out_leaf += [None] * len(a)
+            a, b, heads = taken(label[s:e], tokens[s:e])
+            rows = [(a, b, [None] * len(a), [None] * len(a))]
             if several[s]:
-                out_a += ids[s:e][heads].tolist()
-                out_b += [None] * len(heads)
-                out_leaf += [int(leaf[s])] * len(heads)
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_leaf, pa.int64())], ["a", "b", "leaf"])
+                rows.append((label[s:e][heads].tolist(), [None] * len(heads), [int(leaf[s])] * len(heads), ids[s:e][heads].tolist()))
+            for columns in rows:
+                for have, new in zip(out, columns):
+                    have += new
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "leaf", "id"])
 
     held = None
     for batch in batches:
@@ -186,28 +192,48 @@ def brute_force(batches):
         yield done(held)
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
-    """(a, b) pairs of sets (id, tokens) that met in a leaf and look alike; at most one a set, leaf and block."""
-    leaves = sets.mapInArrow(leaf_rows, "leaf long, id long")
+def candidate_links(sets: DataFrame, runs: range) -> DataFrame:
+    """(a, b) pairs of labels whose sets (id, label, tokens) met in a leaf of these runs and look alike.
+
+    A leaf of one label has nothing to add and isn't shuffled on; a pair of
+    labels comes at most once a head, leaf and block.
+    """
+    leaves = sets.mapInArrow(leaf_rows(runs), "leaf long, id long, label long")
     links = None
     for _ in range(ROUNDS):
-        sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = leaves.select("leaf", "id").join(sizes, "leaf").join(sets, "id")
+        sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        rows = leaves.select("leaf", "id").join(sizes.filter("low < high").select("leaf", "n"), "leaf").join(sets, "id")
         blocks = F.ceil(F.col("n") / LEAF).cast("int")
         rows = rows.withColumn("blocks", blocks).withColumn("turn", F.xxhash64("id")).withColumn("block", F.pmod("turn", "blocks").cast("int"))
-        met = stage(rows.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "turn").select("leaf", "block", "blocks", "id", "tokens").mapInArrow(brute_force, "a long, b long, leaf long"))
+        rows = rows.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "turn").select("leaf", "block", "blocks", "id", "label", "tokens")
+        met = stage(rows.mapInArrow(brute_force, "a long, b long, leaf long, id long"))
         found = met.filter("b is not null").select("a", "b")
         links = found if links is None else links.unionByName(found)
-        heads = met.filter("b is null").select("leaf", F.col("a").alias("id"))
+        heads = met.filter("b is null").select("leaf", "id", F.col("a").alias("label"))
         if heads.isEmpty():
             break
         size = heads.groupBy("leaf").agg(F.count("*").alias("n"))
         small = heads.join(size.filter(F.col("n") <= LEAF).select("leaf"), "leaf", "left_semi")
-        large = heads.join(size.filter(F.col("n") > LEAF).select("leaf"), "leaf", "left_semi").join(sets, "id").select("leaf", "id", "tokens")
-        leaves = stage(small.select("leaf", "id").unionByName(large.mapInArrow(split_again, "leaf long, id long, tokens binary").select("leaf", "id")))
+        large = heads.join(size.filter(F.col("n") > LEAF).select("leaf"), "leaf", "left_semi").join(sets.select("id", "tokens"), "id")
+        leaves = stage(small.select("leaf", "id", "label").unionByName(large.select("leaf", "id", "label", "tokens").mapInArrow(split_again, "leaf long, id long, label long")))
     return links
 
 
+def coarse_classes(sets: DataFrame) -> DataFrame:
+    """(node, root) of every set (id, tokens) that anything looks like.
+
+    The first runs connect most of each class. The rest bring together only
+    what isn't connected yet, so a group of copies isn't linked anew in every run.
+    """
+    known = components(candidate_links(sets.withColumn("label", F.col("id")), range(FIRST_RUNS)))
+    joined = sets.join(known.select(F.col("node").alias("id"), "root"), "id", "left")
+    labelled = stage(joined.select("id", "tokens", "root", F.coalesce("root", "id").alias("label")))
+    late = components(candidate_links(labelled.select("id", "label", "tokens"), range(FIRST_RUNS, RUNS)))
+    late = late.select(F.col("node").alias("label"), F.col("root").alias("late"))
+    found = labelled.select("id", "root", "label").join(late, "label", "left").select(F.col("id").alias("node"), F.coalesce("late", "root").alias("root"))
+    return stage(found.filter("root is not null"))
+
+
 def compared(table: pa.Table) -> pa.Table:
     """Exact links of one pair of blocks: per set its number of linked documents and the least set it hangs with."""
     data, offsets = utf8_of(table.column("text"))
@@ -259,7 +285,7 @@ def near_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = ["set_a", "set_b", "n_shingles"]
     sets = all_rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("row_id").alias("id"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("tokens").alias("tokens"))
     sets = stage(sets)
-    coarse = components(candidate_links(sets.select("id", "tokens")))
+    coarse = coarse_classes(sets.select("id", "tokens"))
     known = coarse.join(sets.select(F.col("id").alias("node"), "copies", "n_shingles"), "node")
     bulk = known.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("n") / LEAF), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
