@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import END, encoder, text_blocks
+from .tokens import END, column_blocks, encoder
 
 WINDOW = 4096
 OPEN = 2048
@@ -136,7 +136,7 @@ def packer(tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool
         sequence = TaskContext.get().partitionId() << 36
         for batch in batches:
             at = 0
-            for texts in text_blocks(batch.column("text")):
+            for texts in column_blocks(batch.column("text")):
                 ids, offsets = words.encode(texts, end)
                 for i, doc_id in enumerate(batch.column("doc_id").slice(at, len(texts)).to_pylist()):
                     levels.add(doc_id, ids[offsets[i] : offsets[i + 1]].astype(np.uint32))

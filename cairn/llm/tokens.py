@@ -1,18 +1,27 @@
 """Whole-text encoding with the ``tokenizers`` library, word by word.
 
 A tokenizer that drops white space gives a text the ids of its space-separated
-chunks one after another, so each different chunk is encoded once a task and
-texts become array look-ups.
+chunks one after another, so each different chunk is encoded once a worker and
+texts become array look-ups. Arrow splits the texts and finds the different
+chunks of a block; new chunks are encoded many to a call, with one of the
+tokenizer's special tokens between them, whose id tells them apart again.
 """
 
-import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import row_blocks, utf8_of
 
 END = 2
 #: A stop after a letter is a word of its own to the tokenizer, so it may stand apart.
-WORD_STOP = re.compile(r"([.,])(?=[ \n]|\Z)(?<=[^\W\d_].)")
+WORD_STOP = r"(\pL)([.,])([ \n]|\z)"
+#: What every special token of the tokenizer begins with.
+CONTROL = "<|"
+JOINED = 64
+BLOCK_BYTES = 4 << 20
 CACHED_CHARS = 32_000_000
 CACHED_CHUNKS = 600_000
 
@@ -29,6 +38,8 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith(CONTROL)}
+        self.between, self.between_id = min(special.items())
         self.reset()
 
     def reset(self):
@@ -40,13 +51,23 @@ class ChunkEncoder:
         self.size = np.zeros(0, np.int64)
 
     def learn(self, chunks: list[str]):
+        chunks.sort(key=lambda c: CONTROL in c)  # those could hold the token that stands between
+        plain = next((i for i, c in enumerate(chunks) if CONTROL in c), len(chunks))
         self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks))))
         self.chars += sum(map(len, chunks))
-        for at in range(0, len(chunks), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
-            self.parts.append((ids, size))
+        for at in range(0, plain, 64 * JOINED):
+            group = chunks[at : min(at + 64 * JOINED, plain)]
+            joined = [self.between.join([*group[k : k + JOINED], ""]) for k in range(0, len(group), JOINED)]
+            ids = self.ids_of(joined)[0]
+            stops = np.flatnonzero(ids == self.between_id)
+            self.parts.append((ids[ids != self.between_id], np.diff(stops, prepend=-1) - 1))
+        if plain < len(chunks):
+            self.parts.append(self.ids_of(chunks[plain:]))
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(size.sum())), size
 
     def gather(self):
         """Arrays of what was learned, with the newest parts behind."""
@@ -56,22 +77,22 @@ class ChunkEncoder:
         self.start = np.cumsum(self.size) - self.size
         self.parts = []
 
-    def encode(self, texts: list[str], end: int = END) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, ``end`` after each text, and the offsets of the texts."""
+    def encode(self, texts, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, ``end`` after each text (list or Arrow column; null: empty), and the offsets of the texts."""
         if len(self.index) > CACHED_CHUNKS or self.chars > CACHED_CHARS:
             self.reset()
-        chunks, sizes = [], []
-        for t in texts:
-            if "<|" not in t:  # could spell a special token
-                t = t.encode().lower().decode()  # A-Z only
-            own = WORD_STOP.sub(r" \1", t).replace("\n", " ").split(" ")
-            chunks += own
-            sizes.append(len(own))
-        new = set(chunks).difference(self.index)
+        data, begins = utf8_of(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(begins), pa.py_buffer(data))  # begins at 0, as a slice doesn't
+        texts = pc.if_else(pc.match_substring(texts, CONTROL), texts, pc.ascii_lower(texts))
+        split = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(texts, WORD_STOP, r"\1 \2\3"), "\n", " "), " ")
+        sizes = pc.list_value_length(split).to_numpy()
+        chunks = split.flatten().dictionary_encode()
+        own = chunks.dictionary.to_pylist()
+        new = [c for c in own if c not in self.index]
         if new:
-            self.learn(sorted(new))
+            self.learn(new)
             self.gather()
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))[chunks.indices.to_numpy()]
         size = self.size[at]
         first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         lengths = np.add.reduceat(size, first) if len(texts) else np.zeros(0, np.int64)
@@ -95,6 +116,12 @@ def encoder(path: str) -> ChunkEncoder:
     return held[path]
 
 
+def column_blocks(column):
+    """Slices of an Arrow column of texts, of about ``BLOCK_BYTES`` each."""
+    for a, b in row_blocks(utf8_of(column)[1], BLOCK_BYTES):
+        yield column.slice(a, b - a)
+
+
 def text_blocks(column, limit: int = 1 << 20):
     """Lists of texts (null: empty) of an Arrow column, about ``limit`` characters each."""
     out, size = [], 0

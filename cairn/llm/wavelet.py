@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import END, encoder, text_blocks
+from .tokens import END, column_blocks, encoder
 
 MAGIC = b"CWM1"
 STEP = 512
@@ -137,7 +137,7 @@ def id_rows(tokenizer: str, bounds: np.ndarray, bits: int, end: int):
         words = encoder(tokenizer)
         for batch in batches:
             at = 0
-            for texts in text_blocks(batch.column("text")):
+            for texts in column_blocks(batch.column("text")):
                 ids, offsets = words.encode(texts, end)
                 own = batch.column("doc_id").slice(at, len(texts))
                 at += len(texts)

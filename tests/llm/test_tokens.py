@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +38,14 @@ def test_special_strings_and_long_chunks():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == want_ids(t)
 
 
+def test_slices_of_a_column(words):
+    texts = [None, *(words(40, i) + " ÉCOLE é. ñ, " for i in range(50)), "", None, "Ende."]
+    column = pa.array(texts, pa.string())
+    for a, b in ((0, 54), (7, 30), (50, 54), (54, 54)):
+        ids, offsets = CHUNKED.encode(column.slice(a, b - a))
+        assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(b - a)] == [want_ids(t) for t in texts[a:b]]
+
+
 def corpus(spark, words):
     texts = [None, "", "one", words(9000, 1), words(6000, 2)] + [words(5 + 37 * i % 900, i) for i in range(150)]
     rows = [(None if i == 7 else i % 140, t, 5) for i, t in enumerate(texts)]
