@@ -7,15 +7,17 @@ average), and a set goes to the child of its own token there; after ``DEPTH``
 levels two sets of similarity 0.8 share a leaf with probability 0.64, so after
 8 runs all but 3 in 10,000 such pairs have met (sets with more: fewer still).
 
-Leaves are brute-forced on tokens, in one order of all sets: the first not yet
-taken is compared with all others and takes what looks similar enough. A leaf
-over ``LEAF`` sets is dealt over blocks first, and what stays untaken goes on
-to a further round (split on one more token while that is still too much), so
-no task sees an unbounded leaf and no pairs are listed. Sets that the first
-``FIRST_RUNS`` runs connect aren't linked again by later ones. The links only
-tell which sets to bring together: inside their connected classes all sets
-are compared exactly, in pairs of blocks of bounded size, and classes and
-link counts come from those comparisons alone.
+The first ``FIRST_RUNS`` runs only connect what is easily found: in each leaf
+the first set not yet taken takes what looks similar enough, a leaf over
+``LEAF`` sets is dealt over blocks, and for ``ROUNDS`` rounds what stays
+untaken goes on (split on one more token while that is still too much).
+Nothing that they leave apart is lost: all runs are then gone through again,
+and in every leaf that still holds several classes each two sets of different
+classes are compared on tokens, in pairs of blocks of ``LEAF`` sets if the
+leaf is larger (work by the square of what isn't connected yet, over tasks).
+The links only tell which sets to bring together: inside their connected
+classes all sets are compared exactly, in pairs of blocks of bounded size, and
+classes and link counts come from those comparisons alone.
 
 Words are runs of 0-9, a-z and non-ASCII characters after lower-casing A-Z;
 a text of fewer than ``WORDS`` words has one shingle of all; null and wordless
@@ -219,16 +221,91 @@ def candidate_links(sets: DataFrame, runs: range) -> DataFrame:
     return links
 
 
+def linked(label: np.ndarray, tokens: np.ndarray, side: np.ndarray, across: bool) -> tuple[list, list]:
+    """Links that connect all labels with sets that look alike, over all pairs (of one block, or ``across`` two sides)."""
+    a, b = [], []
+    known = np.unique(label, return_inverse=True)[1]
+    for i in np.flatnonzero(side == 0).tolist() if across else range(len(label)):
+        other = np.flatnonzero((known != known[i]) & (side == 1)) if across else i + 1 + np.flatnonzero(known[i + 1 :] != known[i])
+        if not len(other):
+            continue
+        like = other[(tokens[other] == tokens[i]).mean(axis=1) >= LOOKS_ALIKE]
+        for j in like.tolist():
+            if known[j] != known[i]:
+                a.append(int(label[i]))
+                b.append(int(label[j]))
+                known[known == known[j]] = known[i]
+    return a, b
+
+
+def compare_pairs(batches):
+    """Rows sorted by leaf and pair: links of labels."""
+
+    def done(table: pa.Table):
+        keys = [table.column(c).to_numpy() for c in ("leaf", "g1", "b1", "g2", "b2")]
+        label, side = table.column("label").to_numpy(), table.column("side").to_numpy()
+        across = (keys[1] != keys[3]) | (keys[2] != keys[4])
+        tokens = token_table(table.column("tokens").combine_chunks())
+        cut = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+        out = [], []
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(label)]):
+            a, b = linked(label[s:e], tokens[s:e], side[s:e], bool(across[s]))
+            out[0].extend(a)
+            out[1].extend(b)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = [held.column(c).to_numpy() for c in ("leaf", "g1", "b1", "g2", "b2")]
+        last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+        if len(last) and held.num_rows > 2 * LEAF:
+            yield done(held.slice(0, int(last[-1]) + 1))
+            held = held.slice(int(last[-1]) + 1)
+    if held is not None and held.num_rows:
+        yield done(held)
+
+
+def remaining_links(sets: DataFrame, runs: range) -> DataFrame:
+    """(a, b) pairs of labels whose sets (id, label, tokens) share a leaf of these runs and look alike, whatever the leaf's size.
+
+    In a leaf over ``LEAF`` sets a label with more than that has blocks of its
+    own, which aren't compared with each other; other labels share blocks.
+    """
+    leaves = sets.mapInArrow(leaf_rows(runs), "leaf long, id long, label long").distinct()
+    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rows = stage(leaves.join(sizes.select("leaf", "n"), "leaf"))
+    pair = ["leaf", "g1", "b1", "g2", "b2"]
+    zero = [F.lit(0).cast("long").alias("g1"), F.lit(0).alias("b1"), F.lit(0).cast("long").alias("g2"), F.lit(0).alias("b2"), F.lit(0).alias("side")]
+    todo = rows.filter(F.col("n") <= LEAF).select("leaf", "id", "label", *zero)
+    crowded = rows.filter(F.col("n") > LEAF)
+    if not crowded.isEmpty():
+        large = crowded.groupBy("leaf", "label").agg(F.count("*").alias("own")).filter(F.col("own") > LEAF).select("leaf", "label", F.col("label").alias("large"))
+        grouped = crowded.join(large, ["leaf", "label"], "left").select("leaf", "id", "label", F.coalesce("large", F.lit(-1)).alias("g"))
+        count = grouped.groupBy("leaf", "g").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"))
+        placed = stage(grouped.join(count, ["leaf", "g"]).select("leaf", "id", "label", "g", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("b")))
+        blocks = placed.select("leaf", "g", "b").distinct()
+        one, two = (blocks.select("leaf", F.col("g").alias(f"g{k}"), F.col("b").alias(f"b{k}")) for k in (1, 2))
+        pairs = stage(one.join(two, "leaf").filter("(g1 < g2) or (g1 = g2 and g1 = -1 and b1 <= b2)"))
+        for side, k in ((0, 1), (1, 2)):
+            at = pairs.select(*pair, F.col(f"g{k}").alias("g"), F.col(f"b{k}").alias("b"))
+            at = at if side == 0 else at.filter("g1 <> g2 or b1 <> b2")
+            todo = todo.unionByName(placed.join(at, ["leaf", "g", "b"]).select("leaf", "id", "label", *pair[1:], F.lit(side).alias("side")))
+    todo = todo.join(sets.select("id", "tokens"), "id").repartition(*pair).sortWithinPartitions(*pair, "side", "id")
+    return stage(todo.select(*pair, "side", "label", "tokens").mapInArrow(compare_pairs, "a long, b long"))
+
+
 def coarse_classes(sets: DataFrame) -> DataFrame:
     """(node, root) of every set (id, tokens) that anything looks like.
 
-    The first runs connect most of each class. The rest bring together only
+    The first runs connect most of each class. Then all runs bring together
     what isn't connected yet, so a group of copies isn't linked anew in every run.
     """
     known = components(candidate_links(sets.withColumn("label", F.col("id")), range(FIRST_RUNS)))
     joined = sets.join(known.select(F.col("node").alias("id"), "root"), "id", "left")
     labelled = stage(joined.select("id", "tokens", "root", F.coalesce("root", "id").alias("label")))
-    late = components(candidate_links(labelled.select("id", "label", "tokens"), range(FIRST_RUNS, RUNS)))
+    late = components(remaining_links(labelled.select("id", "label", "tokens"), range(RUNS)))
     late = late.select(F.col("node").alias("label"), F.col("root").alias("late"))
     found = labelled.select("id", "root", "label").join(late, "label", "left").select(F.col("id").alias("node"), F.coalesce("late", "root").alias("root"))
     return stage(found.filter("root is not null"))

@@ -61,3 +61,23 @@ def test_empty_and_null_ids(spark):
     docs = stage(spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, None)], "doc_id long, text string"))
     assert sorted((r.n_links, r.n_class) for r in nj.classed(docs).collect()) == [(0, 1), (1, 2), (1, 2)]
     assert nj.classed(stage(docs.limit(0))).count() == 0
+
+
+def held_to_brute(spark, texts):
+    docs = stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    n_links, root = brute(texts)
+    got = {x.doc_id: x for x in nj.classed(docs).collect()}
+    assert [(got[i].class_id, got[i].n_links, got[i].n_class) for i in range(len(texts))] == [(root[i], n_links[i], root.count(root[i])) for i in range(len(texts))]
+
+
+def test_crowded_leaves_are_finished_whatever_the_rounds(spark, words, monkeypatch):
+    """Pages of one template, unlike each other but for pairs of near copies."""
+    monkeypatch.setattr(nj, "LEAF", 8)
+    monkeypatch.setattr(nj, "ROUNDS", 1)
+    monkeypatch.setattr(nj, "DEPTH", 0)
+    monkeypatch.setattr(nj, "RUNS", 3)
+    r, template, texts = random.Random(3), words(160, 1, 5000), []
+    for k in range(25):
+        page = template + " " + words(75, 100 + k, 5000)
+        texts += [page, edited(page, r, 2)]
+    held_to_brute(spark, texts)
