@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cairn.llm import near_join as nj
@@ -81,3 +82,20 @@ def test_crowded_leaves_are_finished_whatever_the_rounds(spark, words, monkeypat
         page = template + " " + words(75, 100 + k, 5000)
         texts += [page, edited(page, r, 2)]
     held_to_brute(spark, texts)
+
+
+def test_a_bridge_between_clusters_is_found():
+    """Two sets that heads of their own take, alike only to each other."""
+    j = np.arange(nj.COORDINATES, dtype=np.uint16)
+    k, h = j.copy(), j.copy()
+    k[:18] += 1000
+    h[88:] += 2000
+    g = k.copy()
+    g[88:] += 3000
+    tokens, label = np.array([h, g, j, k]), np.arange(4)
+    alike = (tokens[:, None] == tokens[None]).mean(axis=2) >= nj.LOOKS_ALIKE
+    assert alike[2, 3] and alike[0, 2] and alike[1, 3] and not alike[0, 1] and not alike[0, 3] and not alike[1, 2]
+    a, b = nj.linked(label, tokens, np.zeros(4, int), False)
+    assert {frozenset(x) for x in zip(a, b)} == {frozenset((0, 2)), frozenset((1, 3)), frozenset((2, 3))}
+    a, b = nj.linked(label, tokens, np.array([0, 1, 0, 1]), True)
+    assert frozenset((2, 3)) in {frozenset(x) for x in zip(a, b)}
