@@ -6,7 +6,8 @@ of a bounded labelled sample (``PER_LABEL`` texts of each label, chosen by
 hash of doc_id) gives the space; the sample's vectors and the projection are
 broadcast, a few MB whatever the input. Every text is then projected, its
 cosines with all labelled vectors are computed in blocks, and its ``NEAREST``
-vote with weight by similarity. No text is shuffled.
+vote with weight by similarity. Of a repeated labelled doc_id the least text
+is in the sample, once; no text but the sample's is shuffled.
 
 Null and empty texts score the sample's mean label; labels that are null or
 of unknown documents teach nothing; with no labels all score 0.5; repeated
@@ -116,16 +117,17 @@ class Voters:
 def fitted(docs: DataFrame, labels: DataFrame, held_out, per_label: int = PER_LABEL) -> Voters:
     """Voters from at most ``per_label`` labelled texts of each label that aren't held out."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = rows.filter("doc_id is not null and quality in (0, 1)").filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    rows = rows.filter("doc_id is not null and quality in (0, 1)").filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).distinct()
     chosen = None
     for label in (0, 1):
         one = rows.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         chosen = one if chosen is None else chosen.unionByName(one)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(sample_rows, "quality int, weights binary").collect()
+    one_each = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    sample = one_each.select("quality", "text").mapInArrow(sample_rows, "quality int, weights binary").collect()  # per_label rows a label at most
     sample.sort(key=lambda r: (r.quality, bytes(r.weights)))
-    weights = np.array([np.frombuffer(r.weights, np.float16) for r in sample[: 4 * per_label]], np.float32).reshape(-1, TERMS)
-    return Voters(weights, np.array([r.quality for r in sample[: 4 * per_label]]))
+    weights = np.array([np.frombuffer(r.weights, np.float16) for r in sample], np.float32).reshape(-1, TERMS)
+    return Voters(weights, np.array([r.quality for r in sample]))
 
 
 def block_scores(voters: Voters, column):

@@ -45,3 +45,12 @@ def test_quality_edges(spark, labelled):
     voters = neighbours.fitted(docs, labels, held_out(5, 0))
     assert neighbours.scored(docs, voters, held_out(5, 0)).count() == 4
     assert neighbours.scored(docs.limit(0), voters, held_out(5, 0)).count() == 0
+
+
+def test_quality_sample_is_bounded_for_each_label(spark):
+    """A labelled doc_id repeated in documents or labels takes one place of its own label only."""
+    rows = [(1, "junk # junk")] * 40 + [(2, "fine words"), (3, "more fine words"), (5, "other junk #")]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0)] + [(2, 1)] * 10 + [(3, 1)] * 10 + [(5, 0)], "doc_id long, quality int")
+    none = lambda doc_id: F.lit(False)
+    assert sorted(neighbours.fitted(docs, labels, none, 2).labels.tolist()) == [0, 0, 1, 1]
