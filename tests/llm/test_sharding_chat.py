@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cairn.llm import chat, sharding
+from cairn.llm.common import stage
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -26,6 +27,17 @@ def test_loads_are_bounded_and_slots_gapless(spark, words):
     assert sharding.sharded(docs.limit(0)).count() == 0
 
 
+def test_loads_are_bounded_when_a_third_has_one_doc_id(spark, words):
+    rows = [(7, words(40, 1))] * 1500 + [(None, words(20 + i % 40, i)) for i in range(1500)] + [(100 + i, words(20 + i % 40, 5000 + i)) for i in range(1500)]
+    got = sharding.sharded(stage(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    load, slots = [0] * 8, [[] for _ in range(8)]
+    for r in got:
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots)
+    assert max(load) <= sum(load) / 8 * 1.01
+
+
 def test_one_more_shard_moves_little():
     weights = np.random.default_rng(0).integers(1, 1000, sharding.CELLS)
     a, b = sharding.assigned(weights, 8, 0.1), sharding.assigned(weights, 9, 0.1)
