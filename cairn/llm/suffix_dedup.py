@@ -9,27 +9,36 @@ lost, and one suffix stands for about 85 windows. Windows in a row with one
 anchor form a *stretch*.
 
 1. Count anchor seeds; only stretches whose seed occurs twice go on.
-2. Equal stretches (fingerprints of 128 bits) are repeats as a whole. They are
-   folded before any shuffle of bytes, so groups of copies cost one entry.
-3. The rest, one entry for each different stretch, is the suffix array: tasks
-   sort their suffixes, front-code the sorted runs, and exchange them; each
-   bucket combines its runs with a loser tree that carries the longest common
-   prefix with the last output and compares bytes only beyond it. The common
-   prefixes (to the right) and refined classes of left contexts then tell
-   which windows occur twice, byte for byte.
-4. A seed with over ``HOT`` different stretches (a passage quoted everywhere
-   among different text) can't be one bucket: its windows are counted by
-   digest with map-side aggregation instead. Both ways are exact and complete.
-
-Nulls count as empty texts; texts under LENGTH bytes keep all; repeated rows
-are further places, so copies of LENGTH bytes and more are removed in each.
-Other columns of the input are ignored.
+2. Equal stretches (fingerprints of 128 bits) share one entry of the array,
+   folded inside each block of texts first, then over all blocks: a passage
+   that everybody quotes is one row a block, not one a document. What a block
+   holds twice is removed there and then.
+3. All entries are merge-sorted by what follows the anchor, then by what
+   precedes it, nearest byte first. Tasks sort and front-code runs and cut them
+   at separators drawn from a sample; each range combines its runs with a loser
+   tree that carries the longest common prefix with the last output and
+   compares bytes only beyond it. The common prefixes (to the right) and
+   refined classes of left contexts then tell which windows occur twice, byte
+   for byte; an entry folded from several stretches has all its windows twice.
+4. A separator is cut back to ``SEED`` bytes unless one seed fills more than a
+   range. Only then can equal windows lie on both sides of it; these windows,
+   a prefix of the separator each, are settled by digest, with map-side
+   aggregation.
+
+All ways are exact and complete. Nulls count as empty texts; texts under
+LENGTH bytes keep all; a very long text is read in overlapping pieces of a
+megabyte; repeated rows are further places, so copies of LENGTH bytes and more
+are removed in each; an empty table gives no rows. Other columns of the input
+are ignored. Ranges are ``RANGE`` entries each, or more if there would be over
+``MOST_RANGES`` of them (their separators are broadcast with the tasks).
 """
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +46,14 @@ from .common import BLOCK_BYTES, SpanHash, as_long, numbered, parts_for, row_blo
 
 LENGTH = 200
 SEED = 32
-BUCKET = 20_000
-HOT = BUCKET
+#: Entries in a range, in a sorted run and, at most, in the sample that separators come from.
+RANGE = 60_000
+RUN = 50_000
+SAMPLE = 200_000
+#: One stretch in so many carries its suffix as a candidate for the sample.
+SAMPLED = 256
+MOST_RANGES = 1 << 16
+FOLDED_BYTES = 16 << 20
 POSITION = np.uint64((1 << 20) - 1)
 PIECE = BLOCK_BYTES - 4096
 
@@ -96,17 +111,65 @@ def seed_counts(batches):
             yield pa.RecordBatch.from_arrays([as_long(seed), pa.array(n, pa.int64())], ["seed", "n"])
 
 
-def stretch_rows(batches):
-    names = ["row_id", "place", "seed", "mark_a", "mark_b"]
+def reach(count, left):
+    """Bytes from the anchor on that a stretch's windows cover; the last of them begins behind or at it at most."""
+    return LENGTH - (left - count + 1)
+
+
+MARKS = "row_id long, place long, seed long, mark_a long, mark_b long, n long, head binary, stop long"
+
+
+def folded(held: list) -> pa.RecordBatch:
+    """One row for each different stretch of a block (its first place, how often), and spans of what the block holds twice."""
+    row_id, place, seed, a, b = (np.concatenate(x) for x in list(zip(*held))[:5])
+    heads: dict = {}
+    for x in held:
+        heads.update(x[5])
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+    first = np.flatnonzero(new)
+    n = np.diff(np.concatenate((first, [len(order)])))
+    lead = order[first]
+    twin = np.zeros(len(order), bool)
+    twin[order] = np.repeat(n > 1, n)
+    at = np.flatnonzero(twin)
+    start, stop = place[at] >> 20, (place[at] >> 20) + ((place[at] >> 10) & 1023) + (LENGTH - 1)
+    cut = np.ones(len(at), bool)
+    cut[1:] = (np.diff(row_id[at]) != 0) | (start[1:] > stop[:-1])
+    begin = np.flatnonzero(cut)
+    end = np.maximum.reduceat(stop, begin) if len(at) else stop
+    none = [None] * len(begin)
+    kinds = [row_id[lead], place[lead], seed[lead].view(np.int64), a[lead].view(np.int64), b[lead].view(np.int64), n]
+    spans = [row_id[at[begin]], start[begin] << 20, seed[at[begin]].view(np.int64)]
+    columns = [pa.array(np.concatenate((x, y)), pa.int64()) for x, y in zip(kinds[:3], spans)]
+    columns += [pa.concat_arrays([pa.array(x, pa.int64()), pa.array(none, pa.int64())]) for x in kinds[3:]]
+    columns.append(pa.array([heads.get(k) for k in zip(kinds[0].tolist(), kinds[1].tolist())] + none, pa.binary()))
+    columns.append(pa.concat_arrays([pa.nulls(len(lead), pa.int64()), pa.array(end, pa.int64())]))
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in MARKS.split(", ")])
+
+
+def mark_rows(batches):
     for batch in batches:
         ids = batch.column("row_id").to_numpy(zero_copy_only=False)
         data, offsets = utf8_of(batch.column("text"))
+        held, size = [], 0
         for first, at, part, rows in pieces_of(data, offsets):
             start, count, anchor, seed, a, b = stretches(part, rows)
             row = np.searchsorted(rows, start, "right") - 1
-            inside = start - rows[row] + at
-            place = (inside << 20) | (count << 10) | (anchor - start)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first + row], pa.int64()), pa.array(place, pa.int64()), as_long(seed), as_long(a), as_long(b)], names)
+            place = ((start - rows[row] + at) << 20) | (count << 10) | (anchor - start)
+            own = ids[first + row]
+            heads = {}
+            for k in np.flatnonzero(a % np.uint64(SAMPLED) == 0).tolist():
+                s, left = int(anchor[k]), int(anchor[k] - start[k])
+                heads[int(own[k]), int(place[k])] = part[s : s + reach(int(count[k]), left)].tobytes() + part[start[k] : s].tobytes()[::-1]
+            held.append((own, place, seed, a, b, heads))
+            size += len(part)
+            if size >= FOLDED_BYTES:
+                yield folded(held)
+                held, size = [], 0
+        if held:
+            yield folded(held)
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -190,133 +253,167 @@ def merged(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[tuple
     return order, prefixes
 
 
-def repeated_windows(prefixes, lefts: list[bytes], count, whole) -> np.ndarray:
-    """Boolean [entry, bytes before the anchor]: that window occurs in another entry.
+def repeated_windows(prefixes, entries: list[bytes], count, left, several) -> np.ndarray:
+    """Boolean [entry, bytes before the anchor]: that window occurs in another stretch.
 
-    ``prefixes`` belong to suffixes in sorted order; ``lefts`` are the bytes
-    before the anchors, nearest first. Windows that reach ``b`` bytes back
-    agree if the suffixes share LENGTH - b bytes (one run in the order) and
-    the b bytes before agree (classes refined byte by byte).
+    ``prefixes`` are what each of the sorted ``entries`` shares with the one
+    before. Windows that reach ``b`` bytes back agree if the suffixes share
+    LENGTH - b bytes (one run in the order) and the b bytes before agree
+    (classes refined byte by byte). Entries that share less than a seed with
+    their neighbours are left out of all that.
     """
-    n = len(prefixes)
-    reach = np.array([len(x) for x in lefts])
-    wide = LENGTH - SEED + 1
+    n, wide = len(prefixes), LENGTH - SEED + 1
     out = np.zeros((n, wide), bool)
+    near = np.zeros(n + 1, bool)
+    near[:n] = prefixes >= SEED
+    live = np.flatnonzero(near[:n] | near[1:])
     table = np.zeros((n, wide), np.uint8)
-    for i, x in enumerate(lefts):
+    for i in live.tolist():
+        x = entries[i][reach(int(count[i]), int(left[i])) :]
         table[i, : len(x)] = np.frombuffer(x, np.uint8)
-    live, kind = np.arange(n), np.zeros(n, np.int64)
-    for back in range(int(reach.max(initial=0)) + 1):
-        keep = reach[live] >= back
+    kind = np.zeros(len(live), np.int64)
+    for back in range(int(left[live].max(initial=-1)) + 1):
+        keep = left[live] >= back
         live, kind = live[keep], kind[keep]
         if back:
             kind = np.unique(kind * 256 + table[live, back - 1], return_inverse=True)[1]
         run = np.cumsum(prefixes < LENGTH - back)[live]
-        active = back > reach[live] - count[live]
+        active = back > left[live] - count[live]
         both = run[active] * (n + 1) + kind[active]
         _, which, times = np.unique(both, return_inverse=True, return_counts=True)
         out[live[active], back] = times[which] > 1
-    out[whole] = False
+    back = np.arange(wide)[None, :]
+    return out | (several[:, None] & (back <= left[:, None]) & (back > (left - count)[:, None]))
+
+
+def separators(heads: list[bytes], ranges: int) -> list[bytes]:
+    """Shortest strings of ``SEED`` bytes or more that part sorted entries like the sample into equal ranges."""
+    heads, out = sorted(heads), []
+    for i in range(1, ranges):
+        x = heads[i * len(heads) // ranges] if heads else b""
+        known = common_prefix(out[-1], x, 0) if out else 0
+        if len(x) > known and (not out or x > out[-1]):
+            out.append(x[: max(SEED, known + 1)])
     return out
 
 
-def runs_and_digests(buckets: int):
-    """Task: cut the stretches out of the texts; sorted front-coded runs by bucket, or digests for hot seeds."""
-    names = ["bucket", "shared", "sizes", "tails", "meta", "lefts", "digest", "row_id", "start"]
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+RUNS = "range int, shared binary, sizes binary, tails binary, meta binary"
+FOUND = "mark_a long, mark_b long, start long, stop long, digest binary, n long"
+
+
+def sorted_runs(cuts: list[bytes]):
+    """Task: cut the wanted entries out of the texts; sorted front-coded runs, parted by range."""
 
-    def rows(found: dict):
-        for bucket, entries in found.items():
-            entries.sort(key=lambda x: x[0])
-            shared, sizes, tails = front_coded([x[0] for x in entries])
-            meta = np.array([x[2:] for x in entries], np.int64).tobytes()
-            yield [bucket, shared.tobytes(), sizes.tobytes(), tails, meta, b"".join(x[1] for x in entries), None, None, None]
+    def rows(found: list):
+        found.sort(key=lambda x: x[0])
+        at = [bisect_right(cuts, x[0]) for x in found]
+        first = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
+        for s, e in zip(first, [*first[1:], len(found)]):
+            shared, sizes, tails = front_coded([x[0] for x in found[s:e]])
+            yield [at[s], shared.tobytes(), sizes.tobytes(), tails, np.array([x[1:] for x in found[s:e]], np.int64).tobytes()]
 
-    def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+    def batch_of(found: list):
+        types = [pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows(found)), types)], [x.split()[0] for x in RUNS.split(", ")])
 
     def run(batches):
-        found: dict = {}
-        held, out = 0, []
+        found: list = []
         for batch in batches:
             data, offsets = utf8_of(batch.column("text"))
-            ids = batch.column("row_id").to_pylist()
-            raw = data.tobytes()
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                base, end = int(offsets[i]), int(offsets[i + 1])
-                for x in wanted:
-                    place = x["place"]
-                    start, count, left = place >> 20, (place >> 10) & 1023, place & 1023
-                    anchor = base + start + left
-                    if x["hot"]:
-                        for p in range(start, start + count):
-                            digest = hashlib.blake2b(raw[base + p : base + p + LENGTH], digest_size=16).digest()
-                            out.append([None] * 6 + [digest, None if x["whole"] else ids[i], p])
-                    else:
-                        reach = LENGTH - max(0, left - count + 1)
-                        entry = (raw[anchor : min(anchor + reach, end)], raw[base + start : anchor][::-1], ids[i], place, int(x["whole"]))
-                        found.setdefault(((x["seed"] >> 8) & 0x7FFFFFFF) % buckets, []).append(entry)
-                        held += 1
-                if held >= 50_000 or len(out) >= 20_000:
-                    out += rows(found)
-                    yield batch_of(out)
-                    found, held, out = {}, 0, []
-        out += rows(found)
-        if out:
-            yield batch_of(out)
+            wanted = batch.column("wanted")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+            wanted = wanted.flatten()
+            place, a, b, several = (wanted.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            count, left = (place >> 10) & 1023, place & 1023
+            start = offsets[row] + (place >> 20)
+            anchor = start + left
+            stop = anchor + reach(count, left)
+            shape = several.astype(np.int64) << 20 | count << 10 | left
+            for s, m, e, *meta in zip(start.tolist(), anchor.tolist(), stop.tolist(), a.tolist(), b.tolist(), shape.tolist()):
+                found.append((data[m:e].tobytes() + data[s:m].tobytes()[::-1], *meta))
+                if len(found) >= RUN:
+                    yield batch_of(found)
+                    found = []
+        if found:
+            yield batch_of(found)
 
     return run
 
 
-RUNS = "bucket int, shared binary, sizes binary, tails binary, meta binary, lefts binary, digest binary, row_id long, start long"
-SPANS = "row_id long, start long, stop long"
-
-
-def merge_bucket(table: pa.Table) -> pa.Table:
-    """Combine the runs of a bucket and return the spans of repeated windows."""
-    runs, shared, metas, lefts = [], [], [], []
-    for row in table.select(["shared", "sizes", "tails", "meta", "lefts"]).to_pylist():
-        known = np.frombuffer(row["shared"], np.uint16)
-        runs.append(decoded(known, np.frombuffer(row["sizes"], np.uint16), row["tails"]))
-        shared.append(known.tolist())
-        meta = np.frombuffer(row["meta"], np.int64).reshape(-1, 3)
-        metas.append(meta)
-        ends = np.cumsum(meta[:, 1] & 1023)
-        lefts.append([row["lefts"][a:b] for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())])
-    order, prefixes = merged(runs, shared)
-    meta = np.array([metas[r][i] for r, i in order], np.int64).reshape(-1, 3)
-    place = meta[:, 1]
-    count, left = (place >> 10) & 1023, place & 1023
-    hit = repeated_windows(np.array(prefixes, np.int64), [lefts[r][i] for r, i in order], count, meta[:, 2] == 1)
-    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    entry, low = np.nonzero(edge == 1)
-    high = np.nonzero(edge == -1)[1] - 1
-    anchor = (place >> 20) + left
-    return pa.table({"row_id": pa.array(meta[entry, 0], pa.int64()), "start": pa.array(anchor[entry] - high, pa.int64()), "stop": pa.array(anchor[entry] - low + LENGTH, pa.int64())})
+def crossing(entries: list[bytes], below: bytes, above: bytes) -> np.ndarray:
+    """How many bytes each sorted entry may share with entries beyond a separator; 0 for less than a seed."""
+    out = np.zeros(len(entries), np.int64)
+    for cut, order in ((below, range(len(entries))), (above, range(len(entries) - 1, -1, -1))):
+        for i in order if len(cut) > SEED else ():
+            shared = min(common_prefix(cut, entries[i], 0), len(cut) - 1)
+            if shared < SEED:
+                break
+            out[i] = max(out[i], shared)
+    return out
+
+
+def merge_range(cuts: list[bytes]):
+    """Task: combine the runs of a range; stretches' spans of repeated windows, and digests of windows that may occur beyond it."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        runs, shared, metas = [], [], []
+        for row in table.to_pylist():
+            known = np.frombuffer(row["shared"], np.uint16)
+            runs.append(decoded(known, np.frombuffer(row["sizes"], np.uint16), row["tails"]))
+            shared.append(known.tolist())
+            metas.append(np.frombuffer(row["meta"], np.int64).reshape(-1, 3))
+        order, prefixes = merged(runs, shared)
+        entries = [runs[r][i] for r, i in order]
+        begin = np.cumsum([0, *map(len, runs)])
+        meta = np.concatenate(metas)[[begin[r] + i for r, i in order]]
+        mark_a, mark_b, shape = meta.T
+        several, count, left = shape >> 20 == 1, (shape >> 10) & 1023, shape & 1023
+        hit = repeated_windows(np.array(prefixes, np.int64), entries, count, left, several)
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        entry, low = np.nonzero(edge == 1)
+        high = np.nonzero(edge == -1)[1] - 1
+        found = [mark_a[entry], mark_b[entry], left[entry] - high, left[entry] - low + LENGTH]
+        at = table.column("range")[0].as_py()
+        beyond = crossing(entries, cuts[at - 1] if at else b"", cuts[at] if at < len(cuts) else b"")
+        windows = []
+        for i in np.flatnonzero(beyond).tolist():
+            follow = reach(int(count[i]), int(left[i]))
+            for back in range(max(LENGTH - int(beyond[i]), int(left[i] - count[i]) + 1), int(left[i]) + 1):
+                text = entries[i][follow : follow + back][::-1] + entries[i][: LENGTH - back]
+                windows.append((int(mark_a[i]), int(mark_b[i]), int(left[i]) - back, int(left[i]) - back + LENGTH, hashlib.blake2b(text, digest_size=16).digest(), 1 + int(several[i])))
+        columns = list(zip(*windows)) or [[]] * 6
+        settled = [pa.array(x, pa.int64()) for x in found] + [pa.nulls(len(entry), pa.binary()), pa.nulls(len(entry), pa.int64())]
+        open_ = [pa.array(x, pa.binary() if k == 4 else pa.int64()) for k, x in enumerate(columns)]
+        return pa.table([pa.concat_arrays(x) for x in zip(settled, open_)], [x.split()[0] for x in FOUND.split(", ")])
+
+    return merge
 
 
 def removed_spans(rows: DataFrame) -> DataFrame:
-    """(row_id, start, stop) of repeated strings of ``rows`` (row_id, text); spans may overlap."""
+    """(row_id, start, stop, way) of repeated strings of ``rows`` (row_id, text); spans may overlap."""
     texts = rows.select("row_id", "text")
     twice = texts.select("text").mapInArrow(seed_counts, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
-    found = stage(texts.mapInArrow(stretch_rows, "row_id long, place long, seed long, mark_a long, mark_b long").join(twice, "seed", "left_semi"))
-    mark = ["seed", "mark_a", "mark_b"]
-    kinds = stage(found.groupBy(*mark).agg(F.count("*").alias("n"), F.min(F.struct("row_id", "place")).alias("one")))
-    whole = found.join(kinds.filter("n > 1").select(*mark), mark, "left_semi")
+    found = stage(texts.mapInArrow(mark_rows, MARKS).join(twice, "seed", "left_semi"))
     start = F.shiftright("place", 20)
-    spans = whole.select("row_id", start.alias("start"), (start + F.shiftright("place", 10).bitwiseAND(1023) + (LENGTH - 1)).alias("stop"))
-
-    several = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    open_ = kinds.join(several, "seed").select(F.col("one.row_id").alias("row_id"), F.struct(F.col("one.place").alias("place"), "seed", (F.col("n") > 1).alias("whole"), (F.col("kinds") > HOT).alias("hot")).alias("want"))
-    open_ = stage(open_)
-    buckets = parts_for(open_.count(), BUCKET)
-    wanted = open_.groupBy("row_id").agg(F.collect_list("want").alias("wanted"))
-    runs = stage(texts.join(wanted, "row_id").mapInArrow(runs_and_digests(buckets), RUNS))
-    near = runs.filter("digest is null").select("bucket", "shared", "sizes", "tails", "meta", "lefts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge_bucket, SPANS)
-    windows = runs.filter("digest is not null")
-    again = windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    hot = windows.filter("row_id is not null").join(again, "digest", "left_semi").select("row_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    return spans.unionByName(near).unionByName(hot)
+    in_block = found.filter("stop is not null").select("row_id", start.alias("start"), "stop", F.lit("block").alias("way"))
+    found = found.filter("stop is null").select("row_id", "place", "mark_a", "mark_b", "n", "head")
+    mark = ["mark_a", "mark_b"]
+    entries = stage(found.groupBy(*mark).agg(F.sum("n").alias("n"), F.min(F.struct("row_id", "place")).alias("one"), F.max("head").alias("head")))
+    total = entries.count()
+    ranges = min(MOST_RANGES, parts_for(total, RANGE, 1))
+    sparse = max(1, total // SAMPLED // SAMPLE)
+    heads = entries.filter("head is not null").filter(F.pmod(F.xxhash64(*mark), F.lit(sparse)) == 0).select("head").collect() if ranges > 1 else []  # about SAMPLE at most
+    cuts = separators([bytes(r.head) for r in heads], ranges)
+    want = F.struct(F.col("one.place").alias("place"), *mark, (F.col("n") > 1).cast("long").alias("several"))
+    wanted = entries.groupBy(F.col("one.row_id").alias("row_id")).agg(F.collect_list(want).alias("wanted"))
+    runs = texts.join(wanted, "row_id").select("text", "wanted").mapInArrow(sorted_runs(cuts), RUNS)
+    merged_ = stage(runs.repartition(len(cuts) + 1, "range").groupBy("range").applyInArrow(merge_range(cuts), FOUND))
+    windows = merged_.filter("digest is not null")
+    again = windows.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
+    seam = windows.join(again, "digest", "left_semi").select(*mark, "start", "stop", F.lit("seam").alias("way"))
+    repeated = merged_.filter("digest is null").select(*mark, "start", "stop", F.lit("merge").alias("way")).unionByName(seam)
+    placed = found.select("row_id", "place", *mark).join(repeated, mark).select("row_id", (start + F.col("start")).alias("start"), (start + F.col("stop")).alias("stop"), "way")
+    return in_block.unionByName(placed)
 
 
 def merged_spans(spans: list) -> list[tuple[int, int]]:

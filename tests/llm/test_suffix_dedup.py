@@ -1,4 +1,4 @@
-import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -42,16 +42,36 @@ def run(spark, texts, ids=None):
     return docs, sd.deduplicated(docs).collect()
 
 
-@pytest.mark.parametrize("hot", [512, 3])
-def test_matches_brute_force(spark, words, monkeypatch, hot):
-    monkeypatch.setattr(sd, "HOT", hot)
+@pytest.mark.parametrize("range_, run_", [(60_000, 50_000), (40, 30), (3, 11)])
+def test_matches_brute_force(spark, words, monkeypatch, range_, run_):
+    """One range; ranges of whole seeds; ranges that cut through seeds."""
+    for name, value in (("RANGE", range_), ("RUN", run_), ("SAMPLED", 1)):
+        monkeypatch.setattr(sd, name, value)
     texts = corpus(words)
-    _, got = run(spark, texts)
+    docs, got = run(spark, texts)
     want = brute(texts)
     assert len(got) == len(texts)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id], r.doc_id
     assert sum(r.n_removed for r in got) > 20_000
+    ways = Counter(r.way for r in sd.removed_spans(sd.numbered(docs)).collect())
+    assert ways["merge"] > 10 and (ways["seam"] > 0) == (range_ == 3)
+
+
+def test_most_spans_come_from_the_merge(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ways = Counter(r.way for r in sd.removed_spans(sd.numbered(docs)).select("way").collect())
+    assert ways["merge"] > 0.5 * sum(ways.values()) and not ways["seam"]
+
+
+def test_separators_keep_seeds_whole_while_they_can():
+    r = random.Random(4)
+    heads = [bytes([r.randrange(3)]) * sd.SEED + bytes(r.randrange(256) for _ in range(40)) for _ in range(300)]
+    assert sd.separators(heads, 1) == sd.separators([], 5) == []
+    few, many = sd.separators(heads, 3), sd.separators(heads, 30)
+    assert {len(x) for x in few} == {sd.SEED} and len(many) == 29
+    for cuts in (few, many):
+        assert cuts == sorted(set(cuts))
 
 
 def test_long_rows_come_in_pieces(spark, words, monkeypatch):
@@ -84,7 +104,3 @@ def test_loser_tree_orders_and_knows_prefixes():
     out = [runs[r][i] for r, i in order]
     assert out == sorted(data)
     assert prefixes[1:] == [sd.common_prefix(a, b, 0) for a, b in zip(out, out[1:])]
-
-
-def test_hash_of_rest_is_of_bytes():
-    assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
