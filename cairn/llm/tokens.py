@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 from .common import row_blocks, utf8_of
 
 END = 2
-#: A stop after a letter is a word of its own to the tokenizer, so it may stand apart.
-WORD_STOP = r"(\pL)([.,])([ \n]|\z)"
+#: A stop after a letter is a word of its own to the tokenizer, so it may stand apart. Other letters than these
+#: can end in a mark once normalised (U+0130 in lower case), which the tokenizer joins with the stop.
+WORD_STOP = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \n]|\z)"
 #: What every special token of the tokenizer begins with.
 CONTROL = "<|"
 JOINED = 64
@@ -108,17 +109,19 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     """The worker process's encoder: what one task learned serves the next."""
-    import tokenizers
+    import sys
+    import types
 
-    held = tokenizers.__dict__.setdefault("_chunk_encoders", {})
+    # Functions come to a worker anew with each task, so what stays is kept in a module of its own there.
+    held = sys.modules.setdefault("cairn_worker_encoders", types.ModuleType("cairn_worker_encoders")).__dict__
     if path not in held:
         held[path] = ChunkEncoder(path)
     return held[path]
 
 
-def column_blocks(column):
-    """Slices of an Arrow column of texts, of about ``BLOCK_BYTES`` each."""
-    for a, b in row_blocks(utf8_of(column)[1], BLOCK_BYTES):
+def column_blocks(column, limit: int = BLOCK_BYTES):
+    """Slices of an Arrow column of texts, of about ``limit`` bytes each."""
+    for a, b in row_blocks(utf8_of(column)[1], limit):
         yield column.slice(a, b - a)
 
 

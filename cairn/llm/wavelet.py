@@ -1,14 +1,23 @@
 """Token shards as wavelet matrices: succinct bit planes with rank and select.
 
-A shard file holds the end-marked ids of a range of doc_ids, as one bit plane
-for each bit of an id, most significant first; each plane is followed by the
-stable partition of the sequence by that bit. Packed bits and a count of ones
-for each 512 bits give access, rank and select without unpacking the file.
-Files are Parquet with one shard each (``payload`` is the wavelet file), so
-any store that Spark writes to will do and a lost task leaves no half file.
-
-Null texts count as empty; null doc_ids come first; equal doc_ids keep the
-order of their ids' bytes; an empty table gives no files and no rows.
+A shard file holds the end-marked ids of documents next to each other in the
+order of doc_ids, as one bit plane for each bit of an id, most significant
+first; each plane is followed by the stable partition of the sequence by that
+bit. Packed bits and a count of ones for each 512 bits give access, rank and
+select without unpacking the file. Files are Parquet with one shard each
+(``payload`` is the wavelet file), so any store that Spark writes to will do
+and a lost task leaves no half file.
+
+One range exchange on (doc_id, hash of the text, place in the table) parts the
+rows, so a doc_id with a third of all rows is parted too. A task encodes its
+sorted rows one block after another and closes a shard at ``SHARD_BYTES`` of
+text; its memory follows the shard, not the part. A shard knows how many ids of
+its part come before it, so readers need one number a part to place it.
+
+Null texts count as empty; null doc_ids come first; equal doc_ids follow the
+hash of their texts; a text of over SHARD_BYTES has a shard of its own (its
+wavelet file must stay below Parquet's 2 GB a value); other columns are
+ignored; an empty table gives no files and no rows.
 """
 
 import struct
@@ -16,14 +25,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import END, column_blocks, encoder
+from .common import parts_for
+from .tokens import BLOCK_BYTES, END, column_blocks, encoder
 
 MAGIC = b"CWM1"
 STEP = 512
 SHARD_BYTES = 24 << 20
+PART_BYTES = 48 << 20
 
 
 class WaveletMatrix:
@@ -129,67 +141,71 @@ class WaveletMatrix:
         return now
 
 
-def id_rows(tokenizer: str, bounds: np.ndarray, bits: int, end: int):
-    """Task: (shard, doc_id, ids) with the shard found by binary search of the doc_id bounds."""
+FILE = "part int, part_start long, n_tokens long, doc_ids array<long>, sizes array<long>, payload binary"
+
+
+def shard_files(tokenizer: str, bits: int, end: int, shard_bytes: int):
+    """Task: rows in order to one wavelet file for each ``shard_bytes`` of text."""
     kind = np.uint16 if bits <= 16 else np.uint32
 
     def run(batches):
-        words = encoder(tokenizer)
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
+        own, sizes, held, size, at = [], [], [], 0, 0
+
+        def closed():
+            ids = np.concatenate(held)
+            row = [part], [at], [len(ids)], [pa.concat_arrays(own)], [np.concatenate(sizes)], [WaveletMatrix.of(ids, bits).to_bytes()]
+            types = pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], [x.split()[0] for x in FILE.split(", ")]), len(ids)
+
         for batch in batches:
-            at = 0
-            for texts in column_blocks(batch.column("text")):
+            first = 0
+            for texts in column_blocks(batch.column("text"), min(BLOCK_BYTES, shard_bytes)):
+                if size >= shard_bytes:
+                    file, n = closed()
+                    yield file
+                    own, sizes, held, size, at = [], [], [], 0, at + n
                 ids, offsets = words.encode(texts, end)
-                own = batch.column("doc_id").slice(at, len(texts))
-                at += len(texts)
-                shard = np.searchsorted(bounds, own.fill_null(np.iinfo(np.int64).min).to_numpy(), "right").astype(np.int32)
-                raw = ids.astype(kind).tobytes()
-                size = np.dtype(kind).itemsize
-                cells = [raw[a * size : b * size] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), own, pa.array(cells, pa.binary())], ["shard", "doc_id", "ids"])
+                if len(ids) and int(ids.max()) >> bits:
+                    raise ValueError(f"an id of this tokenizer needs more than {bits} bits")
+                own.append(batch.column("doc_id").slice(first, len(texts)))
+                sizes.append(np.diff(offsets))
+                held.append(ids.astype(kind))
+                size += texts.nbytes
+                first += len(texts)
+        if held:
+            yield closed()[0]
 
     return run
 
 
-def shard_file(bits: int):
-    kind = np.uint16 if bits <= 16 else np.uint32
-
-    def build(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        own = table.column("doc_id").to_pylist()
-        cells = table.column("ids").to_pylist()
-        order = [i for i, x in enumerate(own) if x is None] + [i for i, x in enumerate(own) if x is not None]
-        ids = np.frombuffer(b"".join(cells[i] for i in order), kind)
-        sizes = [len(cells[i]) // ids.itemsize for i in order]
-        matrix = WaveletMatrix.of(ids, bits)
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n_tokens": pa.array([len(ids)], pa.int64()), "doc_ids": pa.array([[own[i] for i in order]], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64())), "payload": pa.array([matrix.to_bytes()], pa.binary())})
-
-    return build
-
+def id_bits(tokenizer: str) -> int:
+    """Bits of the largest id of a tokenizer file."""
+    from tokenizers import Tokenizer
 
-FILE = "shard int, n_tokens long, doc_ids array<long>, sizes array<long>, payload binary"
+    return max(1, max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()).bit_length())
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, end: int = END, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encode ``docs`` and write one wavelet file for each range of doc_ids under ``path``."""
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> None:
+    """Encode ``docs`` and write wavelet files of about ``shard_bytes`` of text in doc_id order under ``path``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    n = max(8, -(-total // shard_bytes))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    bounds = np.array(cuts or [], np.int64)
-    cells = rows.mapInArrow(id_rows(tokenizer, bounds, bits, end), "shard int, doc_id long, ids binary")
-    files = cells.repartition(n, "shard").groupBy("shard").applyInArrow(shard_file(bits), FILE)
+    keys = ["doc_id", "_hash", "_place"]
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place"))
+    ordered = keyed.repartitionByRange(parts_for(total, part_bytes), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    files = ordered.mapInArrow(shard_files(tokenizer, max(id_bits(tokenizer), end.bit_length()), end, shard_bytes), FILE)
     files.write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path)
 
 
 def read_rows(bases: dict):
     def run(batches):
         for batch in batches:
-            for shard, n, own, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("shard", "n_tokens", "doc_ids", "sizes", "payload"))):
+            for part, start, own, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "part_start", "doc_ids", "sizes", "payload"))):
                 ids = WaveletMatrix.from_bytes(payload).all().astype("<u4")
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
                 crc = [zlib.crc32(ids[a:b].data) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(x, pa.int64()) for x in (starts + bases[shard], sizes, crc))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(x, pa.int64()) for x in (starts + bases[part] + start, sizes, crc))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -198,7 +214,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files."""
     files = spark.read.schema(FILE).parquet(path)
     bases, at = {}, 0
-    for r in sorted(files.select("shard", "n_tokens").collect()):  # one small row a file
-        bases[r.shard] = at
-        at += r.n_tokens
-    return files.mapInArrow(read_rows(bases), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    for r in sorted(files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):  # one number a part
+        bases[r.part] = at
+        at += r.n
+    return files.select("part", "part_start", "doc_ids", "sizes", "payload").mapInArrow(read_rows(bases), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -31,6 +32,26 @@ def test_chunks_give_the_ids_of_whole_texts(texts):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == want_ids(t)
 
 
+def test_every_character_before_a_stop():
+    """What a letter becomes when normalised decides whether the stop after it is a word of its own."""
+    texts = [f"x{chr(c)}{stop}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 for stop in (". y", ",")]
+    for at in range(0, len(texts), 200_000):
+        part = texts[at : at + 200_000]
+        ids, offsets = CHUNKED.encode(part)
+        ids, offsets = ids.tolist(), offsets.tolist()
+        wrong = [t for t, a, b, want in zip(part, offsets, offsets[1:], WHOLE.encode_batch_fast(part, add_special_tokens=False)) if ids[a : b - 1] != want.ids]
+        assert wrong == []
+
+
+def test_random_texts_with_a_fixed_seed():
+    r = random.Random(17)
+    letters = "aZéİIıſßΣς\u0301\u0307\u200d\u00a0\u0958\u1e9e'sst .,\n\t-09<|>"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(30))) for _ in range(20_000)]
+    ids, offsets = CHUNKED.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == want_ids(t)
+
+
 def test_special_strings_and_long_chunks():
     texts = ["a <|endoftext|> b", "x<|startoftext|>y", "z" * 5000, "", "I'm DON'T 12345", "z" * 5000]
     ids, offsets = CHUNKED.encode(texts)
@@ -122,14 +143,42 @@ def test_wavelet_matrix(n):
 
 def test_shards_round_trip(spark, words, tmp_path):
     texts, rows, docs = corpus(spark, words)
-    wavelet.write_shards(docs, str(tmp_path / "shards"), PATH, shard_bytes=50_000)
-    got = wavelet.read_documents(spark, str(tmp_path / "shards")).collect()
-    cells = [(r[0] is not None, r[0] or 0, np.array(want_ids(r[1]), np.uint16).tobytes(), want_ids(r[1]), r[0]) for r in rows]
-    want, at = [], 0
-    for *_, ids, doc_id in sorted(cells, key=lambda x: x[:3]):
-        want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    assert sorted(map(tuple, got), key=lambda x: x[1]) == want
+    wavelet.write_shards(docs, str(tmp_path / "shards"), PATH, shard_bytes=20_000, part_bytes=90_000)
+    files = spark.read.parquet(str(tmp_path / "shards"))
+    assert files.count() > files.select("part").distinct().count() > 3
+    got = sorted(map(tuple, wavelet.read_documents(spark, str(tmp_path / "shards")).collect()), key=lambda x: x[1])
+    at = 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    ids = [x[0] for x in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    want = [(r[0], len(want_ids(r[1])), zlib.crc32(np.array(want_ids(r[1]), "<u4").tobytes())) for r in rows]
+    assert sorted(map(str, want)) == sorted(str((a, n, crc)) for a, _, n, crc in got)
     empty = spark.createDataFrame([], "doc_id long, text string")
     wavelet.write_shards(empty, str(tmp_path / "none"), PATH)
     assert wavelet.read_documents(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_doc_id_with_most_rows_is_parted(spark, words, tmp_path):
+    docs = stage(spark.createDataFrame([(5, words(60, 1), 1)] * 600 + [(i, words(40, i), 1) for i in range(300)], "doc_id long, text string, part int"))
+    wavelet.write_shards(docs, str(tmp_path / "shards"), PATH, shard_bytes=10_000, part_bytes=20_000)
+    files = spark.read.parquet(str(tmp_path / "shards"))
+    of_one = {r.part for r in files.collect() if 5 in r.doc_ids}
+    assert len(of_one) > 3
+    assert wavelet.read_documents(spark, str(tmp_path / "shards")).count() == 900
+
+
+def test_ids_that_do_not_fit_are_refused():
+    assert wavelet.id_bits(PATH) == 16
+    task = wavelet.shard_files(PATH, 8, 2, 1000)
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    wavelet.TaskContext, kept = type("T", (), {"get": staticmethod(lambda: Context)}), wavelet.TaskContext
+    try:
+        with pytest.raises(ValueError):
+            list(task([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["doc_id", "text"])]))
+    finally:
+        wavelet.TaskContext = kept
