@@ -47,9 +47,9 @@ from .common import BLOCK_BYTES, SpanHash, as_long, numbered, parts_for, row_blo
 LENGTH = 200
 SEED = 32
 #: Entries in a range, in a sorted run and, at most, in the sample that separators come from.
-RANGE = 60_000
+RANGE = 20_000
 RUN = 50_000
-SAMPLE = 200_000
+SAMPLE = 50_000
 #: One stretch in so many carries its suffix as a candidate for the sample.
 SAMPLED = 256
 MOST_RANGES = 1 << 16
