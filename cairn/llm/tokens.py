@@ -47,7 +47,7 @@ class ChunkEncoder:
         self.index: dict = {}
         self.parts: list = []
         self.chars = 0
-        self.flat = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
@@ -68,7 +68,7 @@ class ChunkEncoder:
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int64, int(size.sum())), size
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
 
     def gather(self):
         """Arrays of what was learned, with the newest parts behind."""
@@ -88,19 +88,21 @@ class ChunkEncoder:
         split = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(texts, WORD_STOP, r"\1 \2\3"), "\n", " "), " ")
         sizes = pc.list_value_length(split).to_numpy()
         chunks = split.flatten().dictionary_encode()
-        own = chunks.dictionary.to_pylist()
-        new = [c for c in own if c not in self.index]
+        own = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.index.get, own))
+        new = [c for c, k in zip(own, known) if k is None]
         if new:
             self.learn(new)
             self.gather()
-        at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))[chunks.indices.to_numpy()]
+            known = list(map(self.index.__getitem__, own))
+        at = np.array(known, np.int64)[chunks.indices.to_numpy()]
         size = self.size[at]
         first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         lengths = np.add.reduceat(size, first) if len(texts) else np.zeros(0, np.int64)
         total = int(size.sum())
-        ids = self.flat[np.arange(total) + np.repeat(self.start[at] - (np.cumsum(size) - size), size)]
+        ids = self.flat[np.arange(total, dtype=np.int32) + np.repeat((self.start[at] - (np.cumsum(size) - size)).astype(np.int32), size)]
         offsets = np.concatenate(([0], np.cumsum(lengths + 1)))
-        out = np.full(int(offsets[-1]), end, np.int64)
+        out = np.full(int(offsets[-1]), end, np.int32)
         body = np.ones(len(out), bool)
         body[offsets[1:] - 1] = False
         out[body] = ids

@@ -46,16 +46,21 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> "WaveletMatrix":
-        now, zeros, planes, ranks = ids, [], [], []
+        zeros, planes, ranks = [], [], []
+        now, spare = ids, np.empty_like(ids)
         for b in range(bits - 1, -1, -1):
-            one = (now >> b & 1).astype(bool)
+            one = now & ids.dtype.type(1 << b) != 0
             packed = np.packbits(one, bitorder="little")
-            counts = np.add.reduceat(one, np.arange(0, len(one), STEP), dtype=np.uint32) if len(one) else np.zeros(0, np.uint32)
+            words = np.zeros(-(-len(ids) // STEP) * STEP // 8, np.uint8)
+            words[: len(packed)] = packed
+            counts = np.bitwise_count(words.view(np.uint64)).reshape(-1, STEP // 64).sum(axis=1, dtype=np.uint32)
             ranks.append(np.concatenate(([0], np.cumsum(counts))).astype(np.uint32))
             planes.append(packed)
-            zero = now[~one]
-            zeros.append(len(zero))
-            now = np.concatenate((zero, now[one]))
+            zeros.append(len(ids) - int(counts.sum()))
+            if b and len(ids):
+                np.compress(~one, now, out=spare[: zeros[-1]])
+                np.compress(one, now, out=spare[zeros[-1] :])
+                now, spare = spare, np.empty_like(ids) if now is ids else now
         return cls(len(ids), bits, zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
