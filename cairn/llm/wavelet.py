@@ -197,7 +197,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     keys = ["doc_id", "_hash", "_place"]
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place"))
-    ordered = keyed.repartitionByRange(parts_for(total, part_bytes), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    ordered = keyed.repartitionByRange(parts_for(total, part_bytes, 1), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     files = ordered.mapInArrow(shard_files(tokenizer, max(id_bits(tokenizer), end.bit_length()), end, shard_bytes), FILE)
     files.write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path)
 
