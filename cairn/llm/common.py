@@ -16,11 +16,12 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where none is."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share; a temporary one only where Spark itself is one local process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="spark-")
@@ -77,13 +78,14 @@ def utf8_of(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES):
-    """Row ranges (a, b) of about ``limit`` bytes; a longer row stands alone."""
+def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES, rows: int = 1 << 30):
+    """Row ranges (a, b) of about ``limit`` bytes and at most ``rows``; a longer row stands alone."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
+        b = min(b, n, a + rows)
+        yield a, b
+        a = b
 
 
 _POWERS: dict = {}

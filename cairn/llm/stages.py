@@ -1,12 +1,21 @@
-"""Corpus stages: rows of ``documents`` in, rows of the same columns out (but for packing)."""
+"""Corpus stages: rows of ``documents`` in, rows of the same columns out (but for packing).
 
+Null and empty texts pass the quality stage if the sample's mean label is
+``ACCEPT`` or more, are never near duplicates nor contaminated, and pack as
+their end id. Very long texts are handled as each operator says; columns of
+any other name, row_id and the like included, come through unchanged; repeated
+rows are near copies, of which one stays; an empty table comes out empty.
+"""
+
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, near_join, neighbours, packing, suffix_dedup
-from .common import filtered_rows, numbered
+from .common import filtered_rows, numbered, row_blocks, utf8_of
 
 
 def held_out(parts: int, part: int):
@@ -25,36 +34,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return filtered_rows(docs, near_join.surplus(docs), "left_anti")
 
 
-def without_spans(schema):
+def without_spans(batches):
     """Task: (row struct, spans) to rows with the spans cut from the text; rows cut to nothing go."""
-
-    def run(batches):
-        for batch in batches:
-            row = batch.column("row")
-            columns = {f.name: row.field(i) for i, f in enumerate(row.type)}
-            texts, keep = columns["text"].to_pylist(), []
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    raw, at, rest = texts[i].encode(), 0, []
-                    for s, e in suffix_dedup.merged_spans([(x["start"], x["stop"]) for x in spans]):
-                        rest.append(raw[at:s])
+    for batch in batches:
+        row = batch.column("row")
+        texts = row.field(row.type.get_field_index("text"))
+        for a, b in row_blocks(utf8_of(texts)[1], 4 << 20):
+            part = row.slice(a, b - a)
+            columns = {f.name: part.field(i) for i, f in enumerate(part.type)}
+            spans_of = batch.column("spans").slice(a, b - a).to_pylist()
+            cut = [i for i, spans in enumerate(spans_of) if spans]
+            if cut:
+                rest, keep = columns["text"].to_pylist(), np.ones(b - a, bool)
+                for i in cut:
+                    raw, at, left = rest[i].encode(), 0, []
+                    for s, e in suffix_dedup.merged_spans([(x["start"], x["stop"]) for x in spans_of[i]]):
+                        left.append(raw[at:s])
                         at = e
-                    rest.append(raw[at:])
-                    texts[i] = b"".join(rest).decode("utf-8", "ignore")
-                keep.append(not spans or bool(texts[i].strip()))
-            columns["text"] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(keep, pa.bool_()))
-
-    return run
+                    rest[i] = b"".join([*left, raw[at:]]).decode("utf-8", "ignore")
+                    keep[i] = bool(rest[i].strip())
+                columns["text"] = pa.array(rest, pa.string())
+                if "n_chars" in columns:
+                    columns["n_chars"] = pc.utf8_length(columns["text"]).cast(columns["n_chars"].type)
+            out = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            yield out.filter(pa.array(keep)) if cut else out
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut byte strings that occur twice; half characters at the cuts go too."""
     spans = suffix_dedup.removed_spans(numbered(docs)).groupBy("row_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_id"))
-    return packed.join(spans, "row_id", "left").select("row", "spans").mapInArrow(without_spans(docs.schema), docs.schema)
+    return packed.join(spans, "row_id", "left").select("row", "spans").mapInArrow(without_spans, docs.schema)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ LENGTH = 200
 SEED = 32
 #: Entries in a range, in a sorted run and, at most, in the sample that separators come from.
 RANGE = 20_000
-RUN = 50_000
+RUN = 20_000
 SAMPLE = 50_000
 #: One stretch in so many carries its suffix as a candidate for the sample.
 SAMPLED = 256
