@@ -11,7 +11,10 @@ doesn't depend on length, and the document is kept if the score is
 Trusted documents are those labelled 1; their ids are broadcast, at most
 ``TRUSTED`` of them by hash order. Null texts and texts without words have no
 words, score 0 and fail the base rules; with no trusted document all ratios
-are 0; repeated rows are judged alike; an empty table gives no rows.
+are 0; repeated rows are judged alike (and count each time); null doc_ids are
+judged but never trusted; a very long text is judged whole, in one row's arrays
+of 64-bit hashes (windows of five words are told apart by such a hash); other
+columns are ignored; an empty table gives no rows.
 """
 
 import math
@@ -20,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 10_000
-PLACE_BITS = 24
 TRUSTED = 20_000
 UNIFORM = 0.1
 THRESHOLD = -0.05
@@ -59,18 +61,14 @@ def bucket(hash_: Column) -> Column:
 
 
 def sorted_places(spans: str) -> Column:
-    """Places sorted by the high 40 bits of their hash, packed beside it in one long; an array of 2**24 hashes is beyond Spark's row size anyway."""
-    return F.sort_array(F.transform(spans, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))))
+    """(hash, place) of an array in the order of the hashes, so that equal ones are neighbours."""
+    return F.sort_array(F.transform(spans, lambda h, i: F.struct(h.alias("hash"), i.alias("place"))))
 
 
-def place(packed: Column) -> Column:
-    return packed.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
-
-
-def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> list[float]:
     """log(target / raw) of each bucket, each multinomial mixed with ``UNIFORM`` parts of the uniform one."""
     trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).withColumn("trusted", F.lit(1))
+    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(1))
     rows = hashed_words(docs).join(F.broadcast(trusted), "doc_id", "left").select("words", "pairs", F.coalesce("trusted", F.lit(0)).alias("trusted"))
     grams = rows.select("trusted", F.explode(F.concat("words", "pairs")).alias("hash")).select("trusted", bucket(F.col("hash")).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")).collect()  # BUCKETS rows at most
@@ -110,8 +108,8 @@ def ruled(docs: DataFrame, ratios: list[float]) -> DataFrame:
         "spans",
         F.when(F.size(F.array_distinct("spans")) < F.size("spans"), sorted_places("spans")).alias("placed"),
     )
-    same = lambda x, y: F.coalesce(F.get("spans", place(x)) == F.get("spans", place(y)), F.lit(False))
-    again = F.transform("placed", lambda x, j: F.when(same(x, F.get("placed", j - 1)) | same(x, F.get("placed", j + 1)), place(x)))
+    same = lambda x, y: F.coalesce(x["hash"] == y["hash"], F.lit(False))
+    again = F.transform("placed", lambda x, j: F.when(same(x, F.get("placed", j - 1)) | same(x, F.get("placed", j + 1)), x["place"]))
     rows = rows.withColumn("again", F.sort_array(F.filter(again, lambda i: i.isNotNull())))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, i: F.struct((a["n"] + i + 5 - F.greatest(i, a["end"])).alias("n"), (i + 5).alias("end"))
