@@ -10,13 +10,16 @@ vote with weight by similarity. Of a repeated labelled doc_id the least text
 is in the sample, once; no text but the sample's is shuffled.
 
 Null and empty texts score the sample's mean label; labels that are null or
-of unknown documents teach nothing; with no labels all score 0.5; repeated
-rows score alike; an empty table gives no rows.
+of unknown documents teach nothing; with no labels all score 0.5; a doc_id that
+both labels name has a place in each; repeated rows score alike and repeated
+labels count once; a null doc_id is never held out and teaches nothing; a very
+long text is one row of term weights like any other; other columns pass by; an
+empty table gives no rows.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SpanHash, row_blocks, utf8_of, words_in
@@ -28,6 +31,8 @@ WORD_TERMS, GRAM_TERMS, MARKS = 2048, 1024, 16
 TERMS = WORD_TERMS + GRAM_TERMS + MARKS
 ACCEPT = 0.3
 SHARPNESS = 4
+#: A block of texts has so many bytes and rows at most (one row: more bytes).
+BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 1000
 COLUMNS = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -74,7 +79,7 @@ def term_weights(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def sample_rows(batches):
     for batch in batches:
         data, offsets = utf8_of(batch.column("text"))
-        for a, b in row_blocks(offsets, 1 << 19):
+        for a, b in row_blocks(offsets, BLOCK_BYTES, BLOCK_ROWS):
             weights = term_weights(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays([batch.column("quality").slice(a, b - a), pa.array([w.astype(np.float16).tobytes() for w in weights], pa.binary())], ["quality", "weights"])
 
@@ -95,7 +100,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Voters:
     """Labelled vectors, their labels and the projection to their space."""
 
-    def __init__(self, weights: np.ndarray, labels: np.ndarray):
+    def __init__(self, weights: np.ndarray | None = None, labels: np.ndarray | None = None, arrays: tuple | None = None):
+        if arrays is not None:
+            self.labels, self.mean, self.space, self.vectors = arrays
+            return
         self.labels = labels.astype(np.float32)
         self.mean = float(labels.mean()) if len(labels) else 0.5
         self.space = space_of(weights) if len(labels) else np.zeros((TERMS, 1), np.float32)
@@ -132,17 +140,23 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out, per_label: int = PER_LA
 
 def block_scores(voters: Voters, column):
     data, offsets = utf8_of(column)
-    for a, b in row_blocks(offsets, 1 << 19):
+    for a, b in row_blocks(offsets, BLOCK_BYTES, BLOCK_ROWS):
         yield a, b, voters.scores(term_weights(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
 
 
+def broadcast_arrays(spark, voters: Voters):
+    """A broadcast of plain arrays, which executors without this package can read."""
+    return spark.sparkContext.broadcast((voters.labels, voters.mean, voters.space, voters.vectors))
+
+
 def scored(docs: DataFrame, voters: Voters, held_out) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
+    shared = broadcast_arrays(docs.sparkSession, voters)
 
     def run(batches):
+        known = Voters(arrays=shared.value)
         for batch in batches:
-            for a, b, score in block_scores(shared.value, batch.column("text")):
+            for a, b, score in block_scores(known, batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(score), pa.array(score >= ACCEPT).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -151,11 +165,12 @@ def scored(docs: DataFrame, voters: Voters, held_out) -> DataFrame:
 
 def accepted(docs: DataFrame, voters: Voters) -> DataFrame:
     """The rows of ``docs`` scored ``ACCEPT`` or more, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
+    shared = broadcast_arrays(docs.sparkSession, voters)
 
     def run(batches):
+        known = Voters(arrays=shared.value)
         for batch in batches:
-            keep = [score >= ACCEPT for _, _, score in block_scores(shared.value, batch.column("text").cast(pa.string()))]
+            keep = [score >= ACCEPT for _, _, score in block_scores(known, batch.column("text").cast(pa.string()))]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)
