@@ -37,7 +37,9 @@ def stem(path: Column) -> Column:
 
 
 def is_relevant(raw: Column) -> Column:
-    return (raw != "") & ~starts_with_any(raw, NOISE) & (file_name(raw).contains(".so") | extension(raw).isin(*RELEVANT))
+    """No noise, and the last segment holds ``.so`` or has a listed extension; one pattern, so that it is looked at once."""
+    last = rf"(^|/)([^/]*\.so[^/]*|[^/]+\.({'|'.join(RELEVANT)}))(/+\.?)*\z"
+    return (raw != "") & ~starts_with_any(raw, NOISE) & raw.rlike(last)
 
 
 def is_system(path: Column) -> Column:

@@ -63,3 +63,7 @@ def system_purl(name: Column, version: Column, arch: Column, source: Column, dis
 
 def local_purl(name: Column, version_or_hash: Column) -> Column:
     return F.concat(F.lit("pkg:generic/"), name, F.lit("@"), encoded(version_or_hash))
+
+
+def is_hex_hash(x: Column) -> Column:
+    return x.rlike(r"^[0-9a-fA-F]{40,}\z")

@@ -3,23 +3,12 @@
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, versions
+from cairn.jobs import lock_queries, system_queries
+from cairn.jobs.registry import QUERIES, SQL, query
 from cairn.operators import report, trace
-from cairn.sources import bundle, lockfiles
+from cairn.sources import lockfiles
 from cairn.sources.bundle import PROJECT, sql, table
-from cairn.streaming import ingest
-
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(name: str, statement: str | None = None):
-    def register(function):
-        QUERIES[name] = function
-        if statement:
-            SQL[name] = statement
-        return function
-
-    return register
+from cairn.sources.store import stage
 
 
 def quoted(values) -> str:
@@ -70,8 +59,9 @@ def s_soversion(x: str) -> str:
 IN_SUB = "regexp_matches({0}, '(^|/)subprojects/[^/]+')"
 OPENED = f"SELECT o.seq, o.pid, o.raw_path, coalesce(p.comm, '') AS comm, coalesce(p.cwd, '{PROJECT}') AS cwd FROM {sql('open_event')} o LEFT JOIN {sql('process')} p USING (pid)"
 UNIQUE = f"SELECT DISTINCT {s_normal('raw_path', 'cwd')} AS path FROM ({OPENED}) WHERE {s_relevant('raw_path')} AND NOT {s_orchestrator('comm')}"
-CANONICAL = "CASE WHEN starts_with(path, '/lib/') THEN '/usr' || path ELSE path END"
-EXISTING = f"SELECT path, {CANONICAL} AS canonical, CASE WHEN length(path) % 5 <> 0 THEN 'sha256:' || sha256(path) END AS hash FROM ({UNIQUE}) WHERE length(path) % 7 <> 0"
+FILE_TABLE = f"""SELECT path, CASE WHEN starts_with(path, '/lib/') THEN '/usr' || path ELSE path END AS canonical, CASE WHEN min(seq) % 5 <> 0 THEN 'content of ' || path END AS content
+    FROM (SELECT seq, {s_normal('raw_path', 'cwd')} AS path FROM ({OPENED}) WHERE seq % 7 <> 0) WHERE path <> '' GROUP BY path"""
+EXISTING = f"SELECT u.path, f.canonical, 'sha256:' || sha256(f.content) AS hash FROM ({UNIQUE}) u JOIN ({FILE_TABLE}) f USING (path)"
 
 
 def opens(spark, sf_dir):
@@ -86,12 +76,23 @@ def unique_paths(spark, sf_dir):
     return trace.relevant_paths(opens(spark, sf_dir), table(spark, sf_dir, "process"), PROJECT)
 
 
+_FILES: dict = {}
+
+
+def file_table(spark, sf_dir):
+    """A bundle's files (path, canonical, content), written once a session: most paths opened, some of them unreadable."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _FILES:
+        path = F.col("path")
+        rows = opened(spark, sf_dir).filter("seq % 7 <> 0").select("seq", paths.normalized(F.col("raw_path"), F.col("cwd")).alias("path")).filter(path != "")
+        rows = rows.groupBy("path").agg(F.min("seq").alias("first"))
+        canonical = F.when(path.startswith("/lib/"), F.concat(F.lit("/usr"), path)).otherwise(path)
+        _FILES[key] = stage(rows.select("path", canonical.alias("canonical"), F.when(F.col("first") % 5 != 0, F.concat(F.lit("content of "), path)).alias("content")))
+    return _FILES[key]
+
+
 def files(spark, sf_dir):
-    """Existing paths with canonical path and content hash, as the bundle's file table would give them."""
-    path = F.col("path")
-    hashed = F.when(F.length(path) % 5 != 0, F.concat(F.lit("sha256:"), F.sha2(path, 256)))
-    canonical = F.when(path.startswith("/lib/"), F.concat(F.lit("/usr"), path)).otherwise(path)
-    return unique_paths(spark, sf_dir).filter(F.length(path) % 7 != 0).select("path", canonical.alias("canonical"), hashed.alias("hash"))
+    return trace.existing(unique_paths(spark, sf_dir), file_table(spark, sf_dir))
 
 
 def predicate(name: str, column, statement: str):
@@ -117,7 +118,7 @@ scalar("fn_normalize", lambda x: paths.normalized(x, F.lit(PROJECT)), s_normal("
 scalar("fn_soname_base", lambda x: paths.soname_base(paths.file_name(x)), s_base(s_file("raw_path")))
 scalar("fn_unknown_name", paths.file_name, s_file("raw_path"))
 scalar("fn_purl_local", lambda x: versions.local_purl(paths.file_name(x), F.concat(F.lit("sha256:"), F.sha2(x, 256))), f"'pkg:generic/' || {s_file('raw_path')} || '@sha256%3A' || sha256(raw_path)")
-scalar("src_file_hash", lambda x: F.concat(F.lit("sha256:"), F.sha2(x, 256)), "'sha256:' || sha256(raw_path)")
+scalar("fn_local_name", paths.local_name, f"coalesce({s_soname(s_file('raw_path'))}, regexp_replace(regexp_replace({s_file('raw_path')}, '(.)\\.[^.]*\\z', '\\1'), '^lib', ''))")
 
 
 @query("fn_soname_name_version", f"SELECT seq, {s_soname(s_file('raw_path'))} AS name, {s_soversion(s_file('raw_path'))} AS version FROM {sql('open_event')}")
@@ -142,7 +143,28 @@ def join_event_cwd(spark, sf_dir):
 
 
 QUERIES["agg_distinct_paths"], SQL["agg_distinct_paths"] = unique_paths, UNIQUE
-QUERIES["semi_exists"], SQL["semi_exists"] = files, EXISTING
+
+
+@query("flt_exists", EXISTING)
+def flt_exists(spark, sf_dir):
+    """Paths that exist after the build, with what is known of the file."""
+    return files(spark, sf_dir)
+
+
+@query("semi_exists", f"SELECT path FROM ({UNIQUE}) WHERE path IN (SELECT path FROM ({FILE_TABLE}))")
+def semi_exists(spark, sf_dir):
+    return unique_paths(spark, sf_dir).join(file_table(spark, sf_dir).select("path"), "path", "left_semi")
+
+
+@query("src_file_hash", f"SELECT path, coalesce('sha256:' || sha256(content), 'sha256:error') AS hash FROM ({FILE_TABLE})")
+def src_file_hash(spark, sf_dir):
+    return file_table(spark, sf_dir).select("path", F.coalesce(trace.content_hash(F.col("content")), F.lit("sha256:error")).alias("hash"))
+
+
+@query("flt_orch_switch", UNIQUE.replace(f" AND NOT {s_orchestrator('comm')}", ""))
+def flt_orch_switch(spark, sf_dir):
+    """Paths with those of build tools."""
+    return trace.relevant_paths(opens(spark, sf_dir), table(spark, sf_dir, "process"), PROJECT, orchestrators=True)
 
 
 @query("agg_counts", f"SELECT pid, count(*) AS opens, count(DISTINCT raw_path) AS paths, count(*) FILTER ({s_relevant('raw_path')}) AS relevant FROM {sql('open_event')} GROUP BY pid")
@@ -156,11 +178,6 @@ def agg_known_pids(spark, sf_dir):
     return opens(spark, sf_dir).groupBy("pid").agg(F.min("seq").alias("first_seq"))
 
 
-@query("agg_any_comm", f"SELECT comm, count(*) > 0 AS seen FROM {sql('process')} WHERE comm IN ('cargo', 'node', 'go') GROUP BY comm")
-def agg_any_comm(spark, sf_dir):
-    return table(spark, sf_dir, "process").filter(F.col("comm").isin("cargo", "node", "go")).groupBy("comm").agg((F.count("*") > 0).alias("seen"))
-
-
 OWNERS = f"(SELECT path, arg_max(pkg_key, pos) AS pkg_key FROM {sql('pkg_file')} GROUP BY path)"
 META = f"(SELECT pkg_key, arg_max(struct_pack(v := version, s := src_name), pos) AS m FROM {sql('pkg_meta')} GROUP BY pkg_key)"
 PACKAGED = f"""SELECT f.path, f.canonical, f.hash, coalesce(a.pkg_key, b.pkg_key) AS pkg_key,
@@ -187,6 +204,17 @@ def join_pkg_version(spark, sf_dir):
     return packaged(spark, sf_dir).select("path", "version", "src_name")
 
 
+@query("join_path_pkg", f"SELECT path, a.pkg_key, split_part(a.pkg_key, ':', 1) AS name, CASE WHEN contains(a.pkg_key, ':') THEN regexp_extract(a.pkg_key, '^[^:]*:(.*)', 1) END AS arch FROM ({EXISTING}) f JOIN {OWNERS} a USING (path)")
+def join_path_pkg(spark, sf_dir):
+    owned = files(spark, sf_dir).join(trace.last_wins(table(spark, sf_dir, "pkg_file"), "path", "pkg_key"), "path")
+    return owned.select("path", "pkg_key", F.substring_index("pkg_key", ":", 1).alias("name"), trace.arch_of(F.col("pkg_key")).alias("arch"))
+
+
+@query("join_pkg_source", f"SELECT path, src_name FROM ({PACKAGED}) WHERE pkg_key IS NOT NULL")
+def join_pkg_source(spark, sf_dir):
+    return packaged(spark, sf_dir).filter("pkg_key is not null").select("path", "src_name")
+
+
 DIRS = r"regexp_extract_all(regexp_replace(path, '(^|/)subprojects/([^/]+)', '\1<\2>', 'g'), '<([^>]+)>', 1)"
 SUBBED = f"""SELECT f.path, coalesce(s.name, regexp_replace(({DIRS})[1], '-[0-9][0-9.+]*\\z', '')) AS sub_name,
     CASE WHEN s.name IS NOT NULL THEN s.version ELSE nullif(regexp_extract(({DIRS})[1], '^.*-([0-9][0-9.+]*)\\z', 1), '') END AS sub_version, s.url AS sub_url
@@ -198,6 +226,12 @@ def join_subproject_fallback(spark, sf_dir):
     return trace.with_subproject(files(spark, sf_dir), table(spark, sf_dir, "subproject")).select("path", "sub_name", "sub_version", "sub_url")
 
 
+@query("join_subproject", f"SELECT path, sub_name, sub_version, sub_url FROM ({SUBBED}) WHERE sub_url IS NOT NULL")
+def join_subproject(spark, sf_dir):
+    """Paths under an indexed subproject."""
+    return join_subproject_fallback(spark, sf_dir).filter("sub_url is not null")
+
+
 SYSTEM = any_prefix("p.path", paths.SYSTEM)
 NAME = s_file("p.canonical")
 STEM = rf"regexp_replace(regexp_replace({s_file('p.path')}, '(.)\.[^.]*\z', '\1'), '^lib', '')"
@@ -225,47 +259,70 @@ def components(spark, sf_dir):
 QUERIES["fn_to_component"], SQL["fn_to_component"] = components, COMPONENTS
 
 
+@query("fn_identify", f"SELECT path, type, name FROM ({COMPONENTS}) WHERE type <> 'local_file'")
+def fn_identify(spark, sf_dir):
+    """System paths by their package or as unknown."""
+    return components(spark, sf_dir).filter("type <> 'local_file'").select("path", "type", "name")
+
+
+@query("fn_identify_local", f"SELECT path, name, version, hash, vcs_url FROM ({COMPONENTS}) WHERE type = 'local_file'")
+def fn_identify_local(spark, sf_dir):
+    """Local files by subproject, library name or stem, with their hash."""
+    return components(spark, sf_dir).filter("type = 'local_file'").select("path", "name", "version", "hash", "vcs_url")
+
+
 @query("agg_component_dedup", first_sql(COMPONENTS))
 def agg_component_dedup(spark, sf_dir):
     return trace.first_of_key(components(spark, sf_dir))
 
 
-REQUIREMENTS = r"""SELECT trim(split_part(pin, '==', 1)) AS name, trim(regexp_extract(pin, '^.*?==(.*)', 1)) AS version FROM (
-    SELECT trim(split_part(trim(line), ';', 1)) AS pin FROM {0} WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') AND NOT starts_with(trim(line), '-'))
-    WHERE contains(pin, '==') AND NOT contains(pin, '/')""".replace("{0}", sql("requirement_line"))
-PYPI = f"SELECT name, version, 'pypi' AS ecosystem, 'pkg:pypi/' || translate(name, '_.ABCDEFGHIJKLMNOPQRSTUVWXYZ', '--abcdefghijklmnopqrstuvwxyz') || '@' || replace(version, '+', '%2B') AS purl, false AS is_dev FROM ({REQUIREMENTS})"
-GO = f"SELECT part[1] AS name, part[2] AS version, 'golang' AS ecosystem, 'pkg:golang/' || part[1] || '@' || replace(part[2], '+', '%2B') AS purl, false AS is_dev FROM (SELECT string_split(trim(line), ' ') AS part FROM {sql('go_sum_line')} WHERE trim(line) <> '' AND NOT starts_with(trim(line), '//')) WHERE NOT ends_with(part[2], '/go.mod')"
+agg_eco_dedup, ECO = QUERIES["agg_eco_dedup"], SQL["agg_eco_dedup"]
 
 
-@query("src_requirements", PYPI)
-def src_requirements(spark, sf_dir):
-    return lockfiles.requirements(table(spark, sf_dir, "requirement_line"))
+REPORT = f"{first_sql(COMPONENTS)} UNION ALL SELECT name, version, NULL, NULL, NULL, purl, NULL, 'ecosystem:' || ecosystem, 'ecosystem_package' FROM ({ECO})"
 
 
-@query("src_go_sum", GO)
-def src_go_sum(spark, sf_dir):
-    return lockfiles.go_sum(table(spark, sf_dir, "go_sum_line"))
+@query("set_union_report", REPORT)
+def set_union_report(spark, sf_dir):
+    return agg_component_dedup(spark, sf_dir).unionByName(lockfiles.as_components(agg_eco_dedup(spark, sf_dir)))
 
 
-def ecosystems(spark, sf_dir):
-    return src_requirements(spark, sf_dir).unionByName(src_go_sum(spark, sf_dir))
+@query("report_components", REPORT)
+def report_components(spark, sf_dir):
+    return report.ordered(set_union_report(spark, sf_dir))
 
 
-ECO = f"SELECT ecosystem, name, version, min(purl) AS purl, min(is_dev) AS is_dev FROM ({PYPI} UNION ALL {GO}) GROUP BY ecosystem, name, version"
+@query("sort_components", f"SELECT *, row_number() OVER (PARTITION BY type ORDER BY name, version NULLS FIRST, path) AS place FROM ({REPORT})")
+def sort_components(spark, sf_dir):
+    """The report's order, told by places within each type."""
+    return report.numbered(set_union_report(spark, sf_dir))
 
 
-@query("agg_eco_dedup", ECO)
-def agg_eco_dedup(spark, sf_dir):
-    return lockfiles.once(ecosystems(spark, sf_dir))
+@query("anti_eco_insert", f"SELECT * FROM ({REPORT}) WHERE type = 'ecosystem_package' AND 'eco:' || purl NOT IN (SELECT {KEY} FROM ({COMPONENTS}))")
+def anti_eco_insert(spark, sf_dir):
+    """Packages whose key no traced component has."""
+    packages = lockfiles.as_components(agg_eco_dedup(spark, sf_dir))
+    known = components(spark, sf_dir).select(trace.component_key().alias("key"))
+    return packages.withColumn("key", trace.component_key()).join(known, "key", "left_anti").drop("key")
 
 
-REPORT = f"{first_sql(COMPONENTS)} UNION ALL SELECT name, version, NULL, NULL, NULL, purl, NULL, 'ecosystem:' || ecosystem, 'ecosystem_package' FROM ({ECO})"
+@query("snk_log_counts", f"SELECT 'paths' AS counter, count(*) AS n FROM ({UNIQUE}) UNION ALL SELECT 'ecosystem', count(*) FROM ({ECO}) UNION ALL SELECT 'components', count(*) FROM ({REPORT})")
+def snk_log_counts(spark, sf_dir):
+    """What a run logs."""
+    counted = lambda name, rows: rows.agg(F.lit(name).alias("counter"), F.count("*").alias("n"))
+    out = counted("paths", unique_paths(spark, sf_dir)).unionByName(counted("ecosystem", agg_eco_dedup(spark, sf_dir)))
+    return out.unionByName(counted("components", set_union_report(spark, sf_dir)))
 
 
-@query("report_components", REPORT)
-def report_components(spark, sf_dir):
-    packages = lockfiles.as_components(agg_eco_dedup(spark, sf_dir))
-    return report.ordered(agg_component_dedup(spark, sf_dir).unionByName(packages))
+RUN = [F.lit("2026-01-02T03:04:05+00:00"), F.lit('make "all"'), F.lit(PROJECT)]
+
+
+@query("snk_report_json", f"SELECT name, version, arch, src_name, hash, purl, vcs_url, path, type AS component_type FROM ({REPORT})")
+def snk_report_json(spark, sf_dir):
+    """The report's JSON lines, read back."""
+    lines = report.report_document(set_union_report(spark, sf_dir), *RUN, F.lit(None).cast("int"))
+    fields = "name string, version string, arch string, src_name string, hash string, purl string, vcs_url string, path string, component_type string"
+    return lines.filter("part = 1").select(F.from_json(F.regexp_replace("line", "^,", ""), fields).alias("c")).select("c.*")
 
 
 DISTRO = "ubuntu-24.04"
@@ -282,16 +339,32 @@ def fn_cdx_component(spark, sf_dir):
     return report.bom_rows(report_components(spark, sf_dir), F.lit(DISTRO))
 
 
-FORKED = f"(WITH RECURSIVE tree(pid, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT f.child_pid, depth + 1 FROM tree JOIN {sql('fork_edge')} f ON f.parent_pid = tree.pid AND f.child_pid <> f.parent_pid) SELECT DISTINCT pid, depth FROM tree)"
+SYSTEM_ROW = f"SELECT 0 AS place, 'operating-system' AS type, NULL AS path, '{DISTRO.split('-')[0]}' AS name, NULL AS purl, '{DISTRO.split('-')[1]}' AS version, NULL AS sha256, NULL AS occurrence"
 
 
-def forks(spark, sf_dir):
-    return table(spark, sf_dir, "fork_edge").filter("child_pid <> parent_pid")
+@query("set_prepend_os", f"{SYSTEM_ROW} UNION ALL SELECT 1, type, path, name, purl, version, sha256, occurrence FROM ({CDX})")
+def set_prepend_os(spark, sf_dir):
+    return report.with_system(fn_cdx_component(spark, sf_dir), F.lit(DISTRO))
 
 
-@query("flt_pid_tracked", f"SELECT o.seq, o.pid FROM {sql('open_event')} o SEMI JOIN (SELECT pid FROM {FORKED}) t USING (pid)")
-def flt_pid_tracked(spark, sf_dir):
-    return opens(spark, sf_dir).join(trace.descendants(forks(spark, sf_dir), 1), "pid", "left_semi").select("seq", "pid")
+@query("snk_cdx", f"SELECT CASE WHEN place = 0 THEN 'os-component' ELSE purl END AS ref, CASE WHEN place = 0 THEN type ELSE 'library' END AS type, name, version, purl, CASE WHEN sha256 IS NOT NULL THEN 'SHA-256' END AS alg, sha256, occurrence FROM ({SYSTEM_ROW} UNION ALL SELECT 1, type, path, name, purl, version, sha256, occurrence FROM ({CDX}))")
+def snk_cdx(spark, sf_dir):
+    """The bill of materials' JSON lines, read back."""
+    lines = report.bom_document(set_prepend_os(spark, sf_dir), RUN[0], RUN[2], "cairn", "1")
+    fields = "`bom-ref` string, type string, name string, version string, purl string, hashes array<struct<alg:string,content:string>>, evidence struct<occurrences:array<struct<location:string>>>"
+    c = lines.filter("part = 1").select(F.from_json(F.regexp_replace("line", "^,", ""), fields).alias("c"))
+    first = lambda x: F.get(x, 0)
+    return c.select(F.col("c.bom-ref").alias("ref"), "c.type", "c.name", "c.version", "c.purl", first(F.col("c.hashes"))["alg"].alias("alg"), first(F.col("c.hashes"))["content"].alias("sha256"), first(F.col("c.evidence.occurrences"))["location"].alias("occurrence"))
+
+
+FORKED = f"""(WITH RECURSIVE edges AS (SELECT DISTINCT parent_pid, child_pid FROM {sql('fork_edge')} WHERE child_pid <> parent_pid AND child_pid <> 1),
+    tree(pid, depth) USING KEY (pid) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT n.pid, n.depth FROM
+        (SELECT f.child_pid AS pid, min(t.depth) + 1 AS depth FROM tree t JOIN edges f ON f.parent_pid = t.pid GROUP BY f.child_pid) n LEFT JOIN recurring.tree r ON r.pid = n.pid WHERE r.pid IS NULL OR n.depth < r.depth)
+    SELECT pid, depth FROM tree)"""
+
+
+def forks(spark, sf_dir):
+    return table(spark, sf_dir, "fork_edge")
 
 
 @query("rec_descendants", f"SELECT pid, depth FROM {FORKED}")
@@ -299,9 +372,14 @@ def rec_descendants(spark, sf_dir):
     return trace.descendants(forks(spark, sf_dir), 1)
 
 
-@query("st_lazy_pid", f"SELECT DISTINCT pid FROM {sql('open_event')}")
-def st_lazy_pid(spark, sf_dir):
-    return ingest.first_seen(spark, f"{sf_dir}/events.parquet")
+@query("flt_pid_tracked", f"SELECT o.seq, o.pid FROM {sql('open_event')} o SEMI JOIN (SELECT pid FROM {FORKED}) t USING (pid)")
+def flt_pid_tracked(spark, sf_dir):
+    return opens(spark, sf_dir).join(trace.descendants(forks(spark, sf_dir), 1), "pid", "left_semi").select("seq", "pid")
+
+
+@query("semi_tracked_pid", f"SELECT p.pid, p.comm FROM {sql('process')} p SEMI JOIN (SELECT pid FROM {FORKED}) t USING (pid)")
+def semi_tracked_pid(spark, sf_dir):
+    return table(spark, sf_dir, "process").join(trace.descendants(forks(spark, sf_dir), 1), "pid", "left_semi").select("pid", "comm")
 
 
 def dirname_scalar(name: str, column, statement: str):
@@ -324,3 +402,6 @@ dirname_scalar("fn_encode_version", versions.encoded, "replace(replace(x, '+', '
 dirname_scalar("fn_purl_cargo", lambda x: versions.purl("cargo", F.lit("c"), x), "'pkg:cargo/c@' || replace(replace(x, '+', '%2B'), ':', '%3A')")
 dirname_scalar("fn_purl_npm", lambda x: versions.purl("npm", F.concat(F.lit("@s/"), x), x), "'pkg:npm/%40s/' || x || '@' || replace(replace(x, '+', '%2B'), ':', '%3A')")
 dirname_scalar("fn_yarn_name", lambda x: versions.yarn_name(F.concat(F.lit("@s/"), x, F.lit("@^1"))), "'@s/' || x")
+dirname_scalar("fn_purl_pypi", lambda x: versions.purl("pypi", F.concat(F.lit("A_b."), x), x), "'pkg:pypi/a-b-' || translate(x, '_.', '--') || '@' || replace(x, '+', '%2B')")
+dirname_scalar("fn_purl_golang", lambda x: versions.purl("golang", F.lit("m/x"), x), "'pkg:golang/m/x@' || replace(x, '+', '%2B')")
+dirname_scalar("fn_purl_system", lambda x: versions.system_purl(F.lit("p"), x, F.lit(None).cast("string"), F.lit("s"), F.lit("fedora-40")), "'pkg:rpm/fedora/p@' || replace(replace(x, '+', '%2B'), ':', '%3A') || '?distro=fedora-40&upstream=s'")

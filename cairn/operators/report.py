@@ -1,6 +1,6 @@
 """Report order and bill-of-materials rows."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import versions
@@ -11,6 +11,11 @@ def ordered(components: DataFrame) -> DataFrame:
     return components.orderBy("type", "name", "version", "path")
 
 
+def numbered(components: DataFrame) -> DataFrame:
+    """Components with their place in the order within their type."""
+    return components.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy("name", "version", "path")))
+
+
 def bom_rows(components: DataFrame, distro: Column) -> DataFrame:
     """One bill-of-materials row a component: purl, version, hash and occurrence by type."""
     kind = F.col("type")
@@ -20,3 +25,71 @@ def bom_rows(components: DataFrame, distro: Column) -> DataFrame:
     purl = F.when(kind == "system_package", system).when(local, versions.local_purl(F.col("name"), shown)).when(kind == "ecosystem_package", F.col("purl"))
     sha = F.when(local & (F.col("hash") != "sha256:error"), F.substring("hash", 8, 64))
     return components.select("type", "path", "name", purl.alias("purl"), shown.alias("version"), sha.alias("sha256"), F.when(kind != "ecosystem_package", F.col("path")).alias("occurrence"))
+
+
+def project_name(directory: Column) -> Column:
+    """Last segment of the project's directory."""
+    name = F.regexp_extract(directory, r"([^/]+)/*\z", 1)
+    return F.when(name != "", name).otherwise(F.lit("unknown"))
+
+
+def with_system(rows: DataFrame, distro: Column) -> DataFrame:
+    """Bill-of-materials rows after the one of the operating system, told by ``place`` (0 and 1)."""
+    name, version = F.substring_index(distro, "-", 1), F.nullif(F.regexp_extract(distro, "^[^-]*-(.*)$", 1), F.lit(""))
+    none = F.lit(None).cast("string")
+    system = rows.sparkSession.range(1).select(
+        F.lit(0).alias("place"), F.lit("operating-system").alias("type"), none.alias("path"), name.alias("name"), none.alias("purl"), version.alias("version"), none.alias("sha256"), none.alias("occurrence")
+    )
+    return system.unionByName(rows.withColumn("place", F.lit(1)))
+
+
+def component_json() -> Column:
+    """A report component; keys without a value are left out."""
+    return F.to_json(F.struct("name", "version", "arch", "src_name", "hash", "purl", "vcs_url", "path", F.col("type").alias("component_type")))
+
+
+def quoted(value: Column) -> Column:
+    """A JSON text, or null."""
+    text = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def document(head: Column, rows: DataFrame, order: list[str], foot: str) -> DataFrame:
+    """Lines of a JSON document: a head, one line an item of ``rows`` (with ``json``) in order, a foot.
+
+    The items are sorted over all tasks and never gathered: ``line`` in order
+    is the document, as ``write.text`` leaves it in its part files. All items
+    but the first begin with a comma.
+    """
+    key = F.struct(*[F.struct(F.col(c).isNotNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in order])
+    items = rows.select(F.lit(1).alias("part"), key.alias("key"), "json")
+    items = rows.sparkSession.sql("SELECT part, key, concat(CASE WHEN key = (SELECT min(key) FROM {items}) THEN '' ELSE ',' END, json) AS line FROM {items}", items=items)
+    one = rows.sparkSession.range(1)
+    ends = one.select(F.lit(0).alias("part"), head.alias("line")).union(one.select(F.lit(2), F.lit(foot)))
+    ends = ends.select("part", F.lit(None).cast(items.schema["key"].dataType).alias("key"), "line")
+    return ends.unionByName(items).orderBy("part", "key").select("part", "line")
+
+
+def report_document(components: DataFrame, timestamp: Column, command: Column, directory: Column, exit_code: Column) -> DataFrame:
+    """The report as lines of JSON; an unknown exit code is kept as null."""
+    head = F.concat(F.lit('{"timestamp":'), quoted(timestamp), F.lit(',"build_command":'), quoted(command), F.lit(',"project_dir":'), quoted(directory), F.lit(',"exit_code":'), F.coalesce(exit_code.cast("string"), F.lit("null")), F.lit(',"components":['))
+    return document(head, components.withColumn("json", component_json()), ["type", "name", "version", "path"], "]}")
+
+
+def bom_json() -> Column:
+    """A bill-of-materials component; keys without a value are left out."""
+    system = F.col("place") == 0
+    reference = F.when(system, F.lit("os-component")).otherwise(F.col("purl"))
+    kind = F.when(system, F.lit("operating-system")).otherwise(F.lit("library"))
+    hashes = F.when(F.col("sha256").isNotNull(), F.array(F.struct(F.lit("SHA-256").alias("alg"), F.col("sha256").alias("content"))))
+    evidence = F.when(F.col("occurrence").isNotNull(), F.struct(F.array(F.struct(F.col("occurrence").alias("location"))).alias("occurrences")))
+    return F.to_json(F.struct(reference.alias("bom-ref"), kind.alias("type"), "name", "version", "purl", hashes.alias("hashes"), evidence.alias("evidence")))
+
+
+def bom_document(rows: DataFrame, timestamp: Column, directory: Column, tool: str, tool_version: str) -> DataFrame:
+    """The bill of materials as lines of JSON, the operating system first."""
+    head = F.concat(
+        F.lit('{"$schema":"http://cyclonedx.org/schema/bom-1.6.schema.json","bomFormat":"CycloneDX","specVersion":"1.6","version":1,"serialNumber":"urn:uuid:'), F.uuid(), F.lit('","metadata":{"timestamp":'), quoted(timestamp),
+        F.lit(f',"tools":{{"components":[{{"type":"application","name":"{tool}","version":"{tool_version}"}}]}},"component":{{"bom-ref":"root-component","type":"application","name":'), quoted(project_name(directory)), F.lit('}},"components":['),
+    )
+    return document(head, rows.withColumn("json", bom_json()), ["place", "type", "name", "version", "path"], "]}")

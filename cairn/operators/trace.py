@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, versions
+from cairn.sources.store import stage
 
 #: Component types in their fixed order.
 ECOSYSTEM, LOCAL, SYSTEM, UNKNOWN = "ecosystem_package", "local_file", "system_package", "system_unknown"
@@ -29,6 +30,21 @@ def relevant_paths(opens: DataFrame, process: DataFrame, project: str, orchestra
     return rows.select(paths.normalized(F.col("raw_path"), F.col("cwd")).alias("path")).distinct()
 
 
+def content_hash(content: F.Column) -> F.Column:
+    """Hash of a file's content; null where it can't be read."""
+    return F.concat(F.lit("sha256:"), F.sha2(content, 256))
+
+
+def existing(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Paths that are in ``files`` (path, canonical, content), with canonical path and content hash."""
+    return found.join(files, "path").select("path", "canonical", content_hash(F.col("content")).alias("hash"))
+
+
+def arch_of(pkg_key: F.Column) -> F.Column:
+    """What follows the first colon of a package key."""
+    return F.when(pkg_key.contains(":"), F.regexp_extract(pkg_key, "^[^:]*:(.*)", 1))
+
+
 def last_wins(rows: DataFrame, key: str, *values: str) -> DataFrame:
     """One row a key: the values with the greatest pos."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*values), "pos").alias("v")).select(key, *[F.col(f"v.{v}").alias(v) for v in values])
@@ -50,16 +66,21 @@ def subproject_dirs(path) -> F.Column:
 
 
 def with_subproject(files: DataFrame, subproject: DataFrame) -> DataFrame:
-    """Paths with sub_name, sub_version and sub_url: the first indexed directory, else the first one's own name."""
-    dirs = files.select("path", F.posexplode(subproject_dirs(F.col("path"))).alias("pos", "dirname"))
-    hits = dirs.join(subproject, "dirname").groupBy("path").agg(F.min_by(F.struct("name", "version", "url"), "pos").alias("sub"))
-    first = F.get(subproject_dirs(F.col("path")), 0)
-    rows = files.join(hits, "path", "left")
+    """Paths with sub_name, sub_version and sub_url: the first indexed directory, else the first one's own name.
+
+    ``files`` is read once: its candidate directories are looked up in place
+    and folded again by path.
+    """
+    dirs = subproject_dirs(F.col("path"))
+    entry = subproject.select("dirname", F.struct("name", "version", "url").alias("entry"))
+    tried = files.select("*", F.get(dirs, 0).alias("_first"), F.posexplode_outer(dirs).alias("_pos", "dirname")).join(entry, "dirname", "left")
+    rest = [F.first(c).alias(c) for c in files.columns if c != "path"]
+    rows = tried.groupBy("path").agg(*rest, F.first("_first").alias("_first"), F.min_by("entry", F.when(F.col("entry").isNotNull(), F.col("_pos"))).alias("sub"))
     known = F.col("sub").isNotNull()
     return rows.select(
         *files.columns,
-        F.when(known, F.col("sub.name")).otherwise(versions.dirname_base(first)).alias("sub_name"),
-        F.when(known, F.col("sub.version")).otherwise(versions.from_dirname(first)).alias("sub_version"),
+        F.when(known, F.col("sub.name")).otherwise(versions.dirname_base(F.col("_first"))).alias("sub_name"),
+        F.when(known, F.col("sub.version")).otherwise(versions.from_dirname(F.col("_first"))).alias("sub_version"),
         F.col("sub.url").alias("sub_url"),
     )
 
@@ -74,7 +95,7 @@ def components(files: DataFrame, pkg_file: DataFrame, pkg_meta: DataFrame, subpr
     package, local = F.col("type") == SYSTEM, F.col("type") == LOCAL
     own = F.coalesce("sub_name", paths.soname_name(name), F.regexp_replace(paths.stem(path), "^lib", ""))
     version = F.when(F.col("sub_name").isNotNull(), F.col("sub_version")).otherwise(paths.soname_version(name))
-    arch = F.when(F.col("pkg_key").contains(":"), F.regexp_extract("pkg_key", "^[^:]*:(.*)", 1))
+    arch = arch_of(F.col("pkg_key"))
     return rows.select(
         F.when(package, F.substring_index("pkg_key", ":", 1)).when(local, own).otherwise(paths.file_name(path)).alias("name"),
         F.when(package, F.col("version")).when(local, version).alias("version"),
@@ -105,13 +126,50 @@ def first_of_key(rows: DataFrame) -> DataFrame:
     return rows.groupBy(component_key().alias("key")).agg(best).select("c.*")
 
 
-def descendants(forks: DataFrame, root: int, rounds: int = 64) -> DataFrame:
-    """(pid, depth) of the processes forked from ``root``, directly or not."""
+def doubled(pointers: DataFrame) -> DataFrame:
+    """``pointers`` (pid, up, depth) followed until they leave the table; those that never do, in cycles, are dropped.
+
+    Each round doubles the steps taken, so a chain of n takes log2(n) rounds.
+    """
+    rounds = pointers.count().bit_length() + 1
+    for _ in range(rounds):
+        on = pointers.select(F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
+        pointers = stage(pointers.join(on, "up", "left").select("pid", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
+        if pointers.join(pointers.select(F.col("pid").alias("up")), "up", "left_semi").isEmpty():
+            return pointers
+    return pointers.join(pointers.select(F.col("pid").alias("up")), "up", "left_anti")
+
+
+def descendants(forks: DataFrame, root: int) -> DataFrame:
+    """(pid, depth) of the processes forked from ``root``, directly or not, with the least depth; any depth, cycles too.
+
+    A process forked once points to its parent; pointers are doubled until
+    they end at the root, at a process that several forked, or nowhere. Only
+    the processes that several forked (reused ids) are then relaxed by rounds.
+    """
     spark = forks.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE tree(pid, depth) MAX RECURSION LEVEL {rounds} AS (
-            SELECT CAST({root} AS BIGINT), 0
-            UNION ALL SELECT f.child_pid, t.depth + 1 FROM tree t JOIN {{forks}} f ON f.parent_pid = t.pid)
-        SELECT DISTINCT pid, depth FROM tree""",
-        forks=forks,
-    )
+    edges = stage(forks.select(F.col("parent_pid").cast("long").alias("up"), F.col("child_pid").cast("long").alias("pid")).filter((F.col("up") != F.col("pid")) & (F.col("pid") != root)).distinct())
+    parents = edges.groupBy("pid").agg(F.count("*").alias("n"), F.min("up").alias("up"))
+    single = doubled(parents.filter("n = 1").select("pid", "up", F.lit(1).cast("long").alias("depth")))
+    several = parents.filter("n > 1").select("pid")
+    ends = edges.join(several, "pid", "left_semi").join(single.select(F.col("pid").alias("up"), F.col("up").alias("_end"), "depth"), "up", "left")
+    ends = stage(ends.select("pid", F.coalesce("_end", "up").alias("up"), (F.coalesce("depth", F.lit(0)) + 1).alias("step")))
+    known = spark.createDataFrame([(root, 0)], "pid long, depth long")
+    fresh = known
+    while not fresh.isEmpty():
+        reached = ends.join(fresh.select(F.col("pid").alias("up"), "depth"), "up").groupBy("pid").agg(F.min(F.col("depth") + F.col("step")).alias("depth"))
+        fresh = stage(reached.join(known.select("pid", F.col("depth").alias("_had")), "pid", "left").filter("_had is null or depth < _had").select("pid", "depth"))
+        known = stage(known.unionByName(fresh).groupBy("pid").agg(F.min("depth").alias("depth")))
+    below = single.join(known.select(F.col("pid").alias("up"), F.col("depth").alias("_base")), "up").select("pid", (F.col("depth") + F.col("_base")).alias("depth"))
+    return known.unionByName(below)
+
+
+def with_parent(known: DataFrame, forks: DataFrame) -> DataFrame:
+    """(pid, parent_pid): by fork, else what the process itself names (``known``: pid, ppid)."""
+    parents = forks.groupBy(F.col("child_pid").alias("pid")).agg(F.min("parent_pid").alias("parent_pid"))
+    return known.join(parents, "pid", "left").select("pid", F.coalesce("parent_pid", "ppid").alias("parent_pid"))
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """Sums over processors of counters (counter, cpu, n)."""
+    return rows.groupBy("counter").agg(F.sum("n").alias("total"))

@@ -1,38 +1,223 @@
-"""Lock-file lines as (name, version, ecosystem, purl, is_dev) rows."""
+"""Lock files (path, content) as (name, version, ecosystem, purl, is_dev) rows.
 
-from pyspark.sql import DataFrame
+Files come whole, one row each. JSON is read as variants and text is split to
+lines by Spark; only TOML, which Spark can't read, goes through a small Python
+task. A file that can't be parsed gives no rows.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import versions
+from cairn.sources.store import stage
+
+#: Directories never looked into, how deep lock files are looked for, and who must have run.
+SKIPPED = ("target", "node_modules", ".git", "__pycache__", ".venv", "venv", "env", "vendor", ".tox", "dist", "build", ".cache", ".mypy_cache", ".pytest_cache")
+DEPTH = 5
+RAN = {
+    "cargo": ("cargo", "rustc", "rustdoc", "clippy-driver"),
+    "npm": ("npm", "node", "yarn", "pnpm", "npx", "corepack"),
+    "pypi": ("uv", "hatch", "pdm"),
+    "golang": ("go",),
+}
+RAN_PREFIXES = {"pypi": ("pip", "python")}
+#: Parsers in the order in which their rows count; the first of equal packages stays.
+ORDER = ("Cargo.lock", "package-lock.json", "yarn.lock", "Pipfile.lock", "poetry.lock", "requirements.txt", "go.sum")
+ECOSYSTEM = {"Cargo.lock": "cargo", "package-lock.json": "npm", "yarn.lock": "npm", "Pipfile.lock": "pypi", "poetry.lock": "pypi", "requirements.txt": "pypi", "go.sum": "golang"}
 
 
-def eco_rows(rows: DataFrame, kind: str, ecosystem: str, is_dev=None) -> DataFrame:
-    """Rows with name and version as packages of ``ecosystem``."""
+def found(files: DataFrame, name: str, depth: int = DEPTH) -> DataFrame:
+    """``files`` (rel_path, content) of this name that a walk of ``depth`` directories comes to."""
+    parts = F.split("rel_path", "/")
+    dirs = F.slice(parts, 1, F.size(parts) - 1)
+    near = (F.size(dirs) <= depth) & ~F.arrays_overlap(dirs, F.array(*map(F.lit, SKIPPED)))
+    return files.filter((F.element_at(parts, -1) == name) & near)
+
+
+def eco_rows(rows: DataFrame, kind: str, is_dev: Column | None = None) -> DataFrame:
+    """Rows with name and version as packages of ecosystem ``kind``."""
     purl = versions.purl(kind, F.col("name"), F.col("version"))
-    return rows.select("name", "version", F.lit(ecosystem).alias("ecosystem"), purl.alias("purl"), (F.lit(False) if is_dev is None else is_dev).alias("is_dev"))
+    return rows.select("name", "version", F.lit(kind).alias("ecosystem"), purl.alias("purl"), (F.lit(False) if is_dev is None else is_dev).alias("is_dev"))
+
+
+def lines(files: DataFrame) -> DataFrame:
+    """(rel_path, pos, line): lines without their ends."""
+    return files.select("rel_path", F.posexplode(F.split(F.regexp_replace("content", "\r\n", "\n"), "\n")).alias("pos", "line"))
+
+
+def toml_packages(batches):
+    """Task: the package tables of TOML files; a file that isn't as it should be gives none."""
+    import tomllib
+
+    columns = ["name", "version", "source", "category", "groups"]
+    for batch in batches:
+        out = []
+        for content in batch.column("content").to_pylist():
+            try:
+                packages = tomllib.loads(content or "").get("package") or []
+                rows = [[p["name"], p["version"], p.get("source"), p.get("category"), p.get("groups", [])] for p in packages]
+                texts = [x for row in rows for x in row[:2] + [y for y in row[2:4] if isinstance(y, str)]]
+                if all(isinstance(x, str) for x in texts) and all(isinstance(r[4], list) for r in rows):
+                    out += [[*r[:2], *(y if isinstance(y, str) else None for y in r[2:4]), [str(g) for g in r[4]]] for r in rows]
+            except (tomllib.TOMLDecodeError, KeyError, TypeError, AttributeError):
+                continue
+        types = [pa.string()] * 4 + [pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], columns)
+
+
+def toml_rows(files: DataFrame) -> DataFrame:
+    return files.select("content").mapInArrow(toml_packages, "name string, version string, source string, category string, groups array<string>")
+
+
+def cargo(files: DataFrame) -> DataFrame:
+    """Packages from a registry or a git source."""
+    rows = toml_rows(files).filter(F.col("source").startswith("registry+") | F.col("source").startswith("git+"))
+    return eco_rows(rows, "cargo")
+
+
+def poetry(files: DataFrame) -> DataFrame:
+    """All packages; development ones by category or by groups without ``main``."""
+    is_dev = F.coalesce(F.col("category") == "dev", F.lit(False)) | ((F.size("groups") > 0) & ~F.array_contains("groups", "main"))
+    return eco_rows(toml_rows(files), "pypi", is_dev)
+
+
+def members(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """One row for each member of an object column: name, value; none where it isn't an object."""
+    spark = rows.sparkSession
+    kept = "".join(f"{k}, " for k in keep)
+    return spark.sql(f"SELECT {kept}m.key AS name, m.value AS value FROM {{rows}}, LATERAL variant_explode({column}) m WHERE startswith(schema_of_variant({column}), 'OBJECT')", rows=rows)
+
+
+def text_of(path: str) -> Column:
+    """A member of ``value`` if it is a text."""
+    return F.when(F.expr(f"schema_of_variant(variant_get(value, '{path}', 'variant'))") == "STRING", F.expr(f"variant_get(value, '{path}', 'string')"))
+
 
+def flag_of(path: str) -> Column:
+    """A member of ``value`` if it is true."""
+    return F.coalesce(F.expr(f"schema_of_variant(variant_get(value, '{path}', 'variant'))") == "BOOLEAN", F.lit(False)) & F.coalesce(F.expr(f"try_variant_get(value, '{path}', 'boolean')"), F.lit(False))
 
-def requirements(lines: DataFrame) -> DataFrame:
+
+def documents(files: DataFrame) -> DataFrame:
+    """``files`` that are JSON, as ``doc``; ``major`` is the lock file version (1 if it has none)."""
+    # In brackets, what follows a document isn't overlooked: it is a second element, or no JSON.
+    docs = files.select("rel_path", F.expr("try_parse_json(concat('[', content, ']'))").alias("doc")).filter("doc is not null and variant_get(doc, '$[1]', 'variant') is null")
+    docs = docs.select("rel_path", F.expr("variant_get(doc, '$[0]', 'variant')").alias("doc")).filter("doc is not null")
+    number = F.expr("try_variant_get(doc, '$.lockfileVersion', 'bigint')")
+    whole = F.expr("schema_of_variant(variant_get(doc, '$.lockfileVersion', 'variant'))") == "BIGINT"
+    return docs.withColumn("major", F.when(whole & (number >= 0), number).otherwise(F.lit(1)))
+
+
+def npm_flat(files: DataFrame) -> DataFrame:
+    """Lock files from version 2 on: a flat map of install paths, the project itself left out."""
+    packages = documents(files).filter("major >= 2").select(F.expr("variant_get(doc, '$.packages', 'variant')").alias("packages"))
+    rows = members(packages, "packages").filter("name <> ''")
+    rows = rows.select(F.regexp_replace("name", "^node_modules/", "").alias("name"), text_of("$.version").alias("version"), flag_of("$.dev").alias("dev"))
+    return eco_rows(rows.filter("version is not null"), "npm", F.col("dev"))
+
+
+def npm_nested(files: DataFrame) -> DataFrame:
+    """Version 1: nested maps; a package without a version goes with all below it. One round a level, however deep."""
+    level = documents(files).filter("major < 2").select(F.expr("variant_get(doc, '$.dependencies', 'variant')").alias("deps"))
+    out = None
+    while True:
+        rows = members(level.filter("deps is not null"), "deps").select("name", text_of("$.version").alias("version"), flag_of("$.dev").alias("dev"), F.expr("cast(variant_get(value, '$.dependencies', 'variant') as string)").alias("below"))
+        rows = stage(rows.filter("version is not null"))
+        part = eco_rows(rows, "npm", F.col("dev"))
+        out = part if out is None else out.unionByName(part)
+        deeper = rows.filter("below is not null")
+        if deeper.isEmpty():
+            return out
+        level = deeper.select(F.expr("try_parse_json(below)").alias("deps"))
+
+
+def yarn(files: DataFrame) -> DataFrame:
+    """Classic stanzas: the first ``version`` line under a header gives the version of the header's first name."""
+    rows = lines(files).withColumn("text", F.btrim("line", F.lit(" \t\r")))
+    rows = rows.filter(~F.col("text").startswith("#"))
+    head = (F.col("text") != "") & ~F.col("line").startswith(" ") & ~F.col("line").startswith("\t")
+    spec = F.btrim(F.btrim(F.substring_index(F.regexp_replace("text", ":+$", ""), ",", 1)), F.lit('"'))
+    in_file = Window.partitionBy("rel_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("stanza", F.sum((head | (F.col("text") == "")).cast("int")).over(in_file)).withColumn("spec", F.when(head, spec))
+    version = F.when(F.col("spec").isNull() & F.col("text").startswith("version "), F.btrim(F.btrim(F.substring("text", 9, 1 << 30)), F.lit('"')))
+    rows = rows.groupBy("rel_path", "stanza").agg(F.max("spec").alias("spec"), F.min_by(version, F.when(version.isNotNull(), F.col("pos"))).alias("version"))
+    return eco_rows(rows.filter("version is not null").select(versions.yarn_name(F.col("spec")).alias("name"), "version").filter("name is not null"), "npm")
+
+
+def pipfile(files: DataFrame) -> DataFrame:
+    """The default section, then the development one."""
+    out = None
+    for section, is_dev in (("default", False), ("develop", True)):
+        part = documents(files).select(F.expr(f"variant_get(doc, '$.{section}', 'variant')").alias("deps"))
+        rows = members(part, "deps").select("name", F.regexp_replace(text_of("$.version"), "^(==)+", "").alias("version"))
+        part = eco_rows(rows.filter("version is not null"), "pypi", F.lit(is_dev))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def requirements(text: DataFrame) -> DataFrame:
     """``name==version`` lines; what follows ``;`` is cut, paths and options are not packages."""
     line = F.btrim("line")
-    kept = lines.filter((line != "") & ~line.startswith("#") & ~line.startswith("-"))
+    kept = text.filter((line != "") & ~line.startswith("#") & ~line.startswith("-"))
     pin = F.btrim(F.substring_index(line, ";", 1))
     name, version = F.btrim(F.substring_index(pin, "==", 1)), F.btrim(F.regexp_extract(pin, "^.*?==(.*)", 1))
     kept = kept.filter(pin.contains("==")).select(name.alias("name"), version.alias("version"))
-    return eco_rows(kept.filter("NOT contains(name, '/') AND NOT contains(version, '/')"), "pypi", "pypi")
+    return eco_rows(kept.filter("NOT contains(name, '/') AND NOT contains(version, '/')"), "pypi")
 
 
-def go_sum(lines: DataFrame) -> DataFrame:
+def go_sum(text: DataFrame) -> DataFrame:
     """``module version hash`` lines; those of go.mod files are not packages."""
     line = F.btrim("line")
     part = F.split(line, " ", 3)
-    kept = lines.filter((line != "") & ~line.startswith("//")).select(F.get(part, 0).alias("name"), F.get(part, 1).alias("version"))
-    return eco_rows(kept.filter("version IS NOT NULL AND NOT endswith(version, '/go.mod')"), "golang", "golang")
+    kept = text.filter((line != "") & ~line.startswith("//")).select(F.get(part, 0).alias("name"), F.get(part, 1).alias("version"))
+    return eco_rows(kept.filter("version IS NOT NULL AND NOT endswith(version, '/go.mod')"), "golang")
+
+
+def npm_lock(files: DataFrame) -> DataFrame:
+    return npm_flat(files).unionByName(npm_nested(files))
+
+
+PARSERS = {
+    "Cargo.lock": cargo,
+    "package-lock.json": npm_lock,
+    "yarn.lock": yarn,
+    "Pipfile.lock": pipfile,
+    "poetry.lock": poetry,
+    "requirements.txt": lambda files: requirements(lines(files)),
+    "go.sum": lambda files: go_sum(lines(files)),
+}
+
+
+def ran(ecosystem: str) -> Column:
+    """Whether a process name belongs to the tools of an ecosystem."""
+    out = F.col("comm").isin(*RAN[ecosystem])
+    for prefix in RAN_PREFIXES.get(ecosystem, ()):
+        out = out | F.col("comm").startswith(prefix)
+    return out
+
+
+def gated(rows: DataFrame, process: DataFrame, ecosystem: str) -> DataFrame:
+    """``rows`` if any process of the ecosystem's tools ran, else none."""
+    return rows.sparkSession.sql("SELECT r.* FROM {rows} r WHERE EXISTS (SELECT 1 FROM {tools})", rows=rows, tools=process.filter(ran(ecosystem)))
+
+
+def detected(files: DataFrame, process: DataFrame, include_dev: bool = False) -> DataFrame:
+    """Packages of all lock files whose tools ran, development ones left out unless asked for, each once."""
+    out = None
+    for rank, name in enumerate(ORDER):
+        part = gated(PARSERS[name](found(files, name)), process, ECOSYSTEM[name]).withColumn("rank", F.lit(rank))
+        out = part if out is None else out.unionByName(part)
+    return once(out if include_dev else out.filter("NOT is_dev"))
 
 
 def once(rows: DataFrame) -> DataFrame:
-    """One row for each (ecosystem, name, version)."""
-    return rows.groupBy("ecosystem", "name", "version").agg(F.min("purl").alias("purl"), F.min("is_dev").alias("is_dev"))
+    """One row for each (ecosystem, name, version): the first by parser, if rows have a ``rank``, then by purl."""
+    rank = [F.col("rank")] if "rank" in rows.columns else []
+    first = F.min_by(F.struct("purl", "is_dev"), F.struct(*rank, "purl", "is_dev")).alias("v")
+    return rows.groupBy("ecosystem", "name", "version").agg(first).select("ecosystem", "name", "version", "v.purl", "v.is_dev")
 
 
 def as_components(rows: DataFrame) -> DataFrame:

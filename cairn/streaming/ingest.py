@@ -5,24 +5,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.store import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
 
-        found = tempfile.mkdtemp(prefix="spark-")
-    return found.rstrip("/")
+def drained(spark: SparkSession, path: str, pids, schema: str) -> DataFrame:
+    """What a stateful stream over the Parquet files of a folder gives once all that was there is read.
 
-
-def first_seen(spark: SparkSession, path: str) -> DataFrame:
-    """Processes seen in a trace, each once, by a stateful stream over its files."""
+    ``pids`` turns the stream into rows; the stream ends by itself, and only
+    then its output is read, so that nothing seen before the end is missed.
+    """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     parent, _, name = path.rpartition("/")
-    schema = spark.read.parquet(path).schema
-    opens = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{parent}/{name}*")
-    pids = opens.select((F.lit(1000) + F.col("user_id")).alias("pid")).dropDuplicates(["pid"])
-    run = pids.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(f"{parent}/{name}*")
+    run = pids(rows).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     run.awaitTermination()
-    return spark.read.schema("pid long").parquet(f"{folder}/out")
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+def first_seen(spark: SparkSession, path: str) -> DataFrame:
+    """Processes of a trace (pid), by fork or by open, each once."""
+    return drained(spark, path, lambda rows: rows.select(F.col("pid").cast("long").alias("pid")).dropDuplicates(["pid"]), "pid long")
+
+
+def late(seen: DataFrame, process: DataFrame) -> DataFrame:
+    """Names and directories of the processes seen, looked up once the stream has ended; unknown ones are empty."""
+    return seen.join(process, "pid", "left").select("pid", F.coalesce(F.trim("comm"), F.lit("")).alias("comm"), "cwd")
