@@ -314,13 +314,13 @@ def snk_log_counts(spark, sf_dir):
     return out.unionByName(counted("components", set_union_report(spark, sf_dir)))
 
 
-RUN = [F.lit("2026-01-02T03:04:05+00:00"), F.lit('make "all"'), F.lit(PROJECT)]
+RUN = ("2026-01-02T03:04:05+00:00", 'make "all"', PROJECT)
 
 
 @query("snk_report_json", f"SELECT name, version, arch, src_name, hash, purl, vcs_url, path, type AS component_type FROM ({REPORT})")
 def snk_report_json(spark, sf_dir):
     """The report's JSON lines, read back."""
-    lines = report.report_document(set_union_report(spark, sf_dir), *RUN, F.lit(None).cast("int"))
+    lines = report.report_document(set_union_report(spark, sf_dir), *map(F.lit, RUN), F.lit(None).cast("int"))
     fields = "name string, version string, arch string, src_name string, hash string, purl string, vcs_url string, path string, component_type string"
     return lines.filter("part = 1").select(F.from_json(F.regexp_replace("line", "^,", ""), fields).alias("c")).select("c.*")
 
@@ -350,7 +350,7 @@ def set_prepend_os(spark, sf_dir):
 @query("snk_cdx", f"SELECT CASE WHEN place = 0 THEN 'os-component' ELSE purl END AS ref, CASE WHEN place = 0 THEN type ELSE 'library' END AS type, name, version, purl, CASE WHEN sha256 IS NOT NULL THEN 'SHA-256' END AS alg, sha256, occurrence FROM ({SYSTEM_ROW} UNION ALL SELECT 1, type, path, name, purl, version, sha256, occurrence FROM ({CDX}))")
 def snk_cdx(spark, sf_dir):
     """The bill of materials' JSON lines, read back."""
-    lines = report.bom_document(set_prepend_os(spark, sf_dir), RUN[0], RUN[2], "cairn", "1")
+    lines = report.bom_document(set_prepend_os(spark, sf_dir), F.lit(RUN[0]), F.lit(RUN[2]), "cairn", "1")
     fields = "`bom-ref` string, type string, name string, version string, purl string, hashes array<struct<alg:string,content:string>>, evidence struct<occurrences:array<struct<location:string>>>"
     c = lines.filter("part = 1").select(F.from_json(F.regexp_replace("line", "^,", ""), fields).alias("c"))
     first = lambda x: F.get(x, 0)

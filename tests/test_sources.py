@@ -1,6 +1,9 @@
 """Hand-derived cases of lock files, package database, wraps, event records and documents."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +126,8 @@ def test_documents_are_json(spark, exit_code):
     assert got["components"][2]["hashes"] == [{"alg": "SHA-256", "content": "ab"}] and "hashes" not in got["components"][3]
     empty = json.loads("".join(r.line for r in report.report_document(table.limit(0), when, command, directory, F.lit(1)).collect()))
     assert empty["components"] == []
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 90 and set(s) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
