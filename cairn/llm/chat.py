@@ -8,7 +8,10 @@ parsing gives every turn back.
 
 Turns are ordered by (turn, role, text), nulls first; null roles and texts
 count as empty; repeated rows are turns of their own; a null conv_id is a
-conversation; an empty table gives no rows.
+conversation; an empty table gives no rows; other columns are ignored. A
+conversation is one row however long its texts are (it must fit one). A token
+that reaches over the edge of an assistant text is under the mask; reading back
+cuts it to the text.
 """
 
 import hashlib

@@ -9,7 +9,9 @@ in the tasks, so only distinct (language, gram) pairs are shuffled.
 
 Null texts and texts without a letter are ``und`` with score 0; an empty
 table gives no rows, and with no training text all are ``und``; rows with a
-null lang teach nothing; repeated rows count each time when learning.
+null lang teach nothing; repeated rows count each time when learning; a null
+doc_id is never held out; a very long text is profiled whole, its grams counted
+in one array; other columns are ignored.
 """
 
 import numpy as np

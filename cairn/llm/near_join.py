@@ -1,11 +1,14 @@
 """Set-similarity join on word shingles by chosen paths.
 
 Documents with equal shingle sets are one set with a multiplicity. Every set
-is mapped to ``COORDINATES`` minhash tokens. In each of ``RUNS`` runs a path
-tree splits the sets: a node draws one or two of its coordinates (1 / 0.8 on
-average), and a set goes to the child of its own token there; after ``DEPTH``
-levels two sets of similarity 0.8 share a leaf with probability 0.64, so after
-8 runs all but 3 in 10,000 such pairs have met (sets with more: fewer still).
+is mapped to ``COORDINATES`` minhash tokens. In each run a path tree splits the
+sets: a node draws one or two of its coordinates (1 / 0.8 on average), and a set
+goes to the child of its own token there; after ``DEPTH`` levels two sets of
+similarity 0.8 share a leaf with probability ``MEET``. Runs repeat until pairs at
+0.8 have met in one with probability ``RECALL`` (more alike ones: more). Pairs
+that met are compared on their tokens, where two sets of 0.8 fall below
+``LOOKS_ALIKE`` in about 1 of 10,000 cases; then they are only found together
+if other links put them into one class.
 
 The first ``FIRST_RUNS`` runs only connect what is easily found: in each leaf
 the first set not yet taken takes what looks similar enough, a leaf over
@@ -25,6 +28,8 @@ texts are classes of their own without links, as are all others that nothing
 resembles; repeated rows link like other copies; an empty table gives no rows.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +41,8 @@ from .components import components
 WORDS = 5
 ALIKE = (4, 5)
 COORDINATES = 128
-RUNS = 8
+MEET = 0.64
+RECALL = 0.9997
 FIRST_RUNS = 2
 DEPTH = 3
 LOOKS_ALIKE = 0.66
@@ -46,6 +52,14 @@ ROUNDS = 8
 SETS = "row_id long, doc_id long, set_a long, set_b long, n_shingles long, tokens binary"
 
 
+def runs_for(recall: float) -> int:
+    """Runs after which two sets of similarity 0.8 have met with this probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - MEET))
+
+
+RUNS = runs_for(RECALL)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
     """(row, shingle hash) of a block's shingle sets, sorted and unique."""
     data = lower_ascii()[data]

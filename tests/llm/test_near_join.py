@@ -99,3 +99,32 @@ def test_a_bridge_between_clusters_is_found():
     assert {frozenset(x) for x in zip(a, b)} == {frozenset((0, 2)), frozenset((1, 3)), frozenset((2, 3))}
     a, b = nj.linked(label, tokens, np.array([0, 1, 0, 1]), True)
     assert frozenset((2, 3)) in {frozenset(x) for x in zip(a, b)}
+
+
+def test_recall_among_look_alikes(spark, words):
+    """Pairs at 0.8 and little more, each side among variants that look alike and aren't linked: all links are counted."""
+    r, texts = random.Random(9), []
+    for k in range(12):
+        base = words(300, 2000 + k, 50_000)
+        near = base.split(" ")
+        for at in range(6):
+            near[50 * at + 7] = f"n{k}x{at}"
+        for side in (base, " ".join(near)):
+            texts.append(side)
+            for v in range(9):
+                own = side.split(" ")
+                for at in r.sample(range(0, 300, 6), 10):
+                    own[at] = f"v{r.randrange(10**9)}"
+                texts.append(" ".join(own))
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[i] for i in order]
+    n_links, root = brute(texts)
+    docs = stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    got = {x.doc_id: x for x in nj.classed(docs).collect()}
+    found, all_ = sum(x.n_links for x in got.values()), sum(n_links)
+    assert all_ > 20 and found >= 0.99 * all_, (found, all_)
+
+
+def test_runs_follow_from_the_recall():
+    assert nj.runs_for(0.9997) == nj.RUNS == 8 and nj.runs_for(0.9) == 3
