@@ -11,7 +11,7 @@ STAGES = [
     ("pack", stages.packed),
 ]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds each of them and the whole run against brute force.
 ORACLE_SQL = None
 
 
