@@ -66,7 +66,8 @@ def term_weights(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         wide = data.astype(np.int64)
         grams = (wide[:-2] * 961 + wide[1:-1] * 31 + wide[2:]) * 40503 % 65521 % GRAM_TERMS
         where = np.repeat(np.arange(rows), np.diff(offsets))[: len(grams)]
-        counts = np.bincount(where * GRAM_TERMS + grams, minlength=rows * GRAM_TERMS).reshape(rows, -1)
+        inside = np.arange(len(grams)) + 3 <= offsets[1:][where]  # a gram belongs to one text
+        counts = np.bincount(where[inside] * GRAM_TERMS + grams[inside], minlength=rows * GRAM_TERMS).reshape(rows, -1)
         out[:, WORD_TERMS : WORD_TERMS + GRAM_TERMS] = 0.5 * np.sqrt(counts / np.maximum(counts.sum(axis=1), 1)[:, None])
     for k, mark in enumerate(marks):
         out[:, WORD_TERMS + GRAM_TERMS + k] = np.sqrt(np.bincount(row[mark], minlength=rows) / total[:, 0])
