@@ -59,6 +59,17 @@ def test_special_strings_and_long_chunks():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == want_ids(t)
 
 
+def test_a_full_cache_forgets_without_harm(words, monkeypatch):
+    from cairn.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 300)
+    small = ChunkEncoder(PATH)
+    for k in range(30):
+        texts = [words(60, 7 * k + i, 90 + 40 * k) + " École. the end" for i in range(4)]
+        ids, offsets = small.encode(texts)
+        assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(4)] == [want_ids(t) for t in texts]
+
+
 def test_slices_of_a_column(words):
     texts = [None, *(words(40, i) + " ÉCOLE é. ñ, " for i in range(50)), "", None, "Ende."]
     column = pa.array(texts, pa.string())
