@@ -50,21 +50,6 @@ class ChunkEncoder:
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
-        self.hits = np.zeros(0, np.int32)
-
-    def forget(self):
-        """Keep only the chunks that several blocks had, or none if these are too many."""
-        keep = np.flatnonzero(self.hits > 1)
-        names = list(self.index)
-        names = [names[k] for k in keep.tolist()]
-        chars = sum(map(len, names))
-        size, start = self.size[keep], self.start[keep]
-        ids = self.flat[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)]
-        self.reset()
-        if 2 * len(keep) < CACHED_CHUNKS and 2 * chars < CACHED_CHARS:
-            self.index = dict(zip(names, range(len(names))))
-            self.flat, self.size, self.start, self.chars = ids, size, np.cumsum(size) - size, chars
-            self.hits = np.zeros(len(keep), np.int32)
 
     def learn(self, chunks: list[str]):
         chunks.sort(key=lambda c: CONTROL in c)  # those could hold the token that stands between
@@ -91,13 +76,12 @@ class ChunkEncoder:
         self.flat = np.concatenate([self.flat, *(x[0] for x in self.parts)])
         self.size = np.concatenate((self.size, size))
         self.start = np.cumsum(self.size) - self.size
-        self.hits = np.concatenate((self.hits, np.zeros(len(size), np.int32)))
         self.parts = []
 
     def encode(self, texts, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, ``end`` after each text (list or Arrow column; null: empty), and the offsets of the texts."""
         if len(self.index) > CACHED_CHUNKS or self.chars > CACHED_CHARS:
-            self.forget()
+            self.reset()
         data, begins = utf8_of(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(begins), pa.py_buffer(data))  # begins at 0, as a slice doesn't
         texts = pc.if_else(pc.match_substring(texts, CONTROL), texts, pc.ascii_lower(texts))
@@ -111,9 +95,7 @@ class ChunkEncoder:
             self.learn(new)
             self.gather()
             known = list(map(self.index.__getitem__, own))
-        known = np.array(known, np.int64)
-        self.hits[known] += 1
-        at = known[chunks.indices.to_numpy()]
+        at = np.array(known, np.int64)[chunks.indices.to_numpy()]
         size = self.size[at]
         first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         lengths = np.add.reduceat(size, first) if len(texts) else np.zeros(0, np.int64)
