@@ -34,7 +34,7 @@ from .tokens import BLOCK_BYTES, END, column_blocks, encoder
 
 MAGIC = b"CWM1"
 STEP = 512
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 PART_BYTES = 48 << 20
 
 
