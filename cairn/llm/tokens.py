@@ -3,10 +3,14 @@
 A tokenizer that drops white space gives a text the ids of its space-separated
 chunks one after another, so each different chunk is encoded once a worker and
 texts become array look-ups. Arrow splits the texts and finds the different
-chunks of a block; new chunks are encoded many to a call, with one of the
-tokenizer's special tokens between them, whose id tells them apart again.
+chunks of a block; new chunks are encoded many to a call. Between them stands
+one of the tokenizer's special tokens, whose id tells them apart again. Most
+are letters only and so one word: where the tokenizer marks the last token of
+a word, these stand between spaces and pass by its normaliser and patterns.
 """
 
+import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -16,17 +20,24 @@ import pyarrow.compute as pc
 from .common import row_blocks, utf8_of
 
 END = 2
-#: A stop after a letter is a word of its own to the tokenizer, so it may stand apart. Other letters than these
-#: can end in a mark once normalised (U+0130 in lower case), which the tokenizer joins with the stop.
-WORD_STOP = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \n]|\z)"
+#: Stops after a letter are a word of their own to the tokenizer, so they may stand apart. Other letters than these
+#: can end in a mark once normalised (U+0130 in lower case), which the tokenizer joins with the stop; an apostrophe
+#: may begin a word, and what special tokens are written with stays where it is.
+WORD_STOP = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:;=?@\[-`{}~]+)([ \n]|\z)"
+#: Such letters alone are one word, and normalisation does no more than lower them.
+ONE_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: What every special token of the tokenizer begins with.
 CONTROL = "<|"
-JOINED = 64
+JOINED = 32
 BLOCK_BYTES = 4 << 20
 CACHED_CHARS = 32_000_000
 CACHED_CHUNKS = 600_000
 
 
+def groups(items: list, n: int) -> list[list]:
+    return [items[k : k + n] for k in range(0, len(items), n)]
+
+
 class ChunkEncoder:
     """Encodes texts with a tokenizer that lower-cases and drops white space between words."""
 
@@ -41,6 +52,14 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith(CONTROL)}
         self.between, self.between_id = min(special.items())
+        self.words = self.last = None
+        made = json.loads(self.tokenizer.to_str())
+        suffix, (split, *after) = made["model"].get("end_of_word_suffix"), (made["pre_tokenizer"] or {}).get("pretokenizers", [None])
+        if suffix and split and split["type"] == "Split" and [x["type"] for x in after] == ["ByteLevel"] and '"Lowercase"' in json.dumps(made["normalizer"]):
+            self.words = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *after]}}))
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.reset()
 
     def reset(self):
@@ -52,21 +71,21 @@ class ChunkEncoder:
         self.size = np.zeros(0, np.int64)
 
     def learn(self, chunks: list[str]):
-        chunks.sort(key=lambda c: CONTROL in c)  # those could hold the token that stands between
-        plain = next((i for i, c in enumerate(chunks) if CONTROL in c), len(chunks))
-        self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks))))
+        kinds = [0 if self.words and ONE_WORD(c) else 2 if CONTROL in c else 1 for c in chunks]  # 2 could hold the token that stands between
+        words, plain, rest = ([c for c, k in zip(chunks, kinds) if k == n] for n in range(3))
+        self.index.update(zip(chain(words, plain, rest), range(len(self.index), len(self.index) + len(chunks))))
         self.chars += sum(map(len, chunks))
-        for at in range(0, plain, 64 * JOINED):
-            group = chunks[at : min(at + 64 * JOINED, plain)]
-            joined = [self.between.join([*group[k : k + JOINED], ""]) for k in range(0, len(group), JOINED)]
-            ids = self.ids_of(joined)[0]
-            stops = np.flatnonzero(ids == self.between_id)
-            self.parts.append((ids[ids != self.between_id], np.diff(stops, prepend=-1) - 1))
-        if plain < len(chunks):
-            self.parts.append(self.ids_of(chunks[plain:]))
-
-    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for group in groups(words, 64 * JOINED):
+            ids = self.ids_of([" ".join(g).lower() for g in groups(group, JOINED)], self.words)[0]
+            self.parts.append((ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)))
+        for group in groups(plain, 64 * JOINED):
+            ids = self.ids_of([self.between.join([*g, ""]) for g in groups(group, JOINED)], self.tokenizer)[0]
+            self.parts.append((ids[ids != self.between_id], np.diff(np.flatnonzero(ids == self.between_id), prepend=-1) - 1))
+        if rest:
+            self.parts.append(self.ids_of(rest, self.tokenizer))
+
+    def ids_of(self, texts: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
 

@@ -43,9 +43,18 @@ def test_every_character_before_a_stop():
         assert wrong == []
 
 
+def test_every_stop_after_a_letter():
+    stops = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [f"{x}{a}{b}{end}" for x in ("ab", "É", "x<|endoftext", "don't", "4") for a in stops for b in ["", *stops] for end in ("", " y", "\nz", "\u0338", "9")]
+    ids, offsets = CHUNKED.encode(texts)
+    ids, offsets = ids.tolist(), offsets.tolist()
+    for t, a, b in zip(texts, offsets, offsets[1:]):
+        assert ids[a:b] == want_ids(t), t
+
+
 def test_random_texts_with_a_fixed_seed():
     r = random.Random(17)
-    letters = "aZéİIıſßΣς\u0301\u0307\u200d\u00a0\u0958\u1e9e'sst .,\n\t-09<|>"
+    letters = "aZéİIıſßΣς\u0301\u0307\u200d\u00a0\u0958\u1e9e'sst .,*!#\n\t-09<|>"
     texts = ["".join(r.choice(letters) for _ in range(r.randrange(30))) for _ in range(20_000)]
     ids, offsets = CHUNKED.encode(texts)
     for i, t in enumerate(texts):
