@@ -1,8 +1,11 @@
 import hashlib
+import struct
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,6 +30,41 @@ def test_loads_are_bounded_and_slots_gapless(spark, words):
     assert sharding.sharded(docs.limit(0)).count() == 0
 
 
+def walked(rows, shards, slack):
+    """Brute force: (doc_id, crc, size, shard, slot) of rows (doc_id, text), arc by arc around the ring."""
+    points = sorted((int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest(), "big"), s) for s in range(shards) for v in range(128))
+    arcs = defaultdict(list)
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        row, at = (doc_id, zlib.crc32(data), len(data) + 1), 42
+        for value in row:
+            at = at if value is None else xxhash.xxh64_intdigest(struct.pack("<q", value), at)
+        arcs[at >> 48].append((at, row))
+    weight = {a: sum(r[2] for _, r in own) for a, own in arcs.items()}
+    most = -(-sum(weight.values()) * (1 + slack) // shards)
+    load, owner = [0] * shards, {}
+    for a in sorted(arcs, key=lambda a: (-weight[a], a)):
+        clockwise = [s for p, s in points if p >= a << 48] + [s for _, s in points]
+        owner[a] = next((s for s in clockwise if load[s] + weight[a] <= most), None)
+        if owner[a] is None:
+            owner[a] = min(range(shards), key=lambda s: (load[s], s))
+        load[owner[a]] += weight[a]
+    out, slots = [], [0] * shards
+    for a in sorted(arcs):
+        for _, row in sorted(arcs[a], key=lambda x: x[0] if x[0] < 1 << 63 else x[0] - (1 << 64)):
+            out.append((*row, owner[a], slots[owner[a]]))
+            slots[owner[a]] += 1
+    return out
+
+
+def test_shards_and_slots_by_brute_force(spark, words):
+    texts = [None, "", "é" * 40] + [words(3 + 13 * i % 50, i) for i in range(2500)]
+    rows = [(None if i % 400 == 9 else i, t) for i, t in enumerate(texts)] + [(2, "é" * 40), (70, texts[70]), (70, texts[70])]
+    got = sharding.sharded(stage(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, slot string").repartition(5))).collect()
+    have = sorted((str(r.doc_id), r.text_crc32, r["size"], r.shard, r.slot) for r in got)
+    assert have == sorted((str(d), *rest) for d, *rest in walked(rows, 8, sharding.SLACK))
+
+
 def test_loads_are_bounded_when_a_third_has_one_doc_id(spark, words):
     rows = [(7, words(40, 1))] * 1500 + [(None, words(20 + i % 40, i)) for i in range(1500)] + [(100 + i, words(20 + i % 40, 5000 + i)) for i in range(1500)]
     got = sharding.sharded(stage(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
