@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 LEARNED = "assistant"
+#: Conversations are encoded in groups of so many characters (one conversation: more).
+GROUP_CHARS = 1 << 19
 #: Fixed escapes.
 ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b", "\n": "\\n"}
 PLAIN = {v[1]: k for k, v in ESCAPES.items()}
@@ -78,26 +80,49 @@ def token_spans(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(starts == ends, np.maximum(ends - 1, 0), starts), ends
 
 
-def loss_text(formatted: str, ends: np.ndarray, mask: np.ndarray, spans: list[tuple[int, int]]) -> str:
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` characters lie in any of the spans."""
+    return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
+
+
+def loss_text(formatted: str, ends: np.ndarray, mask: np.ndarray, spans: np.ndarray) -> str:
     """Text under the mask: masked token spans cut to the assistant spans, each character once."""
+    if not mask.any() or not len(spans):
+        return ""
     starts, ends = token_spans(ends)
-    starts, ends = starts[mask], ends[mask]
-    out, seen = [], 0
-    which = np.searchsorted(np.array([s[1] for s in spans]), starts, "right") if spans else []
-    for s, e, k in zip(starts.tolist(), ends.tolist(), list(which)):
-        while k < len(spans) and spans[k][0] < e:
-            a, b = max(s, spans[k][0], seen), min(e, spans[k][1])
-            if a < b:
-                out.append(formatted[a:b])
-                seen = b
-            k += 1
-    return "".join(out)
+    under = covered(starts[mask], ends[mask], len(formatted)) & covered(spans[:, 0], spans[:, 1], len(formatted))
+    edges = np.flatnonzero(np.diff(under, prepend=False, append=False)).tolist()
+    return "".join(formatted[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
 SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 FORMATTED = "conv_id long, n_turns long, formatted string, ids array<int>, ends array<int>, loss array<boolean>, spans array<struct<start:long,stop:long>>"
 
 
+def by_size(made: list) -> list[list]:
+    """Rendered conversations in groups of about ``GROUP_CHARS`` characters."""
+    out, size = [[]], 0
+    for one in made:
+        if size >= GROUP_CHARS:
+            out.append([])
+            size = 0
+        out[-1].append(one)
+        size += len(one[0])
+    return out
+
+
+def lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    flat = np.concatenate(arrays) if arrays else np.zeros(0)
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat).cast(kind))
+
+
+def arrays_of(column: pa.Array) -> list[np.ndarray]:
+    """The rows of an Arrow list column as views of one array."""
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def formatter(tokenizer: str):
     def run(batches):
         from tokenizers import Tokenizer
@@ -105,25 +130,25 @@ def formatter(tokenizer: str):
         tool = Tokenizer.from_file(tokenizer)
         tool.encode_special_tokens = True
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 turns = [[(x["role"] or "", x["text"] or "") for x in conv] for conv in part.column("turns").to_pylist()]
-                made = [rendered(t) for t in turns]
-                codes = tool.encode_batch([f for f, _ in made], add_special_tokens=False)
-                ends = [np.array([e for _, e in c.offsets], np.int64) for c in codes]
-                masks = [loss_mask(*token_spans(e), s) for e, (_, s) in zip(ends, made)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("conv_id"),
-                        pa.array([len(t) for t in turns], pa.int64()),
-                        pa.array([f for f, _ in made], pa.string()),
-                        pa.array([c.ids for c in codes], pa.list_(pa.int32())),
-                        pa.array([e.tolist() for e in ends], pa.list_(pa.int32())),
-                        pa.array([m.tolist() for m in masks], pa.list_(pa.bool_())),
-                        pa.array([[{"start": a, "stop": b} for a, b in s] for _, s in made], pa.list_(SPAN)),
-                    ],
-                    [x.split()[0] for x in FORMATTED.split(", ")],
-                )
+                for group in by_size([(*rendered(t), conv_id, len(t)) for conv_id, t in zip(part.column("conv_id").to_pylist(), turns)]):
+                    codes = tool.encode_batch([f for f, *_ in group], add_special_tokens=False)
+                    ends = [np.fromiter((e for _, e in c.offsets), np.int64, len(c)) for c in codes]
+                    masks = [loss_mask(*token_spans(e), s) for e, (_, s, *_) in zip(ends, group)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([i for *_, i, _ in group], pa.int64()),
+                            pa.array([n for *_, n in group], pa.int64()),
+                            pa.array([f for f, *_ in group], pa.string()),
+                            lists_of([np.array(c.ids, np.int32) for c in codes], pa.int32()),
+                            lists_of(ends, pa.int32()),
+                            lists_of(masks, pa.bool_()),
+                            pa.array([[{"start": a, "stop": b} for a, b in s] for _, s, *_ in group], pa.list_(SPAN)),
+                        ],
+                        [x.split()[0] for x in FORMATTED.split(", ")],
+                    )
 
     return run
 
@@ -140,10 +165,14 @@ def read_back(batches):
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     for batch in batches:
         out = []
-        for i in range(batch.num_rows):
-            conv_id, text, ends, loss, spans = (batch.column(c)[i].as_py() for c in ("conv_id", "formatted", "ends", "loss", "spans"))
+        own = batch.column("spans")
+        bounds = np.stack([own.values.field(c).to_numpy() for c in ("start", "stop")], axis=1)
+        places = own.offsets.to_numpy()
+        ends, losses = arrays_of(batch.column("ends")), arrays_of(batch.column("loss"))
+        for i, (conv_id, text) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("formatted"))):
+            text = text.as_py()
             turns = parsed(text)
-            learned = unescaped(loss_text(text, np.array(ends, np.int64), np.array(loss, bool), [(x["start"], x["stop"]) for x in spans]))
+            learned = unescaped(loss_text(text, ends[i], losses[i], bounds[places[i] : places[i + 1]]))
             sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
             out.append((conv_id, len(turns), sha, len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
