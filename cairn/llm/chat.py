@@ -85,12 +85,13 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
 
 
-def loss_text(formatted: str, ends: np.ndarray, mask: np.ndarray, spans: np.ndarray) -> str:
+def loss_text(formatted: str, ends: np.ndarray, mask: np.ndarray, spans) -> str:
     """Text under the mask: masked token spans cut to the assistant spans, each character once."""
     if not mask.any() or not len(spans):
         return ""
     starts, ends = token_spans(ends)
-    under = covered(starts[mask], ends[mask], len(formatted)) & covered(spans[:, 0], spans[:, 1], len(formatted))
+    low, high = np.reshape(spans, (-1, 2)).T
+    under = covered(starts[mask], ends[mask], len(formatted)) & covered(low, high, len(formatted))
     edges = np.flatnonzero(np.diff(under, prepend=False, append=False)).tolist()
     return "".join(formatted[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
