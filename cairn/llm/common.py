@@ -62,6 +62,12 @@ def filtered_rows(docs: DataFrame, row_ids: DataFrame, how: str) -> DataFrame:
     return packed.join(row_ids.select("row_id"), "row_id", how).select("row.*")
 
 
+def released(batches):
+    """The batches of a task; the memory that Arrow keeps after them goes back, as workers outlive tasks and stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def parts_for(rows: int, per_part: int, least: int = 8) -> int:
     return max(least, -(-rows // per_part))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, row_blocks, utf8_of, words_in
+from .common import SpanHash, released, row_blocks, utf8_of, words_in
 
 PER_LABEL = 1500
 NEAREST = 15
@@ -78,7 +78,7 @@ def term_weights(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sample_rows(batches):
-    for batch in batches:
+    for batch in released(batches):
         data, offsets = utf8_of(batch.column("text"))
         for a, b in row_blocks(offsets, BLOCK_BYTES, BLOCK_ROWS):
             weights = term_weights(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -156,7 +156,7 @@ def scored(docs: DataFrame, voters: Voters, held_out) -> DataFrame:
 
     def run(batches):
         known = Voters(arrays=shared.value)
-        for batch in batches:
+        for batch in released(batches):
             for a, b, score in block_scores(known, batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(score), pa.array(score >= ACCEPT).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -170,7 +170,7 @@ def accepted(docs: DataFrame, voters: Voters) -> DataFrame:
 
     def run(batches):
         known = Voters(arrays=shared.value)
-        for batch in batches:
+        for batch in released(batches):
             keep = [score >= ACCEPT for _, _, score in block_scores(known, batch.column("text").cast(pa.string()))]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 

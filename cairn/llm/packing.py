@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .tokens import END, column_blocks, encoder
 
 WINDOW = 4096
@@ -134,7 +135,7 @@ def packer(tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool
     def run(batches):
         words, levels = encoder(tokenizer), Levels(window)
         sequence = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in released(batches):
             at = 0
             for texts in column_blocks(batch.column("text")):
                 ids, offsets = words.encode(texts, end)

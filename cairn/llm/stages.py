@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, near_join, neighbours, packing, suffix_dedup
-from .common import filtered_rows, numbered, row_blocks, utf8_of
+from .common import filtered_rows, numbered, released, row_blocks, utf8_of
 
 
 def held_out(parts: int, part: int):
@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_spans(batches):
     """Task: (row struct, spans) to rows with the spans cut from the text; rows cut to nothing go."""
-    for batch in batches:
+    for batch in released(batches):
         row = batch.column("row")
         texts = row.field(row.type.get_field_index("text"))
         for a, b in row_blocks(utf8_of(texts)[1], 4 << 20):
