@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, language, near_join, neighbours, packing, quality_rules, sharding, suffix_dedup, wavelet
+from . import chat, decontaminate, language, near_join, neighbours, packing, prefix_trie, quality_rules, sharding, suffix_dedup, wavelet
 from .common import shared_dir
 from .stages import held_out
 
@@ -71,9 +71,21 @@ def op10_likelihood_ratio(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_profiles, op2_chat_masks, op3_bounded_ring, op4_chosen_path_join, op5_sum_of_squares, op6_suffix_decontamination, op7_suffix_dedup, op8_neighbour_voting, op9_wavelet_shards, op10_likelihood_ratio)}
+def op11_burst_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_profiles, op2_chat_masks, op3_bounded_ring, op4_chosen_path_join, op5_sum_of_squares, op6_suffix_decontamination, op7_suffix_dedup, op8_neighbour_voting, op9_wavelet_shards, op10_likelihood_ratio, op11_burst_trie)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a short ASCII text, bit by bit."""
+    steps = f"list_transform(range(8 * length({text})), lambda k: CASE WHEN k % 8 = 0 THEN CAST(ascii(substr({text}, CAST(k // 8 AS INTEGER) + 1, 1)) AS BIGINT) ELSE 0 END)"
+    return f"xor(list_reduce({steps}, lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295), 4294967295)"
+
+
 SQL = {
     "op2_chat_masks": r"""
         WITH turns AS (
@@ -103,4 +115,19 @@ SQL = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_burst_trie": f"""
+        WITH t AS (SELECT conv_id AS c, turn, sha256(length(r) || ':' || r || x)[1:32] AS token, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+        own AS (SELECT c, token, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, token, words) AS i FROM t),
+        ids AS (SELECT c, c - c % 20 AS b, {crc32_sql('CAST(c AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT c FROM own)),
+        made AS (SELECT ids.c, i, token, words FROM ids JOIN own ON own.c = ids.b WHERE i <= h UNION ALL SELECT ids.c, i, token, words FROM ids JOIN own ON own.c = ids.c WHERE i > h),
+        steps AS (SELECT c, row_number() OVER w AS d, string_agg(token, '') OVER (w ROWS UNBOUNDED PRECEDING) AS p, words FROM made WINDOW w AS (PARTITION BY c ORDER BY i)
+            UNION ALL SELECT c, 0, '', 0 FROM ids),
+        ends AS (SELECT p, string_agg(c, ',' ORDER BY c) AS e FROM (SELECT c, arg_max(p, d) AS p FROM steps GROUP BY c) GROUP BY p),
+        nodes AS (SELECT p, d, min(c) AS c, count(*) AS n, any_value(words) AS words FROM steps GROUP BY p, d),
+        kids AS (SELECT p[:length(p) - 32] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+        sums AS (SELECT s.p, sum((n.n - 1) * n.words) AS saved, count(*) FILTER (k.k IS NULL) AS leaves
+            FROM nodes n LEFT JOIN kids k USING (p) JOIN steps s ON s.c = n.c AND s.d <= n.d GROUP BY s.p)
+        SELECT n.c AS conv_id, n.d AS depth, up.c AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.e, '')) AS ends_sha256
+        FROM nodes n JOIN sums s USING (p) LEFT JOIN kids k USING (p) LEFT JOIN ends e USING (p) LEFT JOIN nodes up ON n.d > 0 AND up.p = n.p[:length(n.p) - 32]""",
 }
