@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, language, near_join, neighbours, packing, prefix_trie, quality_rules, sharding, suffix_dedup, wavelet
+from . import chat, decontaminate, language, near_join, neighbours, packing, prefix_trie, quality_rules, secrets, sharding, suffix_dedup, turn_repair, wavelet
 from .common import shared_dir
 from .stages import held_out
 
@@ -75,7 +75,19 @@ def op11_burst_trie(spark, sf_dir):
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_profiles, op2_chat_masks, op3_bounded_ring, op4_chosen_path_join, op5_sum_of_squares, op6_suffix_decontamination, op7_suffix_dedup, op8_neighbour_voting, op9_wavelet_shards, op10_likelihood_ratio, op11_burst_trie)}
+def op12_target_alignment(spark, sf_dir):
+    done = turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+    return done.select("conv_id", *turn_repair.FIGURES, "audit", F.sha2(turn_repair.lines("turns"), 256).alias("repaired_sha256"))
+
+
+def op13_assignment_lexing(spark, sf_dir):
+    spans = F.col("spans")
+    counts = [F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    base = secrets.joined(F.filter(spans, lambda s: s["kind"] != "literal"))
+    return secrets.found(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_profiles, op2_chat_masks, op3_bounded_ring, op4_chosen_path_join, op5_sum_of_squares, op6_suffix_decontamination, op7_suffix_dedup, op8_neighbour_voting, op9_wavelet_shards, op10_likelihood_ratio, op11_burst_trie, op12_target_alignment, op13_assignment_lexing)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 
@@ -130,4 +142,36 @@ SQL = {
             FROM nodes n LEFT JOIN kids k USING (p) JOIN steps s ON s.c = n.c AND s.d <= n.d GROUP BY s.p)
         SELECT n.c AS conv_id, n.d AS depth, up.c AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.e, '')) AS ends_sha256
         FROM nodes n JOIN sums s USING (p) LEFT JOIN kids k USING (p) LEFT JOIN ends e USING (p) LEFT JOIN nodes up ON n.d > 0 AND up.p = n.p[:length(n.p) - 32]""",
+    "op12_target_alignment": f"""
+        WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                {crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations),
+        rows AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM given, LATERAL (SELECT unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows),
+        faulty AS (SELECT *, CASE WHEN role = '' THEN ' ' ELSE role[1] END AS initial, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM placed),
+        pairs AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM faulty),
+        counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+            count_if(fault = 'truncated') AS truncated, count_if(pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id),
+        edits(op, price) AS (VALUES ('D', 3), ('K', 0), ('R', 2)),
+        added(ins) AS (VALUES (''), ('I'), ('II')),
+        best(conv_id, i, state, cost, audit, body) AS (
+            SELECT conv_id, 0, s, c, a, b FROM (SELECT DISTINCT conv_id FROM counts), (VALUES ('', 0, '', ''), ('u', 2, 'I', 'user:' || chr(10)), ('a', 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))) t(s, c, a, b)
+            UNION ALL
+            SELECT conv_id, i, state, v.cost, v.audit, v.body FROM (
+                SELECT conv_id, i, state, arg_min(struct_pack(cost := cost, audit := audit, body := body), struct_pack(cost := cost, audit := audit)) AS v FROM (
+                    SELECT conv_id, i, CASE ins WHEN '' THEN st WHEN 'I' THEN CASE st WHEN 'u' THEN 'a' ELSE 'u' END ELSE CASE st WHEN 'u' THEN 'u' ELSE 'a' END END AS state, cost + 2 * length(ins) AS cost, audit || ins AS audit,
+                        body || CASE ins WHEN '' THEN '' WHEN 'I' THEN CASE st WHEN 'u' THEN 'assistant:' ELSE 'user:' END || chr(10)
+                            ELSE CASE st WHEN 'u' THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END || chr(10) END AS body
+                    FROM (SELECT b.conv_id, r.i, e.op, CASE e.op WHEN 'D' THEN b.state WHEN 'K' THEN r.initial ELSE CASE b.state WHEN 'u' THEN 'a' ELSE 'u' END END AS st,
+                            b.cost + e.price + CASE WHEN e.op <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END AS cost, b.audit || e.op AS audit,
+                            b.body || CASE e.op WHEN 'D' THEN '' WHEN 'K' THEN r.role || ':' || r.text || chr(10) ELSE CASE b.state WHEN 'u' THEN 'assistant:' ELSE 'user:' END || r.text || chr(10) END AS body
+                        FROM best b JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1 CROSS JOIN edits e
+                        WHERE e.op = 'D' OR (r.fault NOT IN ('blank', 'duplicate') AND (e.op = 'R' OR (r.initial = 's' AND b.state = '') OR (r.initial = 'u' AND b.state <> 'u') OR (r.initial = 'a' AND b.state = 'u')))), added)
+                GROUP BY conv_id, i, state)),
+        ended AS (SELECT b.conv_id, arg_min(struct_pack(cost := cost, audit := audit, body := body), struct_pack(cost := cost, audit := audit)) AS v
+            FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.i WHERE b.state IN ('', 'a') GROUP BY b.conv_id)
+        SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+            CAST(coalesce(e.v.cost, 0) AS BIGINT) AS cost, coalesce(e.v.audit, '') AS audit, sha256(coalesce(e.v.body[:length(e.v.body) - 1], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
