@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from cairn.functions import paths, versions
 from cairn.jobs import lock_queries, system_queries
 from cairn.jobs.registry import QUERIES, SQL, query
-from cairn.operators import report, trace
+from cairn.operators import links, report, trace
+from cairn.sources import files as real_files
 from cairn.sources import lockfiles
 from cairn.sources.bundle import PROJECT, sql, table
-from cairn.sources.store import stage
+from cairn.sources.store import new_folder, stage
 
 
 def quoted(values) -> str:
@@ -156,9 +157,16 @@ def semi_exists(spark, sf_dir):
     return unique_paths(spark, sf_dir).join(file_table(spark, sf_dir).select("path"), "path", "left_semi")
 
 
-@query("src_file_hash", f"SELECT path, coalesce('sha256:' || sha256(content), 'sha256:error') AS hash FROM ({FILE_TABLE})")
+@query("src_file_hash", f"SELECT path, coalesce('sha256:' || sha256(content), 'sha256:error') AS hash FROM ({FILE_TABLE}) WHERE regexp_matches(path, '\\.[^/]*\\z')")
 def src_file_hash(spark, sf_dir):
-    return file_table(spark, sf_dir).select("path", F.coalesce(trace.content_hash(F.col("content")), F.lit("sha256:error")).alias("hash"))
+    """Hashes of a folder of files (those with a dot in their names; others are folders); damaged ones can't be read."""
+    rows = file_table(spark, sf_dir).filter(F.col("path").rlike(r"\.[^/]*\z")).select(F.regexp_replace("path", "^/", "").alias("rel_path"), "content", F.col("path").startswith("/").alias("rooted"))
+    folders = []
+    for rooted in (True, False):
+        root = new_folder(spark, "files")
+        real_files.written(rows.filter(F.col("rooted") == rooted), root)
+        folders.append(real_files.hashes(spark, root).select(F.concat(F.lit("/" if rooted else ""), F.col("rel_path")).alias("path"), "hash"))
+    return folders[0].unionByName(folders[1])
 
 
 @query("flt_orch_switch", UNIQUE.replace(f" AND NOT {s_orchestrator('comm')}", ""))
@@ -194,9 +202,22 @@ def packaged(spark, sf_dir):
     return trace.with_package(files(spark, sf_dir), table(spark, sf_dir, "pkg_file"), table(spark, sf_dir, "pkg_meta"))
 
 
-@query("join_path_pkg_canonical", f"SELECT path, canonical, pkg_key FROM ({PACKAGED})")
+WALKED = f"""(WITH RECURSIVE link AS (SELECT * FROM {sql('link')}), walk(path, cur, n, step) AS (
+        SELECT path, path, 0, 0 FROM ({EXISTING}) WHERE starts_with(path, '/')
+        UNION ALL SELECT path, CASE WHEN m IS NULL THEN regexp_replace(cur, '^((?:/[^/]+)*?)/[^/]+/\\.\\.(/|\\z)', '\\1\\2')
+                ELSE CASE WHEN starts_with(m.target, '/') THEN '' ELSE regexp_replace(m.path, '/[^/]+\\z', '') || '/' END || m.target || substr(cur, length(m.path) + 1) END, n + CASE WHEN m IS NULL THEN 0 ELSE 1 END, step + 1
+            FROM (SELECT w.path, w.cur, w.n, w.step, arg_min(struct_pack(path := l.path, target := l.target), length(l.path)) FILTER (l.path IS NOT NULL) AS m FROM walk w LEFT JOIN link l ON w.cur = l.path OR starts_with(w.cur, l.path || '/') GROUP BY ALL)
+            WHERE n <= 40 AND (m IS NOT NULL OR contains(cur, '/..')))
+    SELECT path, CASE WHEN max(n) <= 40 THEN arg_max(cur, step) END AS canonical FROM walk GROUP BY path)"""
+
+
+@query("join_path_pkg_canonical", f"SELECT f.path, w.canonical, coalesce(a.pkg_key, b.pkg_key) AS pkg_key FROM ({EXISTING}) f LEFT JOIN {WALKED} w USING (path) LEFT JOIN {OWNERS} a ON a.path = f.path LEFT JOIN {OWNERS} b ON b.path = w.canonical")
 def join_path_pkg_canonical(spark, sf_dir):
-    return packaged(spark, sf_dir).select("path", "canonical", "pkg_key")
+    """Packages by path, else by the path that the bundle's links lead to."""
+    found = files(spark, sf_dir).drop("canonical")
+    led = links.canonical(found.select("path").filter(F.col("path").startswith("/")), table(spark, sf_dir, "link")).select("path", "canonical")
+    rows = trace.with_package(found.join(led, "path", "left"), table(spark, sf_dir, "pkg_file"), table(spark, sf_dir, "pkg_meta"))
+    return rows.select("path", "canonical", "pkg_key")
 
 
 @query("join_pkg_version", f"SELECT path, version, src_name FROM ({PACKAGED})")
@@ -215,10 +236,11 @@ def join_pkg_source(spark, sf_dir):
     return packaged(spark, sf_dir).filter("pkg_key is not null").select("path", "src_name")
 
 
-DIRS = r"regexp_extract_all(regexp_replace(path, '(^|/)subprojects/([^/]+)', '\1<\2>', 'g'), '<([^>]+)>', 1)"
-SUBBED = f"""SELECT f.path, coalesce(s.name, regexp_replace(({DIRS})[1], '-[0-9][0-9.+]*\\z', '')) AS sub_name,
-    CASE WHEN s.name IS NOT NULL THEN s.version ELSE nullif(regexp_extract(({DIRS})[1], '^.*-([0-9][0-9.+]*)\\z', 1), '') END AS sub_version, s.url AS sub_url
-    FROM ({EXISTING}) f LEFT JOIN {sql('subproject')} s ON s.dirname = ({DIRS})[1]"""
+DIRS = "list_transform(list_filter(range(1, len(string_split(path, '/'))), lambda i: string_split(path, '/')[i] = 'subprojects'), lambda i: string_split(path, '/')[i + 1])"
+TRIED = f"SELECT path, arg_min(struct_pack(n := s.name, v := s.version, u := s.url), nth) AS e FROM (SELECT path, unnest({DIRS}) AS d, generate_subscripts({DIRS}, 1) AS nth FROM ({EXISTING})) JOIN {sql('subproject')} s ON s.dirname = d GROUP BY path"
+SUBBED = f"""SELECT path, coalesce(t.e.n, regexp_replace(({DIRS})[1], '-[0-9][0-9.+]*\\z', '')) AS sub_name,
+    CASE WHEN t.e IS NOT NULL THEN t.e.v ELSE nullif(regexp_extract(({DIRS})[1], '^.*-([0-9][0-9.+]*)\\z', 1), '') END AS sub_version, t.e.u AS sub_url
+    FROM ({EXISTING}) LEFT JOIN ({TRIED}) t USING (path)"""
 
 
 @query("join_subproject_fallback", SUBBED)

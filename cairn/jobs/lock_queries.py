@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from cairn.jobs.registry import query
+from cairn.sources import files as real_files
 from cairn.sources import lockfiles
 from cairn.sources.bundle import sql, table
+from cairn.sources.store import new_folder
 
 PART = "(SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS f, p_partkey AS p, p_size AS size, p_size || '.0.' || p_partkey % 10 || CASE WHEN p_size % 5 = 0 THEN '+b' ELSE '' END AS v FROM part)"
 SEEN, WHOLE = "f % 8 NOT IN (0, 1)", "f % 9 <> 4"
@@ -113,9 +115,10 @@ DIRS = "CASE f % 8 WHEN 2 THEN 'app' || f || '/a/b/c/d/' ELSE 'app' || f || '/'
 
 @query("src_lockfile_walk", f"SELECT DISTINCT {DIRS} || name AS rel_path FROM {PART}, (VALUES ('Cargo.lock'), ('poetry.lock'), ('yarn.lock')) t(name) WHERE {SEEN}")
 def src_lockfile_walk(spark, sf_dir):
-    files = locks(spark, sf_dir, "cargo_lock", "poetry_lock", "yarn_lock")
-    found = [lockfiles.found(files, n) for n in ("Cargo.lock", "poetry.lock", "yarn.lock")]
-    return found[0].unionByName(found[1]).unionByName(found[2]).select("rel_path")
+    """Lock files found in a folder of real files, by their paths alone."""
+    root = new_folder(spark, "project")
+    real_files.written(locks(spark, sf_dir, "cargo_lock", "poetry_lock", "yarn_lock"), root)
+    return real_files.lock_files(spark, root).select("rel_path")
 
 
 def gated(name: str, file_name: str, bundle: str):
@@ -136,27 +139,19 @@ gated("flt_eco_gate_go", "go.sum", "go_sum")
 @query("agg_any_comm", " UNION ALL ".join(f"SELECT '{e}' AS ecosystem, {gate(e)} AS ran" for e in TOOLS))
 def agg_any_comm(spark, sf_dir):
     """Whether any process of each ecosystem's tools ran, in one pass."""
-    found = table(spark, sf_dir, "process").agg(*[F.coalesce(F.bool_or(lockfiles.ran(e)), F.lit(False)).alias(e) for e in lockfiles.RAN])
-    return found.select(F.explode(F.array(*[F.struct(F.lit(e).alias("ecosystem"), F.col(e).alias("ran")) for e in lockfiles.RAN])).alias("x")).select("x.*")
+    return lockfiles.tools_ran(table(spark, sf_dir, "process"))
 
 
 @query("semi_eco_gate", f"SELECT * EXCLUDE (rank) FROM ({union()})")
 def semi_eco_gate(spark, sf_dir):
     """Rows of every parser whose tools ran."""
-    out = None
-    for name in lockfiles.ORDER:
-        part = lockfiles.gated(lockfiles.PARSERS[name](lockfiles.found(locks(spark, sf_dir), name)), table(spark, sf_dir, "process"), lockfiles.ECOSYSTEM[name])
-        out = part if out is None else out.unionByName(part)
-    return out
+    return lockfiles.parsed(locks(spark, sf_dir), table(spark, sf_dir, "process")).drop("rank")
 
 
 @query("set_union_parsers", " UNION ALL ".join(STATEMENTS[n] for n in lockfiles.ORDER if lockfiles.ECOSYSTEM[n] in ("npm", "pypi")))
 def set_union_parsers(spark, sf_dir):
-    out = None
-    for name in (n for n in lockfiles.ORDER if lockfiles.ECOSYSTEM[n] in ("npm", "pypi")):
-        part = lockfiles.PARSERS[name](lockfiles.found(locks(spark, sf_dir), name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All packages of npm and pypi, whichever parser they came from."""
+    return lockfiles.parsed(locks(spark, sf_dir)).filter("ecosystem in ('npm', 'pypi')").drop("rank")
 
 
 @query("flt_dev", f"SELECT * EXCLUDE (rank) FROM ({union()}) WHERE NOT is_dev")

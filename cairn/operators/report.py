@@ -4,16 +4,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import versions
+from cairn.sources.store import stage
+
+ORDER = ("type", "name", "version", "path")
 
 
 def ordered(components: DataFrame) -> DataFrame:
     """Total order by (type, name, version, path); the types' names sort like their ranks."""
-    return components.orderBy("type", "name", "version", "path")
+    return components.orderBy(*ORDER)
+
+
+def sorted_parts(rows: DataFrame, order) -> DataFrame:
+    """``rows`` in order over range partitions, written, with a number ``at`` that grows in that order."""
+    return stage(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
 
 
 def numbered(components: DataFrame) -> DataFrame:
-    """Components with their place in the order within their type."""
-    return components.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy("name", "version", "path")))
+    """Components with their place in the order within their type.
+
+    Rows are sorted over range partitions. A place is the row's number in its
+    partition, and how many of its type earlier partitions have; only those
+    counts, a few a partition, meet in one task.
+    """
+    rows = sorted_parts(components, ORDER).withColumn("part", F.shiftright("at", 33))
+    counts = rows.groupBy("type", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = F.sum("n").over(Window.partitionBy("type").orderBy("part")) - F.col("n")
+    offsets = counts.select("type", "part", "first", earlier.alias("earlier"))
+    place = (F.col("at") - F.col("first") + F.col("earlier") + 1).cast("int")
+    return rows.join(offsets, ["type", "part"]).select(*components.columns, place.alias("place"))
 
 
 def bom_rows(components: DataFrame, distro: Column) -> DataFrame:
@@ -57,17 +75,16 @@ def quoted(value: Column) -> Column:
 def document(head: Column, rows: DataFrame, order: list[str], foot: str) -> DataFrame:
     """Lines of a JSON document: a head, one line an item of ``rows`` (with ``json``) in order, a foot.
 
-    The items are sorted over all tasks and never gathered: ``line`` in order
-    is the document, as ``write.text`` leaves it in its part files. All items
-    but the first begin with a comma.
+    The items are sorted over all tasks, written once and never gathered:
+    ``line`` in order is the document, as ``write.text`` leaves it in its part
+    files. All items but the first begin with a comma.
     """
-    key = F.struct(*[F.struct(F.col(c).isNotNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in order])
-    items = rows.select(F.lit(1).alias("part"), key.alias("key"), "json")
-    items = rows.sparkSession.sql("SELECT part, key, concat(CASE WHEN key = (SELECT min(key) FROM {items}) THEN '' ELSE ',' END, json) AS line FROM {items}", items=items)
+    items = sorted_parts(rows.select(*order, "json"), order)
+    lines = rows.sparkSession.sql("SELECT 1 AS part, at, concat(CASE WHEN at = (SELECT min(at) FROM {items}) THEN '' ELSE ',' END, json) AS line FROM {items}", items=items)
     one = rows.sparkSession.range(1)
-    ends = one.select(F.lit(0).alias("part"), head.alias("line")).union(one.select(F.lit(2), F.lit(foot)))
-    ends = ends.select("part", F.lit(None).cast(items.schema["key"].dataType).alias("key"), "line")
-    return ends.unionByName(items).orderBy("part", "key").select("part", "line")
+    none = F.lit(None).cast("long").alias("at")
+    ends = one.select(F.lit(0).alias("part"), none, head.alias("line")).union(one.select(F.lit(2), none, F.lit(foot)))
+    return ends.unionByName(lines).orderBy("part", "at").select("part", "line")
 
 
 def report_document(components: DataFrame, timestamp: Column, command: Column, directory: Column, exit_code: Column) -> DataFrame:

@@ -5,6 +5,9 @@ that the optimiser broadcasts while they are small, and one shuffle on the
 component key keeps the first by (type, path) with an aggregate, not a sort.
 """
 
+from collections import defaultdict, deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +64,8 @@ def with_package(files: DataFrame, pkg_file: DataFrame, pkg_meta: DataFrame) ->
 
 
 def subproject_dirs(path) -> F.Column:
-    """Directory names that follow a ``subprojects`` segment, in order."""
-    return F.regexp_extract_all(path, F.lit(r"(?<![^/])subprojects/([^/]+)"), F.lit(1))
+    """Names that follow a ``subprojects`` segment, in order; such a name may itself be ``subprojects``."""
+    return F.regexp_extract_all(path, F.lit(r"(?<![^/])subprojects/(?=([^/]+))"), F.lit(1))
 
 
 def with_subproject(files: DataFrame, subproject: DataFrame) -> DataFrame:
@@ -140,15 +143,67 @@ def doubled(pointers: DataFrame) -> DataFrame:
     return pointers.join(pointers.select(F.col("pid").alias("up")), "up", "left_anti")
 
 
-def descendants(forks: DataFrame, root: int) -> DataFrame:
+def doubled(pointers: DataFrame) -> DataFrame:
+    """``pointers`` (pid, up, depth) followed until they leave the table; those that never do, in cycles, are dropped.
+
+    Each round doubles the steps taken, so a chain of n takes log2(n) rounds.
+    """
+    rounds = pointers.count().bit_length() + 1
+    for _ in range(rounds):
+        on = pointers.select(F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
+        pointers = stage(pointers.join(on, "up", "left").select("pid", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
+        if pointers.join(pointers.select(F.col("pid").alias("up")), "up", "left_semi").isEmpty():
+            return pointers
+    return pointers.join(pointers.select(F.col("pid").alias("up")), "up", "left_anti")
+
+
+#: So many links between processes are followed in one task (16 bytes each); more in rounds over all tasks.
+SMALL = 1_000_000
+
+
+def walked(root: int):
+    """Task over all links (up, pid): breadth first from ``root``."""
+
+    def run(batches):
+        below = defaultdict(list)
+        for batch in batches:
+            for up, pid in zip(batch.column("up").to_pylist(), batch.column("pid").to_pylist()):
+                below[up].append(pid)
+        depth, todo = {root: 0}, deque([root])
+        while todo:
+            up = todo.popleft()
+            for pid in below[up]:
+                if pid not in depth:
+                    depth[pid] = depth[up] + 1
+                    todo.append(pid)
+        yield pa.RecordBatch.from_arrays([pa.array(depth.keys(), pa.int64()), pa.array(depth.values(), pa.int64())], ["pid", "depth"])
+
+    return run
+
+
+def descendants(forks: DataFrame, root: int, small: int = SMALL) -> DataFrame:
     """(pid, depth) of the processes forked from ``root``, directly or not, with the least depth; any depth, cycles too.
 
+    The links are counted first: up to ``small`` of them are followed in one
+    task, more by ``spread``, with the same result.
+    """
+    edges = stage(forks.select(F.col("parent_pid").cast("long").alias("up"), F.col("child_pid").cast("long").alias("pid")).filter((F.col("up") != F.col("pid")) & (F.col("pid") != root)).distinct())
+    if edges.count() > small:
+        return spread(edges, root)
+    # An empty part has no task; a link that leads nowhere stands for it.
+    more = edges.sparkSession.range(1).select(F.lit(None).cast("long").alias("up"), F.lit(None).cast("long").alias("pid"))
+    return edges.unionByName(more).coalesce(1).mapInArrow(walked(root), "pid long, depth long")
+
+
+def spread(edges: DataFrame, root: int) -> DataFrame:
+    """``descendants`` over distinct links (up, pid) of any number.
+
     A process forked once points to its parent; pointers are doubled until
     they end at the root, at a process that several forked, or nowhere. Only
-    the processes that several forked (reused ids) are then relaxed by rounds.
+    the processes that several forked (reused ids) are then relaxed, one round
+    for each of them on a path.
     """
-    spark = forks.sparkSession
-    edges = stage(forks.select(F.col("parent_pid").cast("long").alias("up"), F.col("child_pid").cast("long").alias("pid")).filter((F.col("up") != F.col("pid")) & (F.col("pid") != root)).distinct())
+    spark = edges.sparkSession
     parents = edges.groupBy("pid").agg(F.count("*").alias("n"), F.min("up").alias("up"))
     single = doubled(parents.filter("n = 1").select("pid", "up", F.lit(1).cast("long").alias("depth")))
     several = parents.filter("n > 1").select("pid")

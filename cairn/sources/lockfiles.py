@@ -1,18 +1,22 @@
 """Lock files (path, content) as (name, version, ecosystem, purl, is_dev) rows.
 
-Files come whole, one row each. JSON is read as variants and text is split to
-lines by Spark; only TOML, which Spark can't read, goes through a small Python
-task. A file that can't be parsed gives no rows.
+Files come whole, one row each. JSON is read as variants (of equal keys in an
+object the last counts) and text is split to lines by Spark; only TOML, which
+Spark can't read, goes through a small Python task, a file at a time. A file
+that can't be parsed gives no rows. ``parsed`` reads each text once: files
+whose tools ran are written by name, and each parser reads its own.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import versions
-from cairn.sources.store import stage
+from cairn.sources.store import stage, written
 
 #: Directories never looked into, how deep lock files are looked for, and who must have run.
 SKIPPED = ("target", "node_modules", ".git", "__pycache__", ".venv", "venv", "env", "vendor", ".tox", "dist", "build", ".cache", ".mypy_cache", ".pytest_cache")
@@ -29,12 +33,17 @@ ORDER = ("Cargo.lock", "package-lock.json", "yarn.lock", "Pipfile.lock", "poetry
 ECOSYSTEM = {"Cargo.lock": "cargo", "package-lock.json": "npm", "yarn.lock": "npm", "Pipfile.lock": "pypi", "poetry.lock": "pypi", "requirements.txt": "pypi", "go.sum": "golang"}
 
 
-def found(files: DataFrame, name: str, depth: int = DEPTH) -> DataFrame:
-    """``files`` (rel_path, content) of this name that a walk of ``depth`` directories comes to."""
-    parts = F.split("rel_path", "/")
+def in_walk(path: Column, names, depth: int = DEPTH) -> Column:
+    """Whether a walk of ``depth`` directories comes to a relative path with one of these file names."""
+    parts = F.split(path, "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
     near = (F.size(dirs) <= depth) & ~F.arrays_overlap(dirs, F.array(*map(F.lit, SKIPPED)))
-    return files.filter((F.element_at(parts, -1) == name) & near)
+    return F.element_at(parts, -1).isin(*names) & near
+
+
+def found(files: DataFrame, name: str, depth: int = DEPTH) -> DataFrame:
+    """``files`` (rel_path, content) of this name that a walk of ``depth`` directories comes to."""
+    return files.filter(in_walk(F.col("rel_path"), [name], depth))
 
 
 def eco_rows(rows: DataFrame, kind: str, is_dev: Column | None = None) -> DataFrame:
@@ -48,24 +57,36 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("rel_path", F.posexplode(F.split(F.regexp_replace("content", "\r\n", "\n"), "\n")).alias("pos", "line"))
 
 
-def toml_packages(batches):
-    """Task: the package tables of TOML files; a file that isn't as it should be gives none."""
+TOML_COLUMNS = ["name", "version", "source", "category", "groups"]
+
+
+def toml_file(content: str | None) -> list[list]:
+    """The package tables of a TOML file; none where any isn't as it should be."""
     import tomllib
 
-    columns = ["name", "version", "source", "category", "groups"]
+    try:
+        packages = tomllib.loads(content or "").get("package") or []
+        rows = [[p["name"], p["version"], p.get("source"), p.get("category"), p.get("groups", [])] for p in packages]
+    except (tomllib.TOMLDecodeError, KeyError, TypeError, AttributeError):
+        return []
+    texts = [x for row in rows for x in row[:2] + [y for y in row[2:4] if isinstance(y, str)]]
+    if not all(isinstance(x, str) for x in texts) or not all(isinstance(r[4], list) for r in rows):
+        return []
+    return [[*r[:2], *(y if isinstance(y, str) else None for y in r[2:4]), [str(g) for g in r[4]]] for r in rows]
+
+
+def toml_packages(batches):
+    """Task: the packages of TOML files; one file is in Python at a time, and rows leave some thousands at a time."""
+    types = [pa.string()] * 4 + [pa.list_(pa.string())]
+    out: list = []
+    record = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], TOML_COLUMNS)
     for batch in batches:
-        out = []
-        for content in batch.column("content").to_pylist():
-            try:
-                packages = tomllib.loads(content or "").get("package") or []
-                rows = [[p["name"], p["version"], p.get("source"), p.get("category"), p.get("groups", [])] for p in packages]
-                texts = [x for row in rows for x in row[:2] + [y for y in row[2:4] if isinstance(y, str)]]
-                if all(isinstance(x, str) for x in texts) and all(isinstance(r[4], list) for r in rows):
-                    out += [[*r[:2], *(y if isinstance(y, str) else None for y in r[2:4]), [str(g) for g in r[4]]] for r in rows]
-            except (tomllib.TOMLDecodeError, KeyError, TypeError, AttributeError):
-                continue
-        types = [pa.string()] * 4 + [pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], columns)
+        for content in batch.column("content"):
+            out += toml_file(content.as_py())
+            if len(out) >= 4096:
+                yield record(out)
+                out = []
+    yield record(out)
 
 
 def toml_rows(files: DataFrame) -> DataFrame:
@@ -101,37 +122,60 @@ def flag_of(path: str) -> Column:
     return F.coalesce(F.expr(f"schema_of_variant(variant_get(value, '{path}', 'variant'))") == "BOOLEAN", F.lit(False)) & F.coalesce(F.expr(f"try_variant_get(value, '{path}', 'boolean')"), F.lit(False))
 
 
+@contextmanager
+def repeated_keys(spark: SparkSession):
+    """Within, JSON objects may have equal keys; the last counts."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def documents(files: DataFrame) -> DataFrame:
-    """``files`` that are JSON, as ``doc``; ``major`` is the lock file version (1 if it has none)."""
-    # In brackets, what follows a document isn't overlooked: it is a second element, or no JSON.
-    docs = files.select("rel_path", F.expr("try_parse_json(concat('[', content, ']'))").alias("doc")).filter("doc is not null and variant_get(doc, '$[1]', 'variant') is null")
-    docs = docs.select("rel_path", F.expr("variant_get(doc, '$[0]', 'variant')").alias("doc")).filter("doc is not null")
+    """``files`` that are JSON, as ``doc``, parsed once and written; ``major`` is the lock file version (1 if it has none)."""
     number = F.expr("try_variant_get(doc, '$.lockfileVersion', 'bigint')")
     whole = F.expr("schema_of_variant(variant_get(doc, '$.lockfileVersion', 'variant'))") == "BIGINT"
-    return docs.withColumn("major", F.when(whole & (number >= 0), number).otherwise(F.lit(1)))
+    with repeated_keys(files.sparkSession):
+        # In brackets, what follows a document isn't overlooked: it is a second element, or no JSON.
+        docs = files.select("rel_path", F.expr("try_parse_json(concat('[', content, ']'))").alias("doc")).filter("doc is not null and variant_get(doc, '$[1]', 'variant') is null")
+        docs = docs.select("rel_path", F.expr("variant_get(doc, '$[0]', 'variant')").alias("doc")).filter("doc is not null")
+        return stage(docs.withColumn("major", F.when(whole & (number >= 0), number).otherwise(F.lit(1))))
+
+
+def npm_rows(docs: DataFrame) -> DataFrame:
+    """Packages of both forms (flat, name, version, dev): one map from version 2 on, nested ones before.
+
+    In the flat form names are install paths, the project itself left out. In
+    the nested form a package without a version goes with all below it, and
+    each level is a round, however deep.
+    """
+    below = F.expr("cast(variant_get(value, '$.dependencies', 'variant') as string)")
+    fields = ("name", text_of("$.version").alias("version"), flag_of("$.dev").alias("dev"))
+    level = docs.select((F.col("major") >= 2).alias("flat"), F.expr("CASE WHEN major >= 2 THEN variant_get(doc, '$.packages', 'variant') ELSE variant_get(doc, '$.dependencies', 'variant') END").alias("deps"))
+    out = None
+    while True:
+        rows = members(level.filter("deps is not null"), "deps", "flat").select("flat", *fields, F.when(~F.col("flat"), below).alias("below"))
+        rows = stage(rows.filter("version is not null and not (flat and name = '')"))
+        out = rows if out is None else out.unionByName(rows)
+        deeper = rows.filter("below is not null")
+        if deeper.isEmpty():
+            name = F.when(F.col("flat"), F.regexp_replace("name", "^node_modules/", "")).otherwise(F.col("name"))
+            return out.select("flat", name.alias("name"), "version", "dev")
+        with repeated_keys(docs.sparkSession):
+            level = deeper.select("flat", F.expr("try_parse_json(below)").alias("deps"))
 
 
 def npm_flat(files: DataFrame) -> DataFrame:
-    """Lock files from version 2 on: a flat map of install paths, the project itself left out."""
-    packages = documents(files).filter("major >= 2").select(F.expr("variant_get(doc, '$.packages', 'variant')").alias("packages"))
-    rows = members(packages, "packages").filter("name <> ''")
-    rows = rows.select(F.regexp_replace("name", "^node_modules/", "").alias("name"), text_of("$.version").alias("version"), flag_of("$.dev").alias("dev"))
-    return eco_rows(rows.filter("version is not null"), "npm", F.col("dev"))
+    """Lock files from version 2 on."""
+    return eco_rows(npm_rows(documents(files).filter("major >= 2")), "npm", F.col("dev"))
 
 
 def npm_nested(files: DataFrame) -> DataFrame:
-    """Version 1: nested maps; a package without a version goes with all below it. One round a level, however deep."""
-    level = documents(files).filter("major < 2").select(F.expr("variant_get(doc, '$.dependencies', 'variant')").alias("deps"))
-    out = None
-    while True:
-        rows = members(level.filter("deps is not null"), "deps").select("name", text_of("$.version").alias("version"), flag_of("$.dev").alias("dev"), F.expr("cast(variant_get(value, '$.dependencies', 'variant') as string)").alias("below"))
-        rows = stage(rows.filter("version is not null"))
-        part = eco_rows(rows, "npm", F.col("dev"))
-        out = part if out is None else out.unionByName(part)
-        deeper = rows.filter("below is not null")
-        if deeper.isEmpty():
-            return out
-        level = deeper.select(F.expr("try_parse_json(below)").alias("deps"))
+    """Lock files of version 1."""
+    return eco_rows(npm_rows(documents(files).filter("major < 2")), "npm", F.col("dev"))
 
 
 def yarn(files: DataFrame) -> DataFrame:
@@ -149,13 +193,10 @@ def yarn(files: DataFrame) -> DataFrame:
 
 def pipfile(files: DataFrame) -> DataFrame:
     """The default section, then the development one."""
-    out = None
-    for section, is_dev in (("default", False), ("develop", True)):
-        part = documents(files).select(F.expr(f"variant_get(doc, '$.{section}', 'variant')").alias("deps"))
-        rows = members(part, "deps").select("name", F.regexp_replace(text_of("$.version"), "^(==)+", "").alias("version"))
-        part = eco_rows(rows.filter("version is not null"), "pypi", F.lit(is_dev))
-        out = part if out is None else out.unionByName(part)
-    return out
+    sections = "stack(2, variant_get(doc, '$.default', 'variant'), false, variant_get(doc, '$.develop', 'variant'), true) AS (deps, is_dev)"
+    rows = members(documents(files).selectExpr(sections).filter("deps is not null"), "deps", "is_dev")
+    rows = rows.select("is_dev", "name", F.regexp_replace(text_of("$.version"), "^(==)+", "").alias("version"))
+    return eco_rows(rows.filter("version is not null"), "pypi", F.col("is_dev"))
 
 
 def requirements(text: DataFrame) -> DataFrame:
@@ -177,7 +218,8 @@ def go_sum(text: DataFrame) -> DataFrame:
 
 
 def npm_lock(files: DataFrame) -> DataFrame:
-    return npm_flat(files).unionByName(npm_nested(files))
+    """Both forms; each text is parsed once."""
+    return eco_rows(npm_rows(documents(files)), "npm", F.col("dev"))
 
 
 PARSERS = {
@@ -204,13 +246,41 @@ def gated(rows: DataFrame, process: DataFrame, ecosystem: str) -> DataFrame:
     return rows.sparkSession.sql("SELECT r.* FROM {rows} r WHERE EXISTS (SELECT 1 FROM {tools})", rows=rows, tools=process.filter(ran(ecosystem)))
 
 
-def detected(files: DataFrame, process: DataFrame, include_dev: bool = False) -> DataFrame:
-    """Packages of all lock files whose tools ran, development ones left out unless asked for, each once."""
+def tools_ran(process: DataFrame) -> DataFrame:
+    """(ecosystem, ran) of the four ecosystems, in one pass."""
+    found = process.agg(*[F.coalesce(F.bool_or(ran(e)), F.lit(False)).alias(e) for e in RAN])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(e).alias("ecosystem"), F.col(e).alias("ran")) for e in RAN])).alias("x")).select("x.*")
+
+
+def by_name(files: DataFrame, process: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Lock files that a walk comes to and whose tools ran (``process`` tells; without it all), by name.
+
+    Each text is read once and written once to a folder of its name, so that a
+    parser's scan has no other files.
+    """
+    name = F.element_at(F.split("rel_path", "/"), -1)
+    rows = files.filter(in_walk(F.col("rel_path"), ORDER)).select("rel_path", "content", name.alias("lock"))
+    if process is not None:
+        kinds = F.create_map(*[F.lit(x) for pair in ECOSYSTEM.items() for x in pair])
+        # Four rows at most.
+        rows = rows.withColumn("ecosystem", F.element_at(kinds, F.col("lock"))).join(F.broadcast(tools_ran(process).filter("ran")), "ecosystem", "left_semi").drop("ecosystem")
+    every = files.sparkSession.read.schema("rel_path string, content string, lock string").parquet(written(rows, "lock"))
+    return {n: every.filter(F.col("lock") == n).select("rel_path", "content") for n in ORDER}
+
+
+def parsed(files: DataFrame, process: DataFrame | None = None) -> DataFrame:
+    """Packages of all lock files whose tools ran, with the ``rank`` of their parser."""
     out = None
-    for rank, name in enumerate(ORDER):
-        part = gated(PARSERS[name](found(files, name)), process, ECOSYSTEM[name]).withColumn("rank", F.lit(rank))
+    for rank, (name, own) in enumerate(by_name(files, process).items()):
+        part = PARSERS[name](own).withColumn("rank", F.lit(rank))
         out = part if out is None else out.unionByName(part)
-    return once(out if include_dev else out.filter("NOT is_dev"))
+    return out
+
+
+def detected(files: DataFrame, process: DataFrame, include_dev: bool = False) -> DataFrame:
+    """Packages of all lock files whose tools ran, development ones left out unless asked for, each once."""
+    rows = parsed(files, process)
+    return once(rows if include_dev else rows.filter("NOT is_dev"))
 
 
 def once(rows: DataFrame) -> DataFrame:

@@ -4,18 +4,18 @@
 of equal keys the last read stays.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def field(name: str) -> Column:
-    """The last ``name: value`` line of a stanza."""
-    return F.regexp_extract("stanza", rf"(?s)(?:.*\n)?{name}: ([^\n]*)", 1)
+def unix_lines(content: Column | str) -> Column:
+    """A text whose lines end in a line feed alone."""
+    return F.regexp_replace(content, "\r\n", "\n")
 
 
 def status_stanzas(files: DataFrame) -> DataFrame:
     """(pos, nth, pkg_key, version, src_name) of each stanza with a package and a version."""
-    rows = files.select("pos", F.posexplode(F.split("content", r"\n(?:\n)+")).alias("nth", "stanza")).withColumn("stanza", F.concat(F.lit("\n"), F.col("stanza")))
+    rows = files.select("pos", F.posexplode(F.split(unix_lines("content"), r"\n(?:\n)+")).alias("nth", "stanza")).withColumn("stanza", F.concat(F.lit("\n"), F.col("stanza")))
     package, arch, version = (F.regexp_extract("stanza", rf"(?s)^.*\n{name}: ([^\n]*)", 1) for name in ("Package", "Architecture", "Version"))
     source = F.regexp_extract("stanza", r"(?s)^.*\nSource: [ \t]*([^\s]*)", 1)
     key = F.when(arch.isin("", "all"), package).otherwise(F.concat(package, F.lit(":"), arch))
@@ -33,24 +33,24 @@ def package_meta(files: DataFrame) -> DataFrame:
 def package_files(files: DataFrame) -> DataFrame:
     """(path, pkg_key) of ``*.list`` files: absolute paths but ``/.``; the package is the file's stem."""
     stem = F.regexp_replace("file_name", r"\.list\z", "")
-    rows = files.filter(F.col("file_name").rlike(r".\.list\z")).select("pos", stem.alias("pkg_key"), F.posexplode(F.split("content", "\n")).alias("nth", "path"))
+    rows = files.filter(F.col("file_name").rlike(r".\.list\z")).select("pos", stem.alias("pkg_key"), F.posexplode(F.split(unix_lines("content"), "\n")).alias("nth", "path"))
     rows = rows.filter(F.col("path").startswith("/") & (F.col("path") != "/."))
     return rows.groupBy("path").agg(F.max_by("pkg_key", F.struct("pos", "nth")).alias("pkg_key"))
 
 
-def os_release(files: DataFrame) -> DataFrame:
-    """(key, value) of ``key=value`` lines without the quotes around values; the last of a key stays."""
-    rows = files.select("pos", F.posexplode(F.split("content", "\n")).alias("nth", "line")).filter(F.contains("line", F.lit("=")))
+def os_release(files: DataFrame, *by: str) -> DataFrame:
+    """(key, value) of ``key=value`` lines without the quotes around values; the last of a key stays. With ``by``, of each of those apart."""
+    rows = files.select(*by, "pos", F.posexplode(F.split(unix_lines("content"), "\n")).alias("nth", "line")).filter(F.contains("line", F.lit("=")))
     value = F.btrim(F.regexp_extract("line", r"(?s)^[^=]*=(.*)\z", 1), F.lit('"'))
-    rows = rows.select("pos", "nth", F.substring_index("line", "=", 1).alias("key"), value.alias("value"))
-    return rows.groupBy("key").agg(F.max_by("value", F.struct("pos", "nth")).alias("value"))
+    rows = rows.select(*by, "pos", "nth", F.substring_index("line", "=", 1).alias("key"), value.alias("value"))
+    return rows.groupBy(*by, "key").agg(F.max_by("value", F.struct("pos", "nth")).alias("value"))
 
 
-def distro(release: DataFrame) -> DataFrame:
-    """One row: ``ID-VERSION_ID``, the ID alone, or ``linux``."""
+def distro(release: DataFrame, *by: str) -> DataFrame:
+    """One row: ``ID-VERSION_ID``, the ID alone, or ``linux``. With ``by``, one for each of those."""
     of = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
-    row = release.agg(F.coalesce(of("ID"), F.lit("linux")).alias("id"), F.coalesce(of("VERSION_ID"), F.lit("")).alias("version"))
-    return row.select(F.when(F.col("version") == "", F.col("id")).otherwise(F.concat_ws("-", "id", "version")).alias("distro"))
+    row = release.groupBy(*by).agg(F.coalesce(of("ID"), F.lit("linux")).alias("id"), F.coalesce(of("VERSION_ID"), F.lit("")).alias("version"))
+    return row.select(*by, F.when(F.col("version") == "", F.col("id")).otherwise(F.concat_ws("-", "id", "version")).alias("distro"))
 
 
 #: Fields of an event record: bytes 1-4 pid, 5-8 name length, 9 kind, 13-268 name; numbers are little-endian.
@@ -88,6 +88,15 @@ def parent_of(status: DataFrame) -> DataFrame:
     return status.select("pid", F.when(found != "", found.cast("long")).alias("ppid"))
 
 
-def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")
+def process_names(facts: DataFrame) -> DataFrame:
+    """(pid, comm): the last name recorded of each process, trimmed; empty where it couldn't be read (``content`` is null then).
+
+    ``facts`` have pid, kind (``comm`` or ``cwd``), content and seq.
+    """
+    name = F.coalesce(F.btrim("content", F.lit(" \t\n\x0b\f\r")), F.lit(""))
+    return facts.filter("kind = 'comm'").groupBy("pid").agg(F.max_by(name, "seq").alias("comm"))
+
+
+def process_directories(facts: DataFrame) -> DataFrame:
+    """(pid, cwd): the last directory of each process that could be read; processes without one have no row."""
+    return facts.filter("kind = 'cwd' and content is not null").groupBy("pid").agg(F.max_by("content", "seq").alias("cwd"))

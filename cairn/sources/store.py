@@ -17,10 +17,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(rows: DataFrame) -> str:
+def new_folder(spark: SparkSession, kind: str = "cairn") -> str:
+    """A name in the shared folder that nothing has."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, *partitioned_by: str) -> str:
     """The new folder in the shared one that ``rows`` were written to."""
-    path = f"{shared_folder(rows.sparkSession)}/cairn-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    path = new_folder(rows.sparkSession)
+    rows.write.parquet(path, partitionBy=list(partitioned_by) or None)
     return path
 
 

@@ -3,10 +3,10 @@
 ``wraps`` have wrap_path (relative to the subproject folder), content and pos.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions import versions
+from cairn.functions import paths, versions
 
 #: Fixed keys of a wrap file.
 KEYS = ("directory", "url", "revision", "source_url", "source_filename")
@@ -26,13 +26,21 @@ def parsed(wraps: DataFrame) -> DataFrame:
     return wraps.select("wrap_path", "pos").join(found, ["wrap_path", "pos"], "left")
 
 
+def place(path: Column) -> Column:
+    """A path below the subproject folder without ``.`` and ``..``."""
+    return paths.normalized(path, F.lit(""))
+
+
 def resolved(wraps: DataFrame) -> DataFrame:
-    """Each top-level wrap with its fields, those of the redirect's target where it has one; without that target it goes."""
+    """Each top-level wrap with its fields, those of the redirect's target where it has one; without that target it goes.
+
+    Targets are paths: ``./a/../b.wrap`` is ``b.wrap``.
+    """
     every = parsed(wraps)
     top = every.filter(F.col("wrap_path").rlike(r"^[^/]+\.wrap\z"))
     fields = [F.col(k).alias(f"to_{k}") for k in KEYS]
-    target = every.select(F.col("wrap_path").alias("target"), *fields)
-    joined = top.join(target, top.redirect == target.target, "left").filter("redirect is null or target is not null")
+    target = every.select(place(F.col("wrap_path")).alias("target"), *fields)
+    joined = top.join(target, place(top.redirect) == target.target, "left").filter("redirect is null or target is not null")
     name = F.regexp_replace("wrap_path", r"\.wrap\z", "")
     return joined.select(name.alias("wrap_name"), "pos", *[F.when(F.col("redirect").isNull(), F.col(k)).otherwise(F.col(f"to_{k}")).alias(k) for k in KEYS])
 

@@ -15,18 +15,12 @@ def drained(spark: SparkSession, path: str, pids, schema: str) -> DataFrame:
     then its output is read, so that nothing seen before the end is missed.
     """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    parent, _, name = path.rpartition("/")
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(f"{parent}/{name}*")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path)
     run = pids(rows).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     run.awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
-def first_seen(spark: SparkSession, path: str) -> DataFrame:
-    """Processes of a trace (pid), by fork or by open, each once."""
-    return drained(spark, path, lambda rows: rows.select(F.col("pid").cast("long").alias("pid")).dropDuplicates(["pid"]), "pid long")
-
-
 def late(seen: DataFrame, process: DataFrame) -> DataFrame:
     """Names and directories of the processes seen, looked up once the stream has ended; unknown ones are empty."""
     return seen.join(process, "pid", "left").select("pid", F.coalesce(F.trim("comm"), F.lit("")).alias("comm"), "cwd")
