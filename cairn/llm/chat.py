@@ -1,17 +1,19 @@
 r"""Chat formatting with loss masks aligned by token offsets.
 
 A conversation is rendered whole, encoded once, and each token span is set
-against the sorted spans of assistant texts by binary search. Control strings
-begin with "<" or "["; inside roles and texts these, the backslash and (in
-roles) the line feed are escaped, so no text can open or close a turn, and
-parsing gives every turn back.
+against the sorted spans of assistant texts by binary search. Three marks stand
+for the beginning of a turn, of its text, and its end. They are added to the
+loaded tokenizer as tokens of their own (after its vocabulary; nothing is
+trained), so no token reaches over the edge of a text: the tokens under the
+mask are the assistant texts exactly, and everything is read back from ids and
+mask alone. Marks begin with "<"; inside roles and texts "<", "[" and the
+backslash are escaped, so no text can open or close a turn, and parsing gives
+every turn back.
 
 Turns are ordered by (turn, role, text), nulls first; null roles and texts
 count as empty; repeated rows are turns of their own; a null conv_id is a
 conversation; an empty table gives no rows; other columns are ignored. A
-conversation is one row however long its texts are (it must fit one). A token
-that reaches over the edge of an assistant text is under the mask; reading back
-cuts it to the text.
+conversation is one row however long its texts are (it must fit one).
 """
 
 import hashlib
@@ -22,35 +24,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<|turn|>", "<|end|>\n"
+OPEN, TEXT, CLOSE = MARKS = "<|turn|>", "<|text|>", "<|end|>"
+AFTER = "\n"
 LEARNED = "assistant"
 #: Conversations are encoded in groups of so many characters (one conversation: more).
 GROUP_CHARS = 1 << 19
 #: Fixed escapes.
-ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b", "\n": "\\n"}
+ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
 PLAIN = {v[1]: k for k, v in ESCAPES.items()}
 
 
-def escaped(text: str, role: bool = False) -> str:
+def encoder(path: str):
+    """The tokenizer of a file, with the marks as tokens of their own."""
+    from tokenizers import AddedToken, Tokenizer
+
+    tool = Tokenizer.from_file(path)
+    tool.add_tokens([AddedToken(m, normalized=False) for m in MARKS])
+    # Special tokens of the file are ordinary text in a text.
+    tool.encode_special_tokens = True
+    return tool
+
+
+def escaped(text: str) -> str:
     for plain, code in ESCAPES.items():
-        if plain != "\n" or role:
-            text = text.replace(plain, code)
+        text = text.replace(plain, code)
     return text
 
 
 def unescaped(text: str) -> str:
-    return re.sub(r"\\(.)", lambda m: PLAIN[m[1]], text)
+    return re.sub(r"\\(.)", lambda m: PLAIN.get(m[1], m[0]), text)
 
 
 def rendered(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the spans of its assistant texts."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{OPEN}{escaped(role, True)}\n", escaped(text)
+        head, body = f"{OPEN}{escaped(role)}{TEXT}", escaped(text)
         if role == LEARNED:
             spans.append((at + len(head), at + len(head) + len(body)))
-        parts += [head, body, CLOSE]
-        at += len(head) + len(body) + len(CLOSE)
+        parts += [head, body, CLOSE + AFTER]
+        at += len(head) + len(body) + len(CLOSE + AFTER)
     return "".join(parts), spans
 
 
@@ -58,13 +71,13 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
     """The turns of a formatted conversation."""
     out = []
     for part in formatted.split(OPEN)[1:]:
-        role, _, body = part.partition("\n")
-        out.append((unescaped(role), unescaped(body[: -len(CLOSE)])))
+        role, _, body = part.partition(TEXT)
+        out.append((unescaped(role), unescaped(body[: -len(CLOSE + AFTER)])))
     return out
 
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Tokens that overlap a span; spans are sorted and disjoint."""
+    """Tokens that overlap a span; spans are sorted and disjoint, and no token reaches over the edge of one."""
     spans = [s for s in spans if s[0] < s[1]]
     if not spans:
         return np.zeros(len(ends), bool)
@@ -80,24 +93,7 @@ def token_spans(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(starts == ends, np.maximum(ends - 1, 0), starts), ends
 
 
-def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """Which of ``n`` characters lie in any of the spans."""
-    return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
-
-
-def loss_text(formatted: str, ends: np.ndarray, mask: np.ndarray, spans) -> str:
-    """Text under the mask: masked token spans cut to the assistant spans, each character once."""
-    if not mask.any() or not len(spans):
-        return ""
-    starts, ends = token_spans(ends)
-    low, high = np.reshape(spans, (-1, 2)).T
-    under = covered(starts[mask], ends[mask], len(formatted)) & covered(low, high, len(formatted))
-    edges = np.flatnonzero(np.diff(under, prepend=False, append=False)).tolist()
-    return "".join(formatted[a:b] for a, b in zip(edges[::2], edges[1::2]))
-
-
-SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-FORMATTED = "conv_id long, n_turns long, formatted string, ids array<int>, ends array<int>, loss array<boolean>, spans array<struct<start:long,stop:long>>"
+FORMATTED = "conv_id long, n_turns long, formatted string, ids array<int>, ends array<int>, loss array<boolean>"
 
 
 def by_size(made: list) -> list[list]:
@@ -126,10 +122,7 @@ def arrays_of(column: pa.Array) -> list[np.ndarray]:
 
 def formatter(tokenizer: str):
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tool = Tokenizer.from_file(tokenizer)
-        tool.encode_special_tokens = True
+        tool = encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -146,7 +139,6 @@ def formatter(tokenizer: str):
                             lists_of([np.array(c.ids, np.int32) for c in codes], pa.int32()),
                             lists_of(ends, pa.int32()),
                             lists_of(masks, pa.bool_()),
-                            pa.array([[{"start": a, "stop": b} for a, b in s] for _, s, *_ in group], pa.list_(SPAN)),
                         ],
                         [x.split()[0] for x in FORMATTED.split(", ")],
                     )
@@ -162,25 +154,31 @@ def formatted(conversations: DataFrame, tokenizer: str) -> DataFrame:
     return whole.mapInArrow(formatter(tokenizer), FORMATTED)
 
 
-def read_back(batches):
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    for batch in batches:
-        out = []
-        own = batch.column("spans")
-        bounds = np.stack([own.values.field(c).to_numpy() for c in ("start", "stop")], axis=1)
-        places = own.offsets.to_numpy()
-        ends, losses = arrays_of(batch.column("ends")), arrays_of(batch.column("loss"))
-        for i, (conv_id, text) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("formatted"))):
-            text = text.as_py()
-            turns = parsed(text)
-            learned = unescaped(loss_text(text, ends[i], losses[i], bounds[places[i] : places[i + 1]]))
-            sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-            out.append((conv_id, len(turns), sha, len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        columns = list(zip(*out)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-
-def digests(made: DataFrame) -> DataFrame:
-    """What the formatted conversations give back."""
-    return made.mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def said(tool, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str]:
+    """What ids say, and what those under the mask say."""
+    whole, learned = tool.decode_batch([ids.tolist(), ids[loss].tolist()], skip_special_tokens=False)
+    return whole, unescaped(learned)
+
+
+def reader(tokenizer: str):
+    def run(batches):
+        tool = encoder(tokenizer)
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in batches:
+            out = []
+            ids, losses = arrays_of(batch.column("ids")), arrays_of(batch.column("loss"))
+            for conv_id, own, loss in zip(batch.column("conv_id").to_pylist(), ids, losses):
+                text, learned = said(tool, own, loss)
+                turns = parsed(text)
+                out.append((conv_id, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned), len(text)))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    return run
+
+
+def digests(made: DataFrame, tokenizer: str) -> DataFrame:
+    """What the ids and masks of formatted conversations give back; the formatted text is not looked at."""
+    return made.select("conv_id", "ids", "loss").mapInArrow(reader(tokenizer), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -30,7 +30,8 @@ def op2_chat_masks(spark, sf_dir):
     columns = ["conv_id", "turn", "role", "text"]
     given = table(spark, sf_dir, "conversations").select(*columns)
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.formatted(given.unionByName(extra), public_tokenizers.path(BYTE_BPE)))
+    path = public_tokenizers.path(BYTE_BPE)
+    return chat.digests(chat.formatted(given.unionByName(extra), path), path)
 
 
 def op3_bounded_ring(spark, sf_dir):
@@ -106,12 +107,12 @@ SQL = {
             UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
         sized AS (SELECT *,
                 length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) AS text_size,
-                length(role) + length(regexp_replace(role, '[^\\<\[\n]', '', 'g')) AS role_size FROM turns)
+                length(role) + length(regexp_replace(role, '[^\\<\[]', '', 'g')) AS role_size FROM turns)
         SELECT conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            sum(text_size + role_size + length('<|turn|>') + 1 + length('<|end|>') + 1)::BIGINT AS formatted_chars
+            sum(text_size + role_size + length('<|turn|><|text|><|end|>') + 1)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id""",
     "op6_suffix_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

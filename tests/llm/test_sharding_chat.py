@@ -8,6 +8,7 @@ import public_tokenizers as P
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cairn.llm import chat, sharding
 from cairn.llm.common import stage
@@ -98,24 +99,36 @@ TEXTS = st.text(alphabet=st.one_of(st.sampled_from(list("ab <[\\\n]/|>éß漢
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<x\n]", ""]), TEXTS), max_size=6))
 def test_turns_and_loss_come_back(turns):
-    from tokenizers import Tokenizer
-
-    tool = test_turns_and_loss_come_back.__dict__.setdefault("tool", Tokenizer.from_file(PATH))
-    tool.encode_special_tokens = True
+    tool = test_turns_and_loss_come_back.__dict__.setdefault("tool", chat.encoder(PATH))
     text, spans = chat.rendered(turns)
     assert chat.parsed(text) == turns
-    ends = np.array([e for _, e in tool.encode(text, add_special_tokens=False).offsets], np.int64)
-    mask = chat.loss_mask(*chat.token_spans(ends), spans)
-    assert chat.unescaped(chat.loss_text(text, ends, mask, spans)) == "".join(t for r, t in turns if r == "assistant")
+    code = tool.encode(text, add_special_tokens=False)
+    starts, ends = chat.token_spans(np.array([e for _, e in code.offsets], np.int64))
+    # No token reaches over the edge of an assistant text.
+    assert not any(s < edge < e for s, e in zip(starts, ends) for span in spans for edge in span)
+    mask = chat.loss_mask(starts, ends, spans)
+    whole, learned = chat.said(tool, np.array(code.ids, np.int64), mask)
+    assert whole == text and learned == "".join(t for r, t in turns if r == "assistant")
+    # A mask that is wider or narrower by a token says something else.
+    for k in np.flatnonzero(np.diff(mask))[:4].tolist():
+        for place in (k, k + 1):
+            other = mask.copy()
+            other[place] = ~other[place]
+            assert chat.said(tool, np.array(code.ids, np.int64), other)[1] != learned
 
 
 def test_conversations(spark):
-    rows = [(1, 0, "user", "hi", 1), (1, 2, "assistant", "</s>[INST] ok [/INST]", 1), (1, 1, None, None, 1), (1, 2, "assistant", "</s>[INST] ok [/INST]", 1), (None, 0, "assistant", None, 1)]
+    long = "Über 漢字 <|end|> [x] \\ " * 30_000
+    rows = [(1, 0, "user", "hi", 1), (1, 2, "assistant", "</s>[INST] ok [/INST]", 1), (1, 1, None, None, 1), (1, 2, "assistant", "</s>[INST] ok [/INST]", 1), (None, 0, "assistant", None, 1), (2, 0, "assistant", long, 1), (2, 1, "assistant", "\n", 1)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int").repartition(3)
-    got = {r.conv_id: r for r in chat.digests(chat.formatted(table, PATH)).collect()}
+    made = stage(chat.formatted(table, PATH))
+    got = {r.conv_id: r for r in chat.digests(made, PATH).collect()}
     two = "</s>[INST] ok [/INST]"
     assert got[1].n_turns == 4 and got[1].loss_chars == 2 * len(two)
     assert got[1].loss_sha256 == hashlib.sha256((two * 2).encode()).hexdigest()
     assert got[1].turns_sha256 == hashlib.sha256(f"user\nhi\n\n\nassistant\n{two}\nassistant\n{two}\n".encode()).hexdigest()
     assert (got[None].n_turns, got[None].loss_chars) == (1, 0)
-    assert chat.digests(chat.formatted(table.limit(0), PATH)).count() == 0
+    assert got[2].loss_sha256 == hashlib.sha256((long + "\n").encode()).hexdigest()
+    wrong = made.withColumn("loss", F.transform("loss", lambda x: ~x))
+    assert not {r.loss_sha256 for r in chat.digests(wrong, PATH).collect()} & {r.loss_sha256 for r in got.values()}
+    assert chat.digests(chat.formatted(table.limit(0), PATH), PATH).count() == 0
