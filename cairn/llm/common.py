@@ -108,6 +108,54 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: Modulo this prime no text is built against a polynomial whatever its base, as a Thue-Morse text is modulo 2**64.
+PRIME = (1 << 61) - 1
+_P, _LOW, _31, _30, _61 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(30), np.uint64(61)
+
+
+def residue(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**64 modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b) -> np.ndarray:
+    """Products of residues modulo the prime, from halves of 30 and 31 bits."""
+    ah, al, bh, bl = a >> _31, a & _LOW, b >> _31, b & _LOW
+    mid = ah * bl + al * bh
+    return residue(((ah * bh) << np.uint64(1)) + (mid >> _30) + ((mid & np.uint64((1 << 30) - 1)) << _31) + al * bl)
+
+
+_RESIDUES: dict = {}
+
+
+def residues(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime."""
+    have = _RESIDUES.get(base)
+    if have is None or len(have) < n:
+        size = max(n, BLOCK_BYTES + 4096)
+        have = np.ones(size, np.uint64)
+        k = 1
+        while k < size:
+            more = min(k, size - k)
+            have[k : k + more] = times(have[:more], np.uint64(pow(base, k, PRIME)))
+            k += more
+        _RESIDUES[base] = have
+    return have[:n]
+
+
+def running(x: np.ndarray) -> np.ndarray:
+    """Sums of the numbers before each place (below 2**39 each), modulo the prime from time to time."""
+    out = np.zeros(len(x) + 1, np.uint64)
+    step = 1 << 24
+    for a in range(0, len(x), step):
+        b = min(a + step, len(x))
+        np.cumsum(x[a:b], out=out[a + 1 : b + 1])
+        if a:
+            out[a + 1 : b + 1] += residue(out[a : a + 1])
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift)."""
     x = x ^ (x >> np.uint64(33))
@@ -118,7 +166,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """Polynomial fingerprints of any byte spans of one block."""
+    """Polynomial fingerprints modulo 2**64 of byte spans of one block; only for spans far below 1024 bytes, where Thue-Morse texts begin to agree."""
 
     def __init__(self, data: np.ndarray, base: int = 0x9E3779B97F4A7C15):
         n = len(data)
@@ -130,6 +178,43 @@ class SpanHash:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
+class PrimeHash:
+    """Polynomial fingerprints, modulo a prime of 61 bits, of any byte spans of one block.
+
+    Two different spans agree with a chance of about their length in 2**61.
+    """
+
+    def __init__(self, data: np.ndarray, base: int = 0x1E3779B97F4A7C15):
+        n = len(data)
+        base %= PRIME
+        self.inverse = residues(pow(base, -1, PRIME), n + 1)
+        power, codes = residues(base, n), data.astype(np.uint64) + np.uint64(1)
+        self.low, self.high = running(codes * (power & _LOW)), running(codes * (power >> _31))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = (residue(residue(x[end]) + (_P - residue(x[start]))) for x in (self.low, self.high))
+        value = residue(low + times(high, np.uint64(1 << 31)))
+        return mix(times(value, self.inverse[start]) + ((end - start).astype(np.uint64) << _61))
+
+
+#: Spans of up to so many bytes are told apart modulo 2**64 (a Thue-Morse text of 32 bytes leaves 44 bits), longer ones modulo the prime.
+SHORT_SPAN = 32
+
+
+class WordHash:
+    """Fingerprints of any byte spans of one block: cheap for short ones, modulo the prime for the few long ones."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.short = data, SpanHash(data)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = self.short.of(start, end)
+        long = np.flatnonzero(end - start > SHORT_SPAN)
+        if len(long):
+            out[long] = PrimeHash(self.data).of(start[long], end[long])
+        return out
+
+
 def lower_ascii() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32

@@ -7,14 +7,20 @@ shard; the ranges found are all verbatim occurrences of its window of
 ``WINDOW`` words (an item with fewer words is one window). Windows that follow
 one another on the same diagonal give the longest verbatim match and its place.
 
-The benchmark is collected in blocks of ``BLOCK_WORDS`` words by hash of
-item_id, one pass over the documents a block, so its size is not limited; one
-block is the rule. Nothing is shuffled but, with several blocks, the findings.
+The benchmark is cut into blocks of about ``BLOCK_WORDS`` words by hash of the
+item, one pass over the documents a block. The windows of a block are built
+once, on the driver, and broadcast as plain arrays (100 bytes a window); with
+several blocks, each pass is written before the next block is collected, so
+only one is held at a time, and the findings meet in one shuffle. A single item
+must fit a block's memory.
 
 Words: A-Z lower-cased, then runs of 0-9, a-z and non-ASCII characters,
-compared by 64-bit fingerprints. Null and wordless texts have no words and are
-clean; items that are null or wordless match nothing; repeated rows are judged
-alike; items that share an item_id count once; a null item_id counts as "".
+compared by 64-bit fingerprints modulo a prime of 61 bits: two different words
+agree with a chance of about their length in 2**61, and a clean document would
+be hit only if all words of a window did. Null and wordless texts have no words
+and are clean; items that are null or wordless match nothing; repeated rows are
+judged alike; items that share an item_id count once; a null item_id counts as
+"".
 """
 
 
@@ -23,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, lower_ascii, numbered, row_blocks, utf8_of, word_bytes, words_in
+from .common import WordHash, lower_ascii, numbered, row_blocks, stage, utf8_of, word_bytes, words_in
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 FOUND = "row_id long, doc_id long, n_words long, hits array<struct<start:long,stop:long>>, items array<string>, matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
 
 
@@ -34,7 +40,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray):
     """Fingerprints of the words of a block and the row each lies in."""
     data = lower_ascii()[data]
     start, end, row = words_in(data, offsets, word_bytes())
-    return SpanHash(data).of(start, end), row
+    return WordHash(data).of(start, end), row
 
 
 class TestWindows:
@@ -42,31 +48,43 @@ class TestWindows:
 
     __test__ = False
 
+    FIELDS = ("window", "vocabulary", "names", "item", "at", "size", "low", "high", "lead", "starts")
+
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.window = window
         texts = [(str(i) if i is not None else "", t) for i, t in items if t]
-        data, offsets = utf8_of(pa.array([t for _, t in texts], pa.string()))
-        hashes, row = word_hashes(data, offsets)
-        self.vocabulary = np.unique(hashes)
-        ids = np.searchsorted(self.vocabulary, hashes)
-        keys, self.item, self.at, self.size = [], [], [], []
         self.names = [i for i, _ in texts]
-        for k in range(len(texts)):
-            own = ids[row == k] if len(texts) < 64 else ids[np.searchsorted(row, k) : np.searchsorted(row, k, "right")]
-            n = min(window, len(own))
-            for j in range(len(own) - n + 1 if n else 0):
-                keys.append(np.pad(own[j : j + n] + 3, (0, window - n)))
-                self.item.append(k)
-                self.at.append(j)
-                self.size.append(n)
-        self.item, self.at, self.size = (np.array(x, np.int64) for x in (self.item, self.at, self.size))
-        grid = np.array(keys, np.uint32).reshape(-1, window)
+        data, offsets = utf8_of(pa.array([t for _, t in texts], pa.string()))
+        parts = [(*word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), a) for a, b in row_blocks(offsets)]
+        hashes = np.concatenate([h for h, _, _ in parts] or [np.zeros(0, np.uint64)])
+        row = np.concatenate([r + a for _, r, a in parts] or [np.zeros(0, np.int64)])
+        self.vocabulary, ids = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(row, minlength=len(texts)).astype(np.int64)
+        sizes = np.minimum(window, counts)
+        windows = np.where(counts > 0, counts - sizes + 1, 0)
+        self.item = np.repeat(np.arange(len(texts)), windows)
+        self.at = np.arange(len(self.item)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.size = sizes[self.item]
+        first = (np.cumsum(counts) - counts)[self.item] + self.at
+        codes = np.concatenate((ids + 3, np.zeros(window, np.int64))).astype(np.uint32)
+        grid = codes[first[:, None] + np.arange(window)[None, :]]
+        past = np.arange(window)[None, :] >= self.size[:, None]
+        grid[past] = 0
         self.low = sort_keys(grid)
-        top = grid.copy()
-        top[np.arange(window)[None, :] >= self.size[:, None]] = 0xFFFFFFFF
-        self.high = sort_keys(top)
         self.lead = max(1, min(3, int(self.size.min(initial=window))))
-        self.starts = np.unique(self.codes(grid[:, : self.lead].astype(np.int64) - 3)) if len(grid) else np.zeros(0, np.int64)
+        self.starts = np.unique(self.codes(grid[:, : self.lead].astype(np.int64) - 3))
+        grid[past] = 0xFFFFFFFF
+        self.high = sort_keys(grid)
+
+    def arrays(self) -> list:
+        return [getattr(self, f) for f in self.FIELDS]
+
+    @classmethod
+    def of(cls, arrays: list) -> "TestWindows":
+        out = cls.__new__(cls)
+        for field, value in zip(cls.FIELDS, arrays):
+            setattr(out, field, value)
+        return out
 
     def codes(self, grid: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grid), np.int64)
@@ -127,9 +145,9 @@ def longest(test: TestWindows, word: np.ndarray, which: np.ndarray, row: np.ndar
     return own[first], item[first], at[first], word[first], word[last] + size[last] - word[first]
 
 
-def finder(items: list[tuple], window: int):
+def finder(windows):
     def run(batches):
-        test = TestWindows(items, window)
+        test = TestWindows.of(windows.value)
         for batch in batches:
             data, offsets = utf8_of(batch.column("text"))
             for a, b in row_blocks(offsets):
@@ -170,26 +188,36 @@ def finder(items: list[tuple], window: int):
 
 
 def benchmark_blocks(benchmark: DataFrame, block_words: int):
-    """The benchmark as bounded lists of (item_id, text)."""
+    """How many blocks the benchmark has, and the blocks, collected one at a time: lists of (item_id, text)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    words = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-words // (4 * block_words)))
-    for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in block.collect()]
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // (4 * block_words)))
+
+    def blocks():
+        for k in range(n):
+            block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+            yield [(r.item_id, r.text) for r in block.collect()]
+
+    return n, blocks()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: row_id, doc_id, n_words, ``hits`` (word spans in windows), ``items``, longest ``matches``."""
     rows = numbered(docs)
-    passes = [rows.mapInArrow(finder(items, window), FOUND) for items in benchmark_blocks(benchmark, block_words)]
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionByName(p)
-    if len(passes) > 1:
-        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "matches")]
-        found = found.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
-    return found
+    send = docs.sparkSession.sparkContext.broadcast
+    n, blocks = benchmark_blocks(benchmark, block_words)
+    if n == 1:
+        return rows.mapInArrow(finder(send(TestWindows(next(blocks), window).arrays())), FOUND)
+    found = None
+    for items in blocks:
+        sent = send(TestWindows(items, window).arrays())
+        one = rows.mapInArrow(finder(sent), FOUND)
+        # The first pass has all rows; of the others only findings matter.
+        one = stage(one if found is None else one.filter("size(items) > 0"))
+        sent.destroy()
+        found = one if found is None else found.unionByName(one)
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "matches")]
+    return found.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
 
 
 def hit_words(hits) -> F.Column:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, as_long, lower_ascii, mix, numbered, parts_for, row_blocks, stage, utf8_of, word_bytes, words_in
+from .common import WordHash, as_long, lower_ascii, mix, numbered, parts_for, row_blocks, stage, utf8_of, word_bytes, words_in
 from .components import components
 
 WORDS = 5
@@ -64,7 +64,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray):
     """(row, shingle hash) of a block's shingle sets, sorted and unique."""
     data = lower_ascii()[data]
     start, end, row = words_in(data, offsets, word_bytes())
-    hashes = SpanHash(data).of(start, end)
+    hashes = WordHash(data).of(start, end)
     n = len(row)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, released, row_blocks, utf8_of, words_in
+from .common import WordHash, released, row_blocks, utf8_of, words_in
 
 PER_LABEL = 1500
 NEAREST = 15
@@ -47,7 +47,7 @@ def term_weights(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows = len(offsets) - 1
     start, end, row = words_in(data, offsets, ~byte_table(b" \t\n\x0b\x0c\r"))
     size = (end - start).astype(np.int64)
-    hashes = SpanHash(data).of(start, end)
+    hashes = WordHash(data).of(start, end)
 
     def among(table):
         sums = np.concatenate(([0], np.cumsum(table[data])))

@@ -58,3 +58,37 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in dc.report(docs, none).collect()] == [(2, 0, 0)]
     assert dc.report(docs.limit(0), none).count() == 0
+
+
+def test_one_block_at_a_time(spark, words, monkeypatch):
+    """Five blocks: windows of one are held while its pass runs, and the findings are those of one block."""
+    import weakref
+
+    held, most = weakref.WeakSet(), []
+
+    class Watched(dc.TestWindows):
+        def __init__(self, *a):
+            super().__init__(*a)
+            held.add(self)
+            most.append(len(held))
+
+    items = [(i, words(12 + i % 9, i, 60)) for i in range(120)]
+    docs = stage(spark.createDataFrame([(i, words(60, 900 + i, 60) + " " + items[i][1] + " " + items[-i][1]) for i in range(120)], "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shown = lambda f: sorted((r.doc_id, r.n_words, tuple(sorted(set(r["items"]))), r.n_hit) for r in f.select("doc_id", "n_words", "items", dc.hit_words(dc.F.col("hits")).alias("n_hit")).collect())
+    whole = shown(dc.contamination(docs, bench))
+    monkeypatch.setattr(dc, "TestWindows", Watched)
+    size = sum(len(t) for _, t in items)
+    assert shown(dc.contamination(docs, bench, block_words=-(-size // 4 // 5) + 1)) == whole
+    assert len(most) == 5 and max(most) == 1
+
+
+def test_long_texts_and_words_built_against_polynomials(spark, words):
+    turn = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = turn.translate(str.maketrans("ab", "ba"))
+    item = " ".join([turn, *words(9, 5).split()])
+    long = words(400_000, 6) + " " + item + " " + words(10, 7)
+    texts = [long, item.replace(turn, other), item, "x" * 3_000_000]
+    docs = stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in dc.report(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0: (400_020, 10, True), 1: (10, 0, False), 2: (10, 10, True), 3: (1, 0, False)}
