@@ -50,26 +50,41 @@ def lock_files(spark: SparkSession, root: str, names=lockfiles.ORDER, depth: int
 
 
 def streamed(batches):
-    """Task: hashes of files read in small pieces; null where one can't be read."""
+    """Task: hashes of files read in small pieces; none for a path that isn't there, null for one that can't be read."""
+    from pyarrow import fs
+
     for batch in batches:
-        out = []
+        kept, out = [], []
         for path in batch.column("path").to_pylist():
             sha = hashlib.sha256()
             try:
                 store, at = opened(path)
+                if store.get_file_info(at).type == fs.FileType.NotFound:
+                    continue
                 with store.open_input_stream(at) as file:
                     while piece := file.read(1 << 16):
                         sha.update(piece)
                 out.append(sha.hexdigest())
             except OSError:
                 out.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], ["path", "sha"])
+            kept.append(path)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(out, pa.string())], ["path", "sha"])
+
+
+def hashed(paths: DataFrame) -> DataFrame:
+    """(path, hash) of the ``paths`` that are there, each opened by the task that has it; ``sha256:error`` for folders and what can't be read.
+
+    Memory is a small piece of one file, however long it is.
+    """
+    rows = paths.select("path").filter("path is not null").mapInArrow(streamed, "path string, sha string")
+    return rows.select("path", F.coalesce(F.concat(F.lit("sha256:"), F.col("sha")), F.lit(ERROR)).alias("hash"))
 
 
 def hashes(spark: SparkSession, root: str, wanted: Column | None = None, whole: int = WHOLE) -> DataFrame:
     """(rel_path, hash) of the files below ``root``, of those whose ``rel_path`` is ``wanted`` if given; ``sha256:error`` where one can't be read.
 
     ``wanted`` is put to the listing, so that other files are never opened.
+    Spark's listing leaves out files of no bytes; ``hashed`` has them too.
     """
     at = relative(listed_path(), root)
     rows = read(spark, root)

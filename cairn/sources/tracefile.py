@@ -50,6 +50,8 @@ class FlatRecordsReader(DataSourceReader):
         return [Part(p, a, min(a + self.each, records), size) for p, size in files for records in [-(-size // self.size)] for a in range(0, records, self.each)]
 
     def read(self, part):
+        if part is None:  # no file has a record
+            return
         store, _ = opened(self.path)
         with store.open_input_file(part.path) as file:
             for a in range(part.first, part.end, BATCH):

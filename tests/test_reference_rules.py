@@ -86,15 +86,17 @@ def test_local_files(spark):
     assert got["/p/u.a"].hash == "sha256:error"
     indexed = report(spark, ["/p/subprojects/none/subprojects/zz/a.h"], sub=[("zz", "wrapped", "9", "https://x")])
     assert [(r.name, r.version, r.vcs_url) for r in indexed.values()] == [("wrapped", "9", "https://x")]
+    inner = report(spark, ["/p/subprojects/subprojects/zz/a.h", "/p/subprojects/subprojects/b-2.1/c.h"], sub=[("zz", "wrapped", "9", "https://x")])
+    assert {(r.name, r.version) for r in inner.values()} == {("wrapped", "9"), ("subprojects", None)}
 
 
-def descended(spark, edges):
-    return {r.pid: r.depth for r in trace.descendants(spark.createDataFrame(edges, "parent_pid long, child_pid long"), 1).collect()}
+@pytest.mark.parametrize("small", [trace.SMALL, 0])
+def test_descendants(spark, small):
+    def descended(spark, edges):
+        return {r.pid: r.depth for r in trace.descendants(spark.createDataFrame(edges, "parent_pid long, child_pid long"), 1, small).collect()}
 
-
-def test_descendants(spark):
-    assert descended(spark, [(1, 2), (2, 3), (3, 4), (9, 10), (5, 5)]) == {1: 0, 2: 1, 3: 2, 4: 3}
-    assert descended(spark, [(7, 8)]) == {1: 0}
+    assert descended(spark, [(1, 2), (2, 3), (3, 4), (9, 10), (5, 5), (None, 7)]) == {1: 0, 2: 1, 3: 2, 4: 3}
+    assert descended(spark, [(7, 8)]) == {1: 0} and descended(spark, []) == {1: 0}
     chain = [(i, i + 1) for i in range(1, 501)]
     assert descended(spark, chain) == {i: i - 1 for i in range(1, 502)}
     # Reused ids: several parents, cycles on and off the tree, a way back to the root.

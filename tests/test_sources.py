@@ -48,6 +48,15 @@ def test_yarn_and_pipfile(spark):
     assert pins(lockfiles.pipfile(files(spark, json.dumps(lock)))) == [("Flask", "2.0", False), ("black", "23", True), ("odd", "=1", False)]
 
 
+def test_of_equal_keys_the_last_counts(spark):
+    text = '{"lockfileVersion": 1, "lockfileVersion": 2, "packages": {"a": {"version": "1"}, "a": {"version": "2", "version": "3"}}, "dependencies": {"b": {"version": "4", "dependencies": {"c": {"version": "5"}, "c": {"version": "6"}}}}}'
+    assert pins(lockfiles.npm_flat(files(spark, text))) == [("a", "3", False)]
+    nested = text.replace('"lockfileVersion": 2, ', "")
+    assert pins(lockfiles.npm_nested(files(spark, nested))) == [("b", "4", False), ("c", "6", False)]
+    assert pins(lockfiles.pipfile(files(spark, '{"default": {"x": {"version": "==1"}}, "default": {"y": {"version": "==2"}, "y": {"version": "==3"}}}'))) == [("y", "3", False)]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
 def test_walk_gates_and_detection(spark):
     names = ["go.sum", "a/b/c/d/e/go.sum", "a/b/c/d/e/f/go.sum", "x/vendor/go.sum", "go.sum/x", "vendors/go.sum"]
     table = spark.createDataFrame([(n, "m v1 h1:x\nm v2/go.mod h1:y\n") for n in names], "rel_path string, content string")
