@@ -29,8 +29,10 @@ All ways are exact and complete. Nulls count as empty texts; texts under
 LENGTH bytes keep all; a very long text is read in overlapping pieces of a
 megabyte; repeated rows are further places, so copies of LENGTH bytes and more
 are removed in each; an empty table gives no rows. Other columns of the input
-are ignored. Ranges are ``RANGE`` entries each, or more if there would be over
-``MOST_RANGES`` of them (their separators are broadcast with the tasks).
+are ignored. Ranges are ``RANGE`` entries each. Separators travel with tasks, so
+if there would be more than ``MOST_RANGES`` ranges, runs are cut into so many
+first, and each of these is cut again at separators of its own, which meet its
+runs in a join.
 """
 
 import hashlib
@@ -52,7 +54,7 @@ RUN = 20_000
 SAMPLE = 50_000
 #: One stretch in so many carries its suffix as a candidate for the sample.
 SAMPLED = 256
-MOST_RANGES = 1 << 16
+MOST_RANGES = 1 << 12
 FOLDED_BYTES = 16 << 20
 POSITION = np.uint64((1 << 20) - 1)
 PIECE = BLOCK_BYTES - 4096
@@ -297,24 +299,31 @@ def separators(heads: list[bytes], ranges: int) -> list[bytes]:
     return out
 
 
-RUNS = "range int, shared binary, sizes binary, tails binary, meta binary"
+RUNS = "range int, sub int, below binary, above binary, shared binary, sizes binary, tails binary, meta binary"
+RUN_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 FOUND = "mark_a long, mark_b long, start long, stop long, digest binary, n long"
 
 
+def parted(cuts: list[bytes], below: bytes, above: bytes, entries: list[bytes]):
+    """Parts of sorted entries: (range, its separators below and above, first, end)."""
+    at = [bisect_right(cuts, x) for x in entries]
+    first = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
+    for s, e in zip(first, [*first[1:], len(entries)]):
+        yield at[s], cuts[at[s] - 1] if at[s] else below, cuts[at[s]] if at[s] < len(cuts) else above, s, e
+
+
+def run_batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), RUN_TYPES)], [x.split()[0] for x in RUNS.split(", ")])
+
+
 def sorted_runs(cuts: list[bytes]):
     """Task: cut the wanted entries out of the texts; sorted front-coded runs, parted by range."""
 
     def rows(found: list):
         found.sort(key=lambda x: x[0])
-        at = [bisect_right(cuts, x[0]) for x in found]
-        first = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
-        for s, e in zip(first, [*first[1:], len(found)]):
+        for at, below, above, s, e in parted(cuts, b"", b"", [x[0] for x in found]):
             shared, sizes, tails = front_coded([x[0] for x in found[s:e]])
-            yield [at[s], shared.tobytes(), sizes.tobytes(), tails, np.array([x[1:] for x in found[s:e]], np.int64).tobytes()]
-
-    def batch_of(found: list):
-        types = [pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows(found)), types)], [x.split()[0] for x in RUNS.split(", ")])
+            yield [at, 0, below, above, shared.tobytes(), sizes.tobytes(), tails, np.array([x[1:] for x in found[s:e]], np.int64).tobytes()]
 
     def run(batches):
         found: list = []
@@ -332,14 +341,54 @@ def sorted_runs(cuts: list[bytes]):
             for s, m, e, *meta in zip(start.tolist(), anchor.tolist(), stop.tolist(), a.tolist(), b.tolist(), shape.tolist()):
                 found.append((data[m:e].tobytes() + data[s:m].tobytes()[::-1], *meta))
                 if len(found) >= RUN:
-                    yield batch_of(found)
+                    yield run_batch(list(rows(found)))
                     found = []
         if found:
-            yield batch_of(found)
+            yield run_batch(list(rows(found)))
+
+    return run
+
+
+def ranged_heads(cuts: list[bytes]):
+    """Task: candidates for the sample with the range that they lie in."""
+
+    def run(batches):
+        for batch in batches:
+            heads = batch.column("head")
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, x.as_py()) for x in heads], pa.int32()), heads], ["range", "head"])
 
     return run
 
 
+def own_separators(table: pa.Table) -> pa.Table:
+    """Separators of one range, from its sample and its number of entries."""
+    cuts = separators(table.column("head").to_pylist(), parts_for(table.column("n")[0].as_py(), RANGE, 1))
+    return pa.table([table.column("range").slice(0, 1), pa.array([cuts], pa.list_(pa.binary()))], ["range", "cuts"])
+
+
+def cut_again(batches):
+    """Task: runs of a range parted by the range's own separators (``cuts``; none: as they are)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            known = np.frombuffer(row["shared"], np.uint16)
+            entries = decoded(known, np.frombuffer(row["sizes"], np.uint16), row["tails"])
+            meta, out = np.frombuffer(row["meta"], np.int64).reshape(-1, 3), []
+            for at, below, above, s, e in parted(row["cuts"] or [], row["below"], row["above"], entries):
+                shared, sizes, tails = front_coded(entries[s:e])
+                out.append([row["range"], at, below, above, shared.tobytes(), sizes.tobytes(), tails, meta[s:e].tobytes()])
+            yield run_batch(out)
+
+
+def finer(runs: DataFrame, heads: DataFrame, cuts: list[bytes]) -> DataFrame:
+    """``runs`` of ranges cut again, so that each part has about ``RANGE`` entries; ``heads`` is the sample."""
+    runs = stage(runs)
+    sizes = runs.groupBy("range").agg((F.sum(F.octet_length("shared")) / 2).cast("long").alias("n"))
+    sample = heads.mapInArrow(ranged_heads(cuts), "range int, head binary").join(sizes, "range")
+    own = sample.groupBy("range").applyInArrow(own_separators, "range int, cuts array<binary>")
+    return runs.join(stage(own), "range", "left").mapInArrow(cut_again, RUNS)
+
+
 def crossing(entries: list[bytes], below: bytes, above: bytes) -> np.ndarray:
     """How many bytes each sorted entry may share with entries beyond a separator; 0 for less than a seed."""
     out = np.zeros(len(entries), np.int64)
@@ -352,41 +401,36 @@ def crossing(entries: list[bytes], below: bytes, above: bytes) -> np.ndarray:
     return out
 
 
-def merge_range(cuts: list[bytes]):
-    """Task: combine the runs of a range; stretches' spans of repeated windows, and digests of windows that may occur beyond it."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        runs, shared, metas = [], [], []
-        for row in table.to_pylist():
-            known = np.frombuffer(row["shared"], np.uint16)
-            runs.append(decoded(known, np.frombuffer(row["sizes"], np.uint16), row["tails"]))
-            shared.append(known.tolist())
-            metas.append(np.frombuffer(row["meta"], np.int64).reshape(-1, 3))
-        order, prefixes = merged(runs, shared)
-        entries = [runs[r][i] for r, i in order]
-        begin = np.cumsum([0, *map(len, runs)])
-        meta = np.concatenate(metas)[[begin[r] + i for r, i in order]]
-        mark_a, mark_b, shape = meta.T
-        several, count, left = shape >> 20 == 1, (shape >> 10) & 1023, shape & 1023
-        hit = repeated_windows(np.array(prefixes, np.int64), entries, count, left, several)
-        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        entry, low = np.nonzero(edge == 1)
-        high = np.nonzero(edge == -1)[1] - 1
-        found = [mark_a[entry], mark_b[entry], left[entry] - high, left[entry] - low + LENGTH]
-        at = table.column("range")[0].as_py()
-        beyond = crossing(entries, cuts[at - 1] if at else b"", cuts[at] if at < len(cuts) else b"")
-        windows = []
-        for i in np.flatnonzero(beyond).tolist():
-            follow = reach(int(count[i]), int(left[i]))
-            for back in range(max(LENGTH - int(beyond[i]), int(left[i] - count[i]) + 1), int(left[i]) + 1):
-                text = entries[i][follow : follow + back][::-1] + entries[i][: LENGTH - back]
-                windows.append((int(mark_a[i]), int(mark_b[i]), int(left[i]) - back, int(left[i]) - back + LENGTH, hashlib.blake2b(text, digest_size=16).digest(), 1 + int(several[i])))
-        columns = list(zip(*windows)) or [[]] * 6
-        settled = [pa.array(x, pa.int64()) for x in found] + [pa.nulls(len(entry), pa.binary()), pa.nulls(len(entry), pa.int64())]
-        open_ = [pa.array(x, pa.binary() if k == 4 else pa.int64()) for k, x in enumerate(columns)]
-        return pa.table([pa.concat_arrays(x) for x in zip(settled, open_)], [x.split()[0] for x in FOUND.split(", ")])
-
-    return merge
+def merge_range(table: pa.Table) -> pa.Table:
+    """Combine the runs of a range; stretches' spans of repeated windows, and digests of windows that may occur beyond it."""
+    runs, shared, metas = [], [], []
+    for row in table.to_pylist():
+        known = np.frombuffer(row["shared"], np.uint16)
+        runs.append(decoded(known, np.frombuffer(row["sizes"], np.uint16), row["tails"]))
+        shared.append(known.tolist())
+        metas.append(np.frombuffer(row["meta"], np.int64).reshape(-1, 3))
+    order, prefixes = merged(runs, shared)
+    entries = [runs[r][i] for r, i in order]
+    begin = np.cumsum([0, *map(len, runs)])
+    meta = np.concatenate(metas)[[begin[r] + i for r, i in order]]
+    mark_a, mark_b, shape = meta.T
+    several, count, left = shape >> 20 == 1, (shape >> 10) & 1023, shape & 1023
+    hit = repeated_windows(np.array(prefixes, np.int64), entries, count, left, several)
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    entry, low = np.nonzero(edge == 1)
+    high = np.nonzero(edge == -1)[1] - 1
+    found = [mark_a[entry], mark_b[entry], left[entry] - high, left[entry] - low + LENGTH]
+    beyond = crossing(entries, *(table.column(c)[0].as_py() for c in ("below", "above")))
+    windows = []
+    for i in np.flatnonzero(beyond).tolist():
+        follow = reach(int(count[i]), int(left[i]))
+        for back in range(max(LENGTH - int(beyond[i]), int(left[i] - count[i]) + 1), int(left[i]) + 1):
+            text = entries[i][follow : follow + back][::-1] + entries[i][: LENGTH - back]
+            windows.append((int(mark_a[i]), int(mark_b[i]), int(left[i]) - back, int(left[i]) - back + LENGTH, hashlib.blake2b(text, digest_size=16).digest(), 1 + int(several[i])))
+    columns = list(zip(*windows)) or [[]] * 6
+    settled = [pa.array(x, pa.int64()) for x in found] + [pa.nulls(len(entry), pa.binary()), pa.nulls(len(entry), pa.int64())]
+    open_ = [pa.array(x, pa.binary() if k == 4 else pa.int64()) for k, x in enumerate(columns)]
+    return pa.table([pa.concat_arrays(x) for x in zip(settled, open_)], [x.split()[0] for x in FOUND.split(", ")])
 
 
 def removed_spans(rows: DataFrame) -> DataFrame:
@@ -400,14 +444,23 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     mark = ["mark_a", "mark_b"]
     entries = stage(found.groupBy(*mark).agg(F.sum("n").alias("n"), F.min(F.struct("row_id", "place")).alias("one"), F.max("head").alias("head")))
     total = entries.count()
-    ranges = min(MOST_RANGES, parts_for(total, RANGE, 1))
-    sparse = max(1, total // SAMPLED // SAMPLE)
-    heads = entries.filter("head is not null").filter(F.pmod(F.xxhash64(*mark), F.lit(sparse)) == 0).select("head").collect() if ranges > 1 else []  # about SAMPLE at most
+    every = parts_for(total, RANGE, 1)
+    ranges = min(MOST_RANGES, every)
+
+    def sample(share: int) -> DataFrame:
+        """About ``SAMPLE`` candidates of each ``share``-th part of the entries."""
+        sparse = max(1, total // share // SAMPLED // SAMPLE)
+        return entries.filter("head is not null").filter(F.pmod(F.xxhash64(*mark), F.lit(sparse)) == 0).select("head")
+
+    heads = sample(1).collect() if ranges > 1 else []
     cuts = separators([bytes(r.head) for r in heads], ranges)
     want = F.struct(F.col("one.place").alias("place"), *mark, (F.col("n") > 1).cast("long").alias("several"))
     wanted = entries.groupBy(F.col("one.row_id").alias("row_id")).agg(F.collect_list(want).alias("wanted"))
     runs = texts.join(wanted, "row_id").select("text", "wanted").mapInArrow(sorted_runs(cuts), RUNS)
-    merged_ = stage(runs.repartition(len(cuts) + 1, "range").groupBy("range").applyInArrow(merge_range(cuts), FOUND))
+    if every > ranges:
+        runs = finer(runs, sample(ranges), cuts)
+    # A range is a task, but for very many.
+    merged_ = stage(runs.repartition(max(len(cuts) + 1, min(every, 1 << 16)), "range", "sub").groupBy("range", "sub").applyInArrow(merge_range, FOUND))
     windows = merged_.filter("digest is not null")
     again = windows.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
     seam = windows.join(again, "digest", "left_semi").select(*mark, "start", "stop", F.lit("seam").alias("way"))

@@ -42,10 +42,10 @@ def run(spark, texts, ids=None):
     return docs, sd.deduplicated(docs).collect()
 
 
-@pytest.mark.parametrize("range_, run_", [(60_000, 50_000), (40, 30), (3, 11)])
-def test_matches_brute_force(spark, words, monkeypatch, range_, run_):
-    """One range; ranges of whole seeds; ranges that cut through seeds."""
-    for name, value in (("RANGE", range_), ("RUN", run_), ("SAMPLED", 1)):
+@pytest.mark.parametrize("range_, run_, most", [(60_000, 50_000, 4096), (40, 30, 4096), (3, 11, 4096), (40, 30, 2), (3, 11, 3)])
+def test_matches_brute_force(spark, words, monkeypatch, range_, run_, most):
+    """One range; ranges of whole seeds; ranges that cut through seeds; both also in two levels."""
+    for name, value in (("RANGE", range_), ("RUN", run_), ("SAMPLED", 1), ("MOST_RANGES", most)):
         monkeypatch.setattr(sd, name, value)
     texts = corpus(words)
     docs, got = run(spark, texts)
@@ -64,6 +64,25 @@ def test_most_spans_come_from_the_merge(spark):
     assert ways["merge"] > 0.5 * sum(ways.values()) and not ways["seam"]
 
 
+def test_two_levels_part_a_range(monkeypatch):
+    monkeypatch.setattr(sd, "RANGE", 10)
+    r = random.Random(2)
+    entries = sorted(bytes(r.randrange(256) for _ in range(50)) for _ in range(100))
+    known, sizes, tails = sd.front_coded(entries)
+    import pyarrow as pa
+
+    (cuts,) = sd.own_separators(pa.table([pa.array([4] * 100, pa.int32()), pa.array(entries), pa.array([100] * 100)], ["range", "head", "n"])).column("cuts").to_pylist()
+    assert len(cuts) == 9
+    meta = b"".join((i).to_bytes(8, "little") * 3 for i in range(100))
+    row = pa.RecordBatch.from_pylist([{"range": 4, "sub": 0, "below": b"b", "above": b"a", "shared": known.tobytes(), "sizes": sizes.tobytes(), "tails": tails, "meta": meta, "cuts": cuts}])
+    (out,) = (b.to_pylist() for b in sd.cut_again([row]))
+    import numpy as np
+
+    assert [x for part in out for x in sd.decoded(*(np.frombuffer(part[c], np.uint16) for c in ("shared", "sizes")), part["tails"])] == entries
+    assert b"".join(p["meta"] for p in out) == meta and [p["sub"] for p in out] == list(range(10))
+    assert [(p["below"], p["above"]) for p in out] == list(zip([b"b", *cuts], [*cuts, b"a"]))
+
+
 def test_separators_keep_seeds_whole_while_they_can():
     r = random.Random(4)
     heads = [bytes([r.randrange(3)]) * sd.SEED + bytes(r.randrange(256) for _ in range(40)) for _ in range(300)]
