@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .tokens import text_blocks
 
 TOP = 400
+#: Bits of a number that holds a group and a gram.
+KEY_BITS = 63
 UNKNOWN = "und"
 
 
@@ -52,16 +54,20 @@ def gram_counts(texts: list[str], groups: np.ndarray):
     one, two, three = symbol > 1, (symbol[:-1] > 1) | (symbol[1:] > 1), b > 1
     codes = np.concatenate((symbol[one], ((symbol[:-1] << bits) | symbol[1:])[two], ((a << 2 * bits) | (b << bits) | c)[three]))
     owner = np.concatenate((group[one], group[:-1][two], group[:-2][three]))
-    keys = np.sort((owner << 3 * bits) | codes)
-    if not len(keys):
+    if not len(codes):
         return none, none, none
-    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    count = np.diff(np.concatenate((new, [len(keys)])))
-    keys = keys[new]
-    part = keys & ((1 << 3 * bits) - 1)
+    if int(owner.max()).bit_length() + 3 * bits <= KEY_BITS:
+        keys = np.sort((owner << 3 * bits) | codes)
+        owner, codes = keys >> 3 * bits, keys & ((1 << 3 * bits) - 1)
+    else:  # so many different letters and groups that both don't fit one number
+        order = np.lexsort((codes, owner))
+        owner, codes = owner[order], codes[order]
+    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1]))))
+    count = np.diff(np.concatenate((new, [len(codes)])))
+    owner, part = owner[new], codes[new]
     mask = (1 << bits) - 1
     gram = (values[part >> 2 * bits] << 42) | (values[(part >> bits) & mask] << 21) | values[part & mask]
-    return keys >> 3 * bits, gram, count
+    return owner, gram, count
 
 
 def ranked(group: np.ndarray, gram: np.ndarray, count: np.ndarray, top: int):
