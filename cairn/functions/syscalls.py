@@ -1,6 +1,6 @@
 """Recorded ``/proc/<pid>/syscall`` lines as short texts."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What is said of a call. Numbers in braces are arguments: plain unsigned, ``i`` signed, ``x`` hexadecimal;
@@ -37,39 +37,39 @@ def number(word: Column) -> Column:
     return F.when(fits, plain).otherwise(F.coalesce(F.conv(hex_digits(word), 16, 10), F.lit(LARGEST)))
 
 
-def filled(form: str, words: Column) -> Column:
-    """A form with its arguments put in."""
+def filled(form: str) -> Column:
+    """A form with its arguments, from columns ``_a0`` and so on, put in."""
     parts = []
     for i, text in enumerate(form.replace("}", "{").split("{")):
         if i % 2 == 0:
             parts.append(F.lit(text))
             continue
-        digits = argument(words, int(text[0]))
-        kind = text[1:]
+        digits, kind = F.col(f"_a{text[0]}"), text[1:]
         parts.append(F.lower(digits) if kind == "x" else F.conv(digits, 16, -10 if kind == "i" else 10))
     return F.concat(*parts)
 
 
-def argument(words: Column, n: int) -> Column:
-    """Hexadecimal digits of an argument; nought where there is none."""
-    return F.coalesce(hex_digits(F.get(words, n + 1)), F.lit("0"))
-
-
-def holds(when: str, words: Column) -> Column:
-    digits = argument(words, int(when[1]))
+def holds(when: str) -> Column:
+    digits = F.col(f"_a{when[1]}")
     # Below nought: all 16 digits, the first of them 8 or more.
     return (F.length(digits) == 16) & (F.substring(digits, 1, 1) >= "8") if when[0] == "<" else digits == "0"
 
 
-def decoded(raw: Column) -> Column:
-    """What a line says: the call with its telling arguments, ``syscall#N`` for others, ``running`` for none; null is none too."""
-    raw = F.coalesce(raw, F.lit(""))
-    words = F.filter(F.split(raw, r"[ \t\n\f\r]+"), lambda w: w != "")
-    nr = number(F.get(words, 0))
-    out = F.concat(F.lit("syscall#"), nr)
+def with_decoded(rows: DataFrame, line: str, name: str) -> DataFrame:
+    """``rows`` with what a recorded line says: the call with its telling arguments, ``syscall#N`` for others, ``running`` for none; null is none too.
+
+    Words, number and arguments are columns of their own for a while, so each
+    is worked out once a row, not once a form. An argument that is missing or
+    no number of 64 bits is nought.
+    """
+    kept = rows.columns
+    raw = F.coalesce(F.col(line), F.lit(""))
+    rows = rows.withColumn("_raw", raw).withColumn("_words", F.filter(F.split("_raw", r"[ \t\n\f\r]+"), lambda w: w != ""))
+    digits = {f"_a{n}": F.coalesce(hex_digits(F.get("_words", F.lit(n + 1))), F.lit("0")) for n in range(5)}
+    rows = rows.withColumns({"_nr": number(F.get("_words", F.lit(0))), **digits})
+    out = F.concat(F.lit("syscall#"), F.col("_nr"))
     for call, (form, *other) in FORMS.items():
-        said = filled(form, words)
-        if other:
-            said = F.when(holds(other[1], words), filled(other[0], words)).otherwise(said)
-        out = F.when(nr == str(call), said).otherwise(out)
-    return F.when(raw.isin("", "running"), F.lit("running")).when(F.size(words) == 0, raw).otherwise(out)
+        said = F.when(holds(other[1]), filled(other[0])).otherwise(filled(form)) if other else filled(form)
+        out = F.when(F.col("_nr") == str(call), said).otherwise(out)
+    said = F.when(F.col("_raw").isin("", "running"), F.lit("running")).when(F.size("_words") == 0, F.col("_raw")).otherwise(out)
+    return rows.withColumn(name, said).select(*kept, name)

@@ -250,7 +250,7 @@ def src_pm_detect(spark, sf_dir):
         ELSE 'syscall#' || (v + 500) END AS result FROM {sql('syscall_line')}""",
 )
 def fn_decode_syscall(spark, sf_dir):
-    return table(spark, sf_dir, "syscall_line").select("seq", syscalls.decoded(F.col("line")).alias("result"))
+    return syscalls.with_decoded(table(spark, sf_dir, "syscall_line"), "line", "result").select("seq", "result")
 
 
 STALLS = f"""WITH w AS (SELECT session, epoch_ms(ts) AS ms, pid, kind FROM {sql('watched')}),

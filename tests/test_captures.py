@@ -22,7 +22,7 @@ LINES = {
 
 def test_syscall_lines(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate([*LINES, None])], "i int, x string")
-    got = [r[0] for r in rows.orderBy("i").select(syscalls.decoded(F.col("x"))).collect()]
+    got = [r.said for r in syscalls.with_decoded(rows, "x", "said").orderBy("i").collect()]
     # "3d" is no decimal number, so it is read as a hexadecimal one: 61, which is a call with a form.
     want = LINES | {"3d": "wait4(pid=0)"}
     assert dict(zip(LINES, got)) == want and got[-1] == "running"
