@@ -205,12 +205,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
 def read_rows(bases: dict):
     def run(batches):
         for batch in batches:
-            for part, start, own, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "part_start", "doc_ids", "sizes", "payload"))):
-                ids = WaveletMatrix.from_bytes(payload).all().astype("<u4")
+            for i in range(batch.num_rows):  # one file's ids at a time, its payload as it lies in the batch
+                part, start, own, sizes, payload = (batch.column(c)[i] for c in ("part", "part_start", "doc_ids", "sizes", "payload"))
+                ids = WaveletMatrix.from_bytes(memoryview(payload.as_buffer())).all().astype("<u4")
+                sizes = sizes.values.to_numpy()
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
                 crc = [zlib.crc32(ids[a:b].data) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(x, pa.int64()) for x in (starts + bases[part] + start, sizes, crc))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([own.values, *(pa.array(x, pa.int64()) for x in (starts + bases[part.as_py()] + start.as_py(), sizes, crc))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
