@@ -69,12 +69,12 @@ def once(rows: str) -> str:
 
 
 DETECTED = once(f"SELECT * FROM ({union()}) WHERE NOT is_dev")
-LOCKS = ("cargo_lock", "package_lock", "package_lock_v1", "yarn_lock", "pipfile_lock", "poetry_lock", "requirements", "go_sum")
 
 
 def locks(spark, sf_dir, *names):
+    """Lock files of these bundle tables, or all."""
     out = None
-    for name in names or LOCKS:
+    for name in names or ["lock_files"]:
         part = table(spark, sf_dir, name)
         out = part if out is None else out.unionByName(part)
     return out

@@ -200,6 +200,9 @@ FILES = {
                     ELSE unhex(rpad(concat(repeat('AA', CAST(CASE WHEN user_id % 5 = 3 THEN 16 ELSE 24 + user_id % 5 END AS INT)), """ + little("event_id") + """, '01000000'), 200, '00')) END AS whole FROM {events})""",
     "proc_status": "SELECT DISTINCT 1000 + user_id AS pid, CASE WHEN user_id % 4 = 0 THEN 'Name: x' ELSE concat('Name: x\\nPPid:\\t', 1 + user_id % 7, '\\nTracerPid: 3') END AS status FROM {events}",
 }
+#: All lock files of a project, as one table.
+LOCKS = ("cargo_lock", "package_lock", "package_lock_v1", "yarn_lock", "pipfile_lock", "poetry_lock", "requirements", "go_sum")
+FILES["lock_files"] = " UNION ALL ".join(f"SELECT rel_path, content FROM ({FILES[name]}) AS {name}" for name in LOCKS)
 GIVEN = ("events", "part", "supplier", "region", "nation")
 _STAGED: dict = {}
 
