@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import links, report, trace
-from cairn.sources import files, lockfiles
+from cairn.sources import files
 
 
 def tree(root, seed):
@@ -107,13 +107,21 @@ def test_only_wanted_files_are_opened(spark, project):
     root, texts = project
     chosen = files.hashes(spark, root, F.col("rel_path").rlike("[.](h|bin)$"))
     assert {r.rel_path for r in chosen.collect()} == {"sub dir/b+c%20.h", "big.bin"}
-    found = files.lock_files(spark, root)
-    assert {r.rel_path: r.content for r in found.collect()} == {"go.sum": "m v1 h1:x\n", "a/b/c/d/e/go.sum": "deep", "x/Cargo.lock": None}
-    scan = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x or "numFiles" in x]
-    assert scan
-    metrics = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics()
-    assert metrics.get("numFiles").get().value() == 3
-    assert [(r.name, r.version) for r in lockfiles.go_sum(lockfiles.lines(found.filter("endswith(rel_path, 'go.sum')"))).collect()] == [("m", "v1")]
+    metrics = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "file_path" in metrics
+
+
+def test_walk(spark, project, tmp_path):
+    root, texts = project
+    for path in ("_deps/go.sum", ".hidden/go.sum", "empty/yarn.lock", "vendor/x/go.sum"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("" if path.startswith("empty") else "n v2 h1:y\n")
+    os.symlink("_deps", f"{root}/again")
+    every = {r.rel_path: r.length for r in files.walk(spark, root, 9, ()).collect()}
+    assert every == {p: len(t) for p, t in texts.items()} | {"_deps/go.sum": 10, ".hidden/go.sum": 10, "empty/yarn.lock": 0, "vendor/x/go.sum": 10, "again/go.sum": 10, ".damaged.a.crc": 12}
+    found = {r.rel_path: r.content for r in files.lock_files(spark, f"file://{root}").collect()}
+    assert found == {"go.sum": "m v1 h1:x\n", "a/b/c/d/e/go.sum": "deep", "x/Cargo.lock": None, "_deps/go.sum": "n v2 h1:y\n", ".hidden/go.sum": "n v2 h1:y\n", "again/go.sum": "n v2 h1:y\n", "empty/yarn.lock": ""}
+    assert files.walk(spark, f"{root}/nowhere").count() == 0
 
 
 COMPONENT = "name string, version string, arch string, src_name string, hash string, purl string, vcs_url string, path string, type string"
