@@ -1,21 +1,21 @@
 """Streaming ingest of a trace: a file source, drained and then stopped."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.sources.store import shared_folder
+from cairn.sources.store import new_folder
 
 
-def drained(spark: SparkSession, path: str, pids, schema: str) -> DataFrame:
+def drained(spark: SparkSession, path: str, pids, schema: str, files_a_batch: int | None = None) -> DataFrame:
     """What a stateful stream over the Parquet files of a folder gives once all that was there is read.
 
     ``pids`` turns the stream into rows; the stream ends by itself, and only
     then its output is read, so that nothing seen before the end is missed.
+    ``files_a_batch`` bounds a batch; files come in the order of their times.
     """
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    folder = new_folder(spark, "stream")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet")
+    rows = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
     run = pids(rows).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     run.awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/out")

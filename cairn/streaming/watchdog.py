@@ -19,8 +19,9 @@ def stalls(events: DataFrame, silence: float = SILENCE, delay: str = "0 seconds"
     is told once: by the next event, or by the timer that the session's last
     event set, when the watermark passes it. Of events at one time an exit is
     the last. Events of a session must come in the order of their times from
-    one batch to the next (``delay`` lets the watermark wait); a batch's events
-    of a session are sorted in its task.
+    one batch to the next: what isn't later than the watermark comes too late and
+    is left out, as in any such stream (``delay`` lets the watermark wait). A
+    batch's events of a session are sorted in its task.
     """
     micros = int(silence * 1_000_000)
 

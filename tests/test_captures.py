@@ -165,9 +165,14 @@ def test_stalls(spark, tmp_path):
         rows.append((rng.randrange(3), at, rng.randrange(6), rng.choice(["fork", "open", "exit"])))
     table = spark.createDataFrame(rows, "session long, second long, pid long, kind string").select("session", F.timestamp_seconds("second").alias("ts"), "pid", "kind")
     table.coalesce(1).write.parquet(str(tmp_path / "trace"))
-    (tmp_path / "trace2").mkdir()
-    got = ingest.drained(spark, str(tmp_path / "trace"), watchdog.stalls, watchdog.STALL)
-    assert sorted((r.session, r.since, r.alive) for r in got.select("session", F.unix_seconds("since").alias("since"), "alive").collect()) == silences(rows)
+    shown = lambda got: sorted((r.session, r.since, r.alive) for r in got.select("session", F.unix_seconds("since").alias("since"), "alive").collect())
+    assert shown(ingest.drained(spark, str(tmp_path / "trace"), watchdog.stalls, watchdog.STALL)) == silences(rows)
+    # The same in batches: state goes on, and timers tell the silences of sessions that have nothing in a batch.
+    times = sorted({r[1] for r in rows})
+    for k in range(4):
+        low, high = times[k * len(times) // 4], times[min((k + 1) * len(times) // 4, len(times) - 1)] if k < 3 else 1 << 40
+        table.filter(F.unix_seconds("ts").between(low, high - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "parts"))
+    assert shown(ingest.drained(spark, str(tmp_path / "parts"), watchdog.stalls, watchdog.STALL, 1)) == silences(rows)
 
 
 def test_a_stream_reads_its_own_folder_only(spark, tmp_path):
