@@ -161,14 +161,14 @@ def flat_trace(spark, sf_dir):
         rows = table(spark, sf_dir, "raw_event").filter(F.length("record") == packages.RECORD)
         torn = spark.range(1).select(F.lit(1 << 60).alias("seq"), F.unhex(F.repeat(F.lit("EE"), F.lit(100))).alias("record"))
         _FLAT[key] = new_folder(spark, "flat")
-        tracefile.write_flat(rows.unionByName(torn).repartitionByRange(3, "seq").sortWithinPartitions("seq"), _FLAT[key], "seq")
+        tracefile.write_flat(rows.unionByName(torn).repartitionByRange("seq").sortWithinPartitions("seq"), _FLAT[key], "seq")
     return _FLAT[key]
 
 
 @query("src_ring_drain_files", f"SELECT seq, pid, raw_path FROM ({EVENTS}) WHERE NOT is_fork AND raw_path <> ''")
 def src_ring_drain_files(spark, sf_dir):
-    """Opens of flat binary files, each read by several tasks; numbers come from the files' first ones and the places in them."""
-    rows = tracefile.records(spark, flat_trace(spark, sf_dir), split=packages.RECORD * 500)
+    """Opens of flat binary files, long ones read by several tasks; numbers come from the files' first ones and the places in them."""
+    rows = tracefile.records(spark, flat_trace(spark, sf_dir))
     first = F.regexp_extract("path", r"([0-9]+)\.bin\z", 1).cast("long")
     # Records that a recorder had cut short aren't in flat files: one number in fifty is missing.
     rank = F.floor(first / 50) * 49 + first % 50 - F.when(first % 50 > 7, 1).otherwise(0) + F.col("at")
@@ -180,10 +180,8 @@ WANTED = [("fork", "parent_pid", 24, 4, 1), ("fork", "child_pid", 32, 4, 1), ("o
 
 
 def tp_layout(spark, sf_dir):
-    fields = spark.createDataFrame(WANTED, "event string, field string, offset int, size int, signed int")
-    hosts = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("host"))
-    # Five hosts and three fields, each with each.
-    wanted = hosts.join(F.broadcast(fields), F.col("event").isNotNull())
+    fields = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("event", "field", "offset", "size", "signed"), row)]) for row in WANTED])
+    wanted = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("host"), F.inline(fields))
     return layouts.layout(table(spark, sf_dir, "tp_format"), wanted)
 
 
