@@ -157,16 +157,20 @@ def semi_exists(spark, sf_dir):
     return unique_paths(spark, sf_dir).join(file_table(spark, sf_dir).select("path"), "path", "left_semi")
 
 
-@query("src_file_hash", f"SELECT path, coalesce('sha256:' || sha256(content), 'sha256:error') AS hash FROM ({FILE_TABLE}) WHERE regexp_matches(path, '\\.[^/]*\\z')")
+@query("src_file_hash", f"SELECT path, coalesce('sha256:' || sha256(content), 'sha256:error') AS hash FROM ({FILE_TABLE})")
 def src_file_hash(spark, sf_dir):
-    """Hashes of a folder of files (those with a dot in their names; others are folders); damaged ones can't be read."""
-    rows = file_table(spark, sf_dir).filter(F.col("path").rlike(r"\.[^/]*\z")).select(F.regexp_replace("path", "^/", "").alias("rel_path"), "content", F.col("path").startswith("/").alias("rooted"))
-    folders = []
-    for rooted in (True, False):
-        root = new_folder(spark, "files")
-        real_files.written(rows.filter(F.col("rooted") == rooted), root)
-        folders.append(real_files.hashes(spark, root).select(F.concat(F.lit("/" if rooted else ""), F.col("rel_path")).alias("path"), "hash"))
-    return folders[0].unionByName(folders[1])
+    """Hashes of real files, one for each path; those that can't be read give an error.
+
+    Folders are written with a ``=`` behind their names and files with a ``-``,
+    so that a path may be a file and also lead to others.
+    """
+    root = new_folder(spark, "files")
+    rows = file_table(spark, sf_dir).select(F.concat(F.replace("path", F.lit("/"), F.lit("=/")), F.lit("-")).alias("rel_path"), "content")
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // 5000)), "rel_path")
+    real_files.written(rows, root)
+    found = real_files.hashed(rows.select(F.concat(F.lit(f"{root}/"), "rel_path").alias("path")))
+    stored = F.expr(f"substring(path, {len(root) + 2}, length(path) - {len(root) + 2})")
+    return found.select(F.replace(stored, F.lit("=/"), F.lit("/")).alias("path"), "hash")
 
 
 @query("flt_orch_switch", UNIQUE.replace(f" AND NOT {s_orchestrator('comm')}", ""))

@@ -173,26 +173,20 @@ def hashes(spark: SparkSession, root: str, wanted: Column | None = None, whole:
 
 
 def written(files: DataFrame, root: str) -> None:
-    """Write ``files`` (rel_path, content) as real files below ``root``, by the tasks that hold them; a null content leaves a file that can't be read.
+    """Write ``files`` (rel_path, content) as real files below ``root``, by the tasks that hold them; a null content leaves what can't be read.
 
-    The latter has a checksum file beside it that doesn't fit, which is what a
-    damaged file looks like to a checked file system.
+    The latter is a folder in the file's place, which no store opens as a file.
     """
 
     def run(batches):
-        from pyarrow import fs
-
+        store, base = opened(root)
         for batch in batches:
-            store, base = opened(root)
             for rel_path, content in zip(batch.column("rel_path").to_pylist(), batch.column("content").to_pylist()):
                 path = f"{base}/{rel_path}"
-                folder, _, name = path.rpartition("/")
-                store.create_dir(folder, recursive=True)
-                with store.open_output_stream(path) as file:
-                    file.write(b"damaged" if content is None else content.encode())
-                if content is None and isinstance(store, fs.LocalFileSystem):
-                    with store.open_output_stream(f"{folder}/.{name}.crc") as file:
-                        file.write(b"crc\0" + (512).to_bytes(4, "big") + bytes(4))
+                store.create_dir(path if content is None else path.rpartition("/")[0], recursive=True)
+                if content is not None:
+                    with store.open_output_stream(path) as file:
+                        file.write(content.encode())
         yield from ()
 
     files.select("rel_path", "content").mapInArrow(run, "done boolean").collect()
