@@ -1,9 +1,11 @@
 """Shared helpers: staged tables, Arrow text as bytes, vectorised hashing.
 
-Task code works on blocks of about a megabyte of UTF-8, so memory follows the
-block (or the longest single text), never the Arrow batch.
+Task code works on blocks of a quarter of a megabyte of UTF-8, so memory follows
+the block (or the longest single text), beside the Arrow batch itself.
 """
 
+import ctypes
+import sys
 import uuid
 
 import numpy as np
@@ -12,7 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Where a worker keeps what tasks of one stage share.
+ENCODERS = "cairn_worker_encoders"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,10 +66,26 @@ def filtered_rows(docs: DataFrame, row_ids: DataFrame, how: str) -> DataFrame:
     return packed.join(row_ids.select("row_id"), "row_id", how).select("row.*")
 
 
-def released(batches):
-    """The batches of a task; the memory that Arrow keeps after them goes back, as workers outlive tasks and stages."""
-    yield from batches
+def trim():
+    """Give back the free memory that Arrow and the C library keep."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def released(batches, encoders: bool = False):
+    """The batches of a task; free memory goes back before and after them, as workers outlive tasks and stages.
+
+    Tokenizers that earlier stages left in the worker go too, but for tasks
+    that use ``encoders``.
+    """
+    if not encoders:
+        sys.modules.pop(ENCODERS, None)
+    trim()
+    yield from batches
+    trim()
 
 
 def parts_for(rows: int, per_part: int, least: int = 8) -> int:

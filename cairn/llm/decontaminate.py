@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, lower_ascii, numbered, row_blocks, stage, utf8_of, word_bytes, words_in
+from .common import WordHash, lower_ascii, numbered, released, row_blocks, stage, utf8_of, word_bytes, words_in
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -148,7 +148,7 @@ def longest(test: TestWindows, word: np.ndarray, which: np.ndarray, row: np.ndar
 def finder(windows):
     def run(batches):
         test = TestWindows.of(windows.value)
-        for batch in batches:
+        for batch in released(batches):
             data, offsets = utf8_of(batch.column("text"))
             for a, b in row_blocks(offsets):
                 hashes, row = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_long, lower_ascii, mix, numbered, parts_for, row_blocks, stage, utf8_of, word_bytes, words_in
+from .common import WordHash, as_long, lower_ascii, mix, numbered, parts_for, released, row_blocks, stage, utf8_of, word_bytes, words_in
 from .components import components
 
 WORDS = 5
@@ -102,7 +102,7 @@ def minhashes(shingle: np.ndarray, first: np.ndarray, rows: int) -> np.ndarray:
 
 def set_rows(batches):
     names = [x.split()[0] for x in SETS.split(", ")]
-    for batch in batches:
+    for batch in released(batches):
         data, offsets = utf8_of(batch.column("text"))
         for a, b in row_blocks(offsets):
             row, shingle = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -140,7 +140,7 @@ def leaf_rows(runs: range):
     """Task: the leaves of each set in these runs."""
 
     def run_all(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
             tokens = token_table(batch.column("tokens"))
             for run in runs:
@@ -153,7 +153,7 @@ def leaf_rows(runs: range):
 
 
 def split_again(batches):
-    for batch in batches:
+    for batch in released(batches):
         ids, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
         node = batch.column("leaf").to_numpy().view(np.uint64)
         node, row = children(node, np.arange(len(ids)), token_table(batch.column("tokens")))
@@ -196,7 +196,7 @@ def brute_force(batches):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "leaf", "id"])
 
     held = None
-    for batch in batches:
+    for batch in released(batches):
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
         leaf, block = held.column("leaf").to_numpy(), held.column("block").to_numpy()
@@ -269,7 +269,7 @@ def compare_pairs(batches):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     held = None
-    for batch in batches:
+    for batch in released(batches):
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
         keys = [held.column(c).to_numpy() for c in ("leaf", "g1", "b1", "g2", "b2")]
@@ -399,7 +399,7 @@ def in_groups(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         held = None
-        for batch in batches:
+        for batch in released(batches):
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             held = held.combine_chunks()

@@ -32,7 +32,7 @@ TERMS = WORD_TERMS + GRAM_TERMS + MARKS
 ACCEPT = 0.3
 SHARPNESS = 4
 #: A block of texts has so many bytes and rows at most (one row: more bytes).
-BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 1000
+BLOCK_BYTES, BLOCK_ROWS = 1 << 18, 250
 COLUMNS = "doc_id long, held_out boolean, score double, predicted int"
 
 

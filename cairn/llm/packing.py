@@ -135,7 +135,7 @@ def packer(tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool
     def run(batches):
         words, levels = encoder(tokenizer), Levels(window)
         sequence = TaskContext.get().partitionId() << 36
-        for batch in released(batches):
+        for batch in released(batches, encoders=True):
             at = 0
             for texts in column_blocks(batch.column("text")):
                 ids, offsets = words.encode(texts, end)

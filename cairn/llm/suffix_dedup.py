@@ -26,8 +26,8 @@ anchor form a *stretch*.
    aggregation.
 
 All ways are exact and complete. Nulls count as empty texts; texts under
-LENGTH bytes keep all; a very long text is read in overlapping pieces of a
-megabyte; repeated rows are further places, so copies of LENGTH bytes and more
+LENGTH bytes keep all; a very long text is read in overlapping pieces of
+``PIECE`` bytes; repeated rows are further places, so copies of LENGTH bytes and more
 are removed in each; an empty table gives no rows. Other columns of the input
 are ignored. Ranges are ``RANGE`` entries each. Separators travel with tasks, so
 if there would be more than ``MOST_RANGES`` ranges, runs are cut into so many
@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, SpanHash, as_long, numbered, parts_for, row_blocks, stage, utf8_of
+from .common import BLOCK_BYTES, SpanHash, as_long, numbered, parts_for, released, row_blocks, stage, utf8_of
 
 LENGTH = 200
 SEED = 32
@@ -106,7 +106,7 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray):
 
 
 def seed_counts(batches):
-    for batch in batches:
+    for batch in released(batches):
         data, offsets = utf8_of(batch.column("text"))
         for _, _, part, rows in pieces_of(data, offsets):
             seed, n = np.unique(stretches(part, rows)[3], return_counts=True)
@@ -152,7 +152,7 @@ def folded(held: list) -> pa.RecordBatch:
 
 
 def mark_rows(batches):
-    for batch in batches:
+    for batch in released(batches):
         ids = batch.column("row_id").to_numpy(zero_copy_only=False)
         data, offsets = utf8_of(batch.column("text"))
         held, size = [], 0
@@ -327,7 +327,7 @@ def sorted_runs(cuts: list[bytes]):
 
     def run(batches):
         found: list = []
-        for batch in batches:
+        for batch in released(batches):
             data, offsets = utf8_of(batch.column("text"))
             wanted = batch.column("wanted")
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
@@ -353,7 +353,7 @@ def ranged_heads(cuts: list[bytes]):
     """Task: candidates for the sample with the range that they lie in."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             heads = batch.column("head")
             yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, x.as_py()) for x in heads], pa.int32()), heads], ["range", "head"])
 
@@ -368,7 +368,7 @@ def own_separators(table: pa.Table) -> pa.Table:
 
 def cut_again(batches):
     """Task: runs of a range parted by the range's own separators (``cuts``; none: as they are)."""
-    for batch in batches:
+    for batch in released(batches):
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             known = np.frombuffer(row["shared"], np.uint16)
@@ -482,9 +482,9 @@ def merged_spans(spans: list) -> list[tuple[int, int]]:
 
 def keep_rest(batches):
     names = ["row_id", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-    for batch in batches:
+    for batch in released(batches):
         data, offsets = utf8_of(batch.column("text"))
-        for a, b in row_blocks(offsets, 8 * BLOCK_BYTES):
+        for a, b in row_blocks(offsets, 32 * BLOCK_BYTES):
             spans_of = batch.column("spans").slice(a, b - a).to_pylist()
             size, removed, n, kept = [], [], [], []
             for i, spans in zip(range(a, b), spans_of):

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import row_blocks, utf8_of
+from .common import ENCODERS, row_blocks, utf8_of
 
 END = 2
 #: Stops after a letter are a word of their own to the tokenizer, so they may stand apart. Other letters than these
@@ -134,7 +134,7 @@ def encoder(path: str) -> ChunkEncoder:
     import types
 
     # Functions come to a worker anew with each task, so what stays is kept in a module of its own there.
-    held = sys.modules.setdefault("cairn_worker_encoders", types.ModuleType("cairn_worker_encoders")).__dict__
+    held = sys.modules.setdefault(ENCODERS, types.ModuleType(ENCODERS)).__dict__
     if path not in held:
         held[path] = ChunkEncoder(path)
     return held[path]
