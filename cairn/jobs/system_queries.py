@@ -262,10 +262,14 @@ def stalled(spark, sf_dir):
     return rows.select("session", F.unix_millis("since").alias("since_ms"), "n_alive", "alive")
 
 
+def told(spark, sf_dir):
+    return ingest.drained(spark, folder(spark, sf_dir, "watched"), watchdog.told, watchdog.TOLD)
+
+
 @query("st_watchdog", f"SELECT session, since_ms, count_if(alive) AS n_alive, coalesce(string_agg(pid, ',' ORDER BY pid) FILTER (alive), '') AS alive FROM ({STALLS}) GROUP BY session, since_ms")
 def st_watchdog(spark, sf_dir):
     """Silences of ten seconds and more, with the processes alive in them."""
-    return stalled(spark, sf_dir).withColumn("alive", F.array_join(F.transform("alive", lambda x: x.cast("string")), ","))
+    return watchdog.texts(told(spark, sf_dir))
 
 
 @query("sort_alive_pids", f"SELECT session, since_ms, CAST(row_number() OVER (PARTITION BY session, since_ms ORDER BY pid) AS INTEGER) AS place, pid FROM ({STALLS}) WHERE alive")
