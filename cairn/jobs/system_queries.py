@@ -257,11 +257,6 @@ STALLS = f"""WITH w AS (SELECT session, epoch_ms(ts) AS ms, pid, kind FROM {sql(
     SELECT session, since_ms, pid, kind <> 'exit' AS alive FROM states"""
 
 
-def stalled(spark, sf_dir):
-    rows = ingest.drained(spark, folder(spark, sf_dir, "watched"), watchdog.stalls, watchdog.STALL)
-    return rows.select("session", F.unix_millis("since").alias("since_ms"), "n_alive", "alive")
-
-
 def told(spark, sf_dir):
     return ingest.drained(spark, folder(spark, sf_dir, "watched"), watchdog.told, watchdog.TOLD)
 
@@ -275,7 +270,7 @@ def st_watchdog(spark, sf_dir):
 @query("sort_alive_pids", f"SELECT session, since_ms, CAST(row_number() OVER (PARTITION BY session, since_ms ORDER BY pid) AS INTEGER) AS place, pid FROM ({STALLS}) WHERE alive")
 def sort_alive_pids(spark, sf_dir):
     """The processes alive in each silence, by number."""
-    return stalled(spark, sf_dir).select("session", "since_ms", F.posexplode("alive").alias("place", "pid")).withColumn("place", F.col("place") + 1)
+    return watchdog.ranks(told(spark, sf_dir))
 
 
 @query("fn_project_name", f"SELECT pid, CASE WHEN cwd IS NULL THEN 'unknown' ELSE regexp_extract(cwd, '([^/]+)/*$', 1) END AS name FROM {sql('process')}")

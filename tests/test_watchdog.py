@@ -21,7 +21,7 @@ def shown(name, stalls):
     return sorted((s, at * 1000, place, pid) for s, at, alive in stalls for place, pid in enumerate(alive, 1))
 
 
-@pytest.mark.parametrize("name", ["st_watchdog"])
+@pytest.mark.parametrize("name", ["st_watchdog", "sort_alive_pids"])
 def test_a_stream_tells_no_more_than_changes(spark, tmp_path, monkeypatch, name):
     # 200 users of two sessions are forked; then two of them take turns to leave and come back, each time after a silence.
     users = [20 * (k // 2) + k % 2 for k in range(200)]
@@ -54,6 +54,7 @@ def test_blocks_of_any_size(spark, tmp_path, block):
         table.filter(F.unix_seconds("ts").between(low, high - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "trace"))
     told = ingest.drained(spark, str(tmp_path / "trace"), lambda r: watchdog.told(r, block=block), watchdog.TOLD, 1)
     assert sorted(map(tuple, watchdog.texts(told).collect())) == shown("st_watchdog", silences(rows))
+    assert sorted(map(tuple, watchdog.ranks(told).collect())) == shown("sort_alive_pids", silences(rows))
 
 
 def test_a_task_unfolds_a_little_at_a_time():
